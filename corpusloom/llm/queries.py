@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+from corpusloom.llm.bpe import encoding_digests
 from corpusloom.llm.neardup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,5 +21,9 @@ def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash_neardup,)}
+    return {f.__name__: f for f in (op1_minhash_neardup, op3_byte_level_bpe)}
