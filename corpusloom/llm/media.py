@@ -10,7 +10,6 @@ of each. Restart intervals are eight units long.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -211,16 +210,17 @@ def _feature(rgb: np.ndarray) -> str:
     return f"{rgb.shape[0]}x{rgb.shape[1]}:{sums[0]}:{sums[1]}:{sums[2]}:{zlib.crc32(rgb.tobytes()):08x}"
 
 
-def read_media(stored: DataFrame, tensors: bool = True) -> DataFrame:
+def read_media(stored: DataFrame, tensors: bool = True, keep_media: bool = False) -> DataFrame:
     """Decode progressive JPEGs: doc_id, height, width, rgb, feature, n_bytes, payload.
 
     rgb holds height * width * 3 bytes, row by row. n_bytes and payload are those of
     ``store_payloads`` and null for other images. Null or damaged media give nulls in
     all columns but doc_id. With ``tensors`` false the rgb column is left out after its
-    feature is taken.
+    feature is taken; with ``keep_media`` the media column passes too.
     """
     bounded_batches(stored.sparkSession)
     names = ["doc_id", "height", "width", *["rgb"] * tensors, "feature", "n_bytes", "payload"]
+    passed = ["media"] * keep_media
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,12 +237,9 @@ def read_media(stored: DataFrame, tensors: bool = True) -> DataFrame:
                     for row, name in zip(rows, names[1:], strict=True):
                         row.append(found[name])
                 kinds = {"height": pa.int32(), "width": pa.int32(), "rgb": pa.binary(), "feature": pa.string(), "n_bytes": pa.int64(), "payload": pa.binary()}
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(r, kinds[n]) for r, n in zip(rows, names[1:], strict=True))], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(r, kinds[n]) for r, n in zip(rows, names[1:], strict=True)), *[column.slice(a, b - a)] * keep_media], names=names + passed)
 
-    schema = "doc_id long, height int, width int, " + "rgb binary, " * tensors + "feature string, n_bytes long, payload binary"
+    schema = "doc_id long, height int, width int, " + "rgb binary, " * tensors + "feature string, n_bytes long, payload binary" + ", media binary" * keep_media
     media = stored.select("doc_id", "media")
     return media.mapInArrow(run, schema)
 
-
-def digest(media: bytes) -> str:
-    return hashlib.sha256(media).hexdigest()
