@@ -1,19 +1,20 @@
 """Document quality by hierarchical empirical Bayes.
 
-Evidence of a document: naive Bayes over its distinct words and word shapes, with
-weights only where labelled documents differ clearly, calibrated to a log
-likelihood ratio. Sites lend it a prior: the share of good documents of a host is
+Evidence of a document: a logistic regression on shares of word shapes, on how much
+it repeats itself and on words that are met almost only in bad documents; without
+the base rate its log odds are a log likelihood ratio. Sites lend it a prior: the share of good documents of a host is
 shrunk toward the global share, that of a path (here host and language) toward
 its host, each by a Beta prior whose strength is fitted to how much sites differ.
 A document's own evidence is left out of its site's share.
 
-Words are counted on a bounded sample of labelled documents; everything else
-covers all documents.
+The regression is fitted on a bounded sample of labelled documents; everything
+else covers all documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,54 +28,81 @@ from corpusloom.llm.shingles import word_spans
 #: Labelled documents, by hash of their id, that the classifier is fitted on.
 TRAIN_DOCUMENTS = 30_000
 WORDS = 1 << 18
-FEATURES = WORDS + (1 << 16)
-#: A feature needs so many standard errors and documents.
-LEAST_Z, LEAST_DOCUMENTS = 4.0, 10
+#: A word is a mark of bad documents with so low log odds, in so many of them and in such a share.
+MARK_ODDS, MARK_DOCUMENTS, MARK_SHARE = -2.5, 6, 0.01
 #: A document stays when it is good with at least this probability.
 LEAST_GOOD = 0.5
-BINS = 400
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _FOLDED = np.where(_LETTERS, B.BYTE_HASH[np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))], np.uint64(0))
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) of the distinct words and shapes of each document of a chunk."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+#: Last characters of words that have a share of their own; the others share one.
+_TAILS = ".,!?;:*$%&#|~=+-_@\"')"
+_TAIL = np.where(_LETTERS, 0, len(_TAILS) + 1)
+_TAIL[[ord(c) for c in _TAILS]] = np.arange(1, len(_TAILS) + 1)
+DENSE = 2 * (len(_TAILS) + 2) + 9
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start, end and hash of every word; the hash passes over case and signs."""
     start, end = word_spans(data, offsets)
     prefix = np.zeros(len(data) + 1, np.uint64)
     up, down = B.powers(len(data) + 1)
     np.cumsum(_FOLDED[data] * up[: len(data)], out=prefix[1:])
     word = (B.mix64((prefix[end] - prefix[start]) * down[start]) & np.uint64(WORDS - 1)).astype(np.int64)
+    return B.doc_of(offsets, start), start, end, word
+
+
+def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, word) of the distinct words of each document of a chunk."""
+    doc, _, _, word = _words(data, offsets)
+    cell = np.unique(doc * WORDS + word)
+    return cell // WORDS, cell % WORDS
+
+
+def features(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """DENSE numbers for each document of a chunk; ``marks``: which words speak against a document."""
+    n = len(offsets) - 1
+    doc, start, end, word = _words(data, offsets)
+    total = np.bincount(doc, minlength=n)
+    some = np.maximum(total, 1)
+
+    def share(what: np.ndarray) -> np.ndarray:
+        return np.bincount(doc, what, minlength=n) / some
+
     counts = [np.concatenate(([0], np.cumsum(m))) for m in ((data >= 97) & (data <= 122), (data >= 65) & (data <= 90), (data >= 48) & (data <= 57), _LETTERS[data])]
-    inside = [c[end] - c[start] for c in counts]
-    last = data[end - 1].astype(np.int64)
-    before = data[np.maximum(end - 2, start)].astype(np.int64)
-    tail = np.where(_LETTERS[last], 0, last)
-    pair = np.where(_LETTERS[before] | (end - start < 2), 0, before)
-    shape = (inside[0] > 0) | (inside[1] > 1) * 2 | (inside[2] > 0) * 4 | (inside[3] > 0) * 8
-    mixed = B.mix64((shape.astype(np.int64) << 16 | tail << 8 | pair).astype(np.uint64) * B._ODD)
-    shape_id = WORDS + (mixed & np.uint64(FEATURES - WORDS - 1)).astype(np.int64)
-    doc = B.doc_of(offsets, start)
-    cell = np.unique(np.concatenate((doc * FEATURES + word, doc * FEATURES + shape_id)))
-    return cell // FEATURES, cell % FEATURES
+    lower, upper, digit, letter = (c[end] - c[start] for c in counts)
+    kinds = len(_TAILS) + 2
+    last = _TAIL[data[end - 1]] if len(end) else np.zeros(0, np.int64)
+    twice = (end - start > 1) & (data[end - 1] == data[np.maximum(end - 2, 0)]) if len(end) else np.zeros(0, bool)
+    out = np.zeros((n, DENSE))
+    out[:, :kinds] = np.bincount(doc * kinds + last, minlength=n * kinds).reshape(n, kinds) / some[:, None]
+    out[:, kinds : 2 * kinds] = np.bincount(doc[twice] * kinds + last[twice], minlength=n * kinds).reshape(n, kinds) / some[:, None]
+    cell = np.unique(doc * WORDS + word)
+    distinct = np.bincount(cell // WORDS, minlength=n)
+    same = np.zeros(len(word), bool)
+    same[1:] = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
+    hits = np.bincount((cell // WORDS)[marks[cell % WORDS]], minlength=n)
+    rest = [share((upper > 1) & (lower == 0)), share(digit > 0), share(letter == 0), share(same), np.log1p(total), np.log1p(distinct) - np.log1p(total), share(np.minimum(end - start, 40)) / 10, np.minimum(hits, 1), np.minimum(hits, 4)]
+    out[:, 2 * kinds :] = np.stack(rest, axis=1)
+    return out
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Good and bad documents with each feature; the row -1 counts documents. At most FEATURES rows."""
-    total = np.zeros((2, FEATURES), np.int64)
+    """Good and bad documents with each word; the row -1 counts documents. At most WORDS rows."""
+    total = np.zeros((2, WORDS), np.int64)
     documents = np.zeros(2, np.int64)
     for batch in batches:
         good = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         documents += np.bincount(good, minlength=2)
         data, offsets = B.text_buffers(batch.column(0))
         for a, _, part, off in B.chunks(data, offsets):
-            doc, feature = features(part, off)
-            np.add.at(total, (good[a + doc], feature), 1)
+            doc, word = distinct_words(part, off)
+            np.add.at(total, (good[a + doc], word), 1)
     met = np.flatnonzero(total.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1)), pa.array(np.append(total[1, met], documents[1])), pa.array(np.append(total[0, met], documents[0]))], names=["feature", "good", "bad"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1)), pa.array(np.append(total[1, met], documents[1])), pa.array(np.append(total[0, met], documents[0]))], names=["word", "good", "bad"])
 
 
 def sample_labels(labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> DataFrame:
@@ -88,38 +116,81 @@ def sample_labels(labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def fit_weights(docs: DataFrame, sample: DataFrame) -> np.ndarray:
-    """Log odds of good against bad for each feature, 0 where they are not clear.
+@dataclass
+class Classifier:
+    """Words against a document, and the regression: ``base`` is the share of good documents it was fitted on."""
+
+    marks: np.ndarray
+    weights: np.ndarray
+    base: float
+
+    def evidence(self, x: np.ndarray) -> np.ndarray:
+        """Log likelihood ratio of good against bad."""
+        return x @ self.weights[1:] + self.weights[0] - np.log(self.base / (1 - self.base))
+
+
+def _regression(x: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Logistic regression with a weak ridge, by Newton steps."""
+    design = np.column_stack((np.ones(len(x)), x))
+    scale = np.maximum(design.std(axis=0), 1e-3)
+    scale[0] = 1
+    design /= scale
+    beta = np.zeros(design.shape[1])
+    ridge = np.full(design.shape[1], 0.5)
+    ridge[0] = 0
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+        gradient = design.T @ (good - p) - ridge * beta
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + np.diag(ridge + 1e-6)
+        step = np.linalg.solve(hessian, gradient)
+        beta += step * min(1.0, 3 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-8:
+            break
+    return beta / scale
 
-    ``sample`` is bounded and is broadcast. Counts are summed in the tasks first; of
-    the sums only clear features, which are bounded by FEATURES, reach the driver.
+
+def fit(docs: DataFrame, sample: DataFrame) -> Classifier | None:
+    """The classifier; None where the sample lacks good or bad documents.
+
+    ``sample`` is bounded and is broadcast. Words are counted in the tasks first and
+    of them only marks, which WORDS bounds, reach the driver; then come DENSE numbers
+    for each sampled document.
     """
     labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "good")
-    counts = labelled.mapInArrow(_counts, "feature long, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    counts = materialize(counts, "counts")
-    weights = np.zeros(FEATURES)
-    totals = counts.where("feature = -1").first()
+    labelled = materialize(labelled, "labelled")
+    counts = materialize(labelled.mapInArrow(_counts, "word long, good long, bad long").groupBy("word").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "counts")
+    totals = counts.where("word = -1").first()
     if totals is None or not totals.good or not totals.bad:
-        return weights
+        return None
     odds = F.log((F.col("good") + 0.5) / (totals.good + 1)) - F.log((F.col("bad") + 0.5) / (totals.bad + 1))
-    error = F.sqrt(1 / (F.col("good") + 0.5) + 1 / (F.col("bad") + 0.5) - 1 / F.lit(totals.good + 1.0) - 1 / F.lit(totals.bad + 1.0))
-    clear = counts.where("feature >= 0").select("feature", odds.alias("w"), error.alias("se"), (F.col("good") + F.col("bad")).alias("n")).where((F.col("n") >= LEAST_DOCUMENTS) & (F.abs("w") >= LEAST_Z * F.col("se")))
-    for r in clear.collect():
-        weights[r.feature] = r.w
-    return weights
+    marks = np.zeros(WORDS, bool)
+    marks[[r.word for r in counts.where((F.col("word") >= 0) & (F.col("bad") >= max(MARK_DOCUMENTS, MARK_SHARE * totals.bad)) & (odds <= MARK_ODDS)).select("word").collect()]] = True
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = B.text_buffers(batch.column(0))
+            for a, b, part, off in B.chunks(data, offsets):
+                rows = features(part, off, shared.value).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([r.tobytes() for r in rows], pa.binary())], names=["good", "x"])
+
+    table = labelled.mapInArrow(run, "good int, x binary").toArrow()
+    x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(-1, DENSE).astype(np.float64)
+    good = table.column("good").to_numpy().astype(np.float64)
+    return Classifier(marks, _regression(x, good), float(good.mean()))
 
 
-def score_documents(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """doc_id, host, path, score: the summed weights of each document. Null source or lang count as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+def score_documents(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
+    """doc_id, host, path, score: the evidence of each document, 0 without a classifier. Null source or lang count as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = B.text_buffers(batch.column(3))
             score = np.zeros(batch.num_rows)
             for a, b, part, off in B.chunks(data, offsets):
-                doc, feature = features(part, off)
-                score[a:b] = np.bincount(doc, shared.value[feature], minlength=b - a)
+                if shared.value is not None:
+                    score[a:b] = shared.value.evidence(features(part, off, shared.value.marks))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(np.round(score, 6))], names=["doc_id", "host", "path", "score"])
 
     host, path = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
@@ -127,32 +198,6 @@ def score_documents(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, host string, path string, score double")
 
 
-def calibrate(scored: DataFrame, sample: DataFrame) -> tuple[float, float, float]:
-    """Slope and offset that turn a score into a log likelihood ratio, and the share of good documents.
-
-    Fitted by logistic regression on a histogram of scores, BINS rows at most.
-    """
-    bins = F.greatest(F.lit(-BINS // 2), F.least(F.lit(BINS // 2), F.round(F.col("score") * 4))).alias("bin")
-    found = scored.join(F.broadcast(sample), "doc_id").groupBy(bins).agg(F.sum("good").alias("good"), F.count("*").alias("n")).collect()
-    good, n = sum(r.good for r in found), sum(r.n for r in found)
-    if not good or good == n:
-        return 0.0, 0.0, (good + 1) / (n + 2) if n else 1.0 - 1e-6
-    x, y, m = (np.array([r[k] for r in found], float) for k in ("bin", "good", "n"))
-    x = x / 4
-    beta = np.array([np.log(good / (n - good)), 0.1])
-    design = np.stack((np.ones_like(x), x), axis=1)
-    for _ in range(50):  # Newton steps with a weak pull of the slope toward 0
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        gradient = design.T @ (y - m * p) - np.array([0, 1e-2]) * beta
-        hessian = (design * (m * p * (1 - p))[:, None]).T @ design + np.diag([1e-6, 1e-2])
-        step = np.linalg.solve(hessian, gradient)
-        beta = beta + np.clip(step, -1, 1)
-        if abs(step).max() < 1e-9:
-            break
-    base = good / n
-    return float(beta[1]), float(beta[0] - np.log(base / (1 - base))), base
-
-
 def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
@@ -171,7 +216,7 @@ def _strength(shares: DataFrame, mean: Column) -> float:
     return float(1 / min(max(rho, 1e-6), 0.5) - 1)
 
 
-def judge(scored: DataFrame, slope: float, offset: float, base: float) -> DataFrame:
+def judge(scored: DataFrame, base: float) -> DataFrame:
     """doc_id, score, p_document, p_site, p_good, keep.
 
     p_document uses the global share as prior, p_site is the shrunk share of the
@@ -179,9 +224,8 @@ def judge(scored: DataFrame, slope: float, offset: float, base: float) -> DataFr
     before they are shuffled, so one that holds a third of all documents is a row for
     each task.
     """
-    evidence = F.lit(slope) * F.col("score") + F.lit(offset)
     base = min(max(base, 1e-6), 1 - 1e-6)
-    sure = scored.withColumn("llr", F.greatest(F.lit(-30.0), F.least(F.lit(30.0), evidence)))
+    sure = scored.withColumn("llr", F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("score"))))
     sure = sure.withColumn("p_document", 1 / (1 + F.exp(-(F.col("llr") + _logit(F.lit(base))))))
     paths = materialize(sure.groupBy("host", "path").agg(F.count("*").alias("n"), F.round(F.sum("p_document"), 6).alias("good")), "sites")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
@@ -202,16 +246,16 @@ def judge(scored: DataFrame, slope: float, offset: float, base: float) -> DataFr
 def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, lang, source): see ``judge``.
 
-    Without labels of both kinds nothing tells good from bad: every document gets the
-    labelled share and stays where that is at least one half. A null text has no
+    Without labels of both kinds nothing tells good from bad, and every document
+    stays. A null text has no
     words and so no evidence; null sources and languages are sites of their own;
     repeated rows count each; an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     sample = materialize(sample_labels(labels), "sample")
-    weights = fit_weights(docs, sample)
-    scored = materialize(score_documents(docs, weights), "scored")
-    return judge(scored, *calibrate(scored, sample))
+    classifier = fit(docs, sample)
+    scored = materialize(score_documents(docs, classifier), "scored")
+    return judge(scored, classifier.base if classifier else 1.0)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import _bytes as B
@@ -269,6 +269,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return whole.unionAll(by_file).unionAll(by_window)
 
 
+def cut(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
+    """What is left, the bytes removed and the maximal removed runs."""
+    kept, removed, runs, at, last = [], 0, 0, 0, -1
+    for begin, end in sorted((s["s"], s["e"]) for s in spans):
+        if begin > last:
+            runs += 1
+            kept.append(text[at:begin])
+            at = last = begin
+        if end > last:
+            removed += end - last
+            at = last = end
+    kept.append(text[at:])
+    return b"".join(kept), removed, runs
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """did, th, packed text, spans in; what is left and how much went out."""
     press = zstandard.ZstdDecompressor()
@@ -276,18 +291,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for row in batch.to_pylist():
             text = press.decompress(row["packed"], max_output_size=1 << 31) if row["packed"] else b""
-            kept, removed, spans, at = [], 0, 0, 0
-            last = -1
-            for span in sorted((s["s"], s["e"]) for s in row["spans"] or ()):
-                if span[0] > last:
-                    spans += 1
-                    kept.append(text[at : span[0]])
-                    at = last = span[0]
-                if span[1] > last:
-                    removed += span[1] - last
-                    at = last = span[1]
-            kept.append(text[at:])
-            out.append((None if row["did"] == -(2**63) else row["did"], row["th"], len(text), removed, spans, b"".join(kept)))
+            kept, removed, runs = cut(text, row["spans"] or [])
+            out.append((None if row["did"] == -(2**63) else row["did"], row["th"], len(text), removed, runs, kept))
         columns = list(zip(*out, strict=True)) or [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 5 + [pa.binary()], strict=True)], names=["doc_id", "th", "n_bytes", "n_removed", "n_spans", "kept"])
 
@@ -311,6 +316,26 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return remove_repeats(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def as_text(kept: Column) -> Column:
-    """Bytes as text; a character that lost some of its bytes goes whole."""
-    return F.make_valid_utf8(kept.cast("string")) if hasattr(F, "make_valid_utf8") else kept.cast("string")
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with ``text`` rid of repeated bytes; other columns unchanged.
+
+    A character that lost some of its bytes goes whole. Rows of one doc_id and text
+    are alike, so each gets what is left of it; a text of which nothing was removed,
+    or null, stays as it is.
+    """
+    spans = repeated_spans(docs, length).distinct().groupBy("did", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    names = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if found and text is not None:
+                    text = cut(text.encode(), found)[0].decode("utf-8", "ignore")
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *(batch.column(i) for i in range(2, 2 + len(names)))], names=["text", *names])
+
+    keyed = docs.withColumn("__did", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("__th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    joined = keyed.join(spans.select(F.col("did").alias("__did"), F.col("th").alias("__th"), "spans"), ["__did", "__th"], "left").select("text", "spans", *names)
+    fields = ["text string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")]
+    return joined.mapInArrow(run, ", ".join(fields)).select(docs.columns)

@@ -205,6 +205,10 @@ def _judged(scanned: DataFrame, rest: list[str]) -> DataFrame:
     return judged.select(*rest, "base", _in_order(F.concat("base", added)).alias("spans"))
 
 
+def _of_kind(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def spans_text(spans: Column) -> Column:
     """kind:start:end of all spans, joined by commas."""
     names = F.array(*(F.lit(k) for k in KINDS))
@@ -216,7 +220,7 @@ def secret_digests(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     scanned = materialize(docs.select("doc_id", base_spans(text).alias("base"), _tested(text).alias("tested")), "scanned")
     found = _judged(scanned, ["doc_id"])
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    counts = [_of_kind(F.col("base"), k).alias(f"n_{KINDS[k]}") for k in range(3)]
     return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
