@@ -6,8 +6,11 @@ the first filled bin on a fixed random probe walk (optimal densification). Runs
 of ``ROWS`` bins make the banded buckets. In a bucket a star is drawn: one centre
 is compared with all other members, never all members with each other. Every
 candidate is confirmed on the full shingle sets. Buckets whose members still lie
-in different components get further centres, until none is left to try, so a
-link that the first star missed is found by a later one.
+in different components get further centres, namely every member outside the
+bucket's largest component, so a link that the first star missed is found then.
+Those pairs are compared by parity sketches before any row is made: each shingle
+turns one of ``BITS`` bits over, so two sketches differ in at most as many bits as
+the sets differ in shingles, and a pair that could be a link is never left out.
 """
 
 from __future__ import annotations
@@ -20,27 +23,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import _bytes as B
-from corpusloom.llm._shared import materialize
+from corpusloom.llm._shared import bounded_batches, materialize
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.shingles import shingle_sets
 
 BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
+#: Of the parity sketch.
+BITS = 1024
+WORDS = BITS // 64
 #: A link needs 100 * intersection >= 75 * union.
 PERCENT = 75
-#: Further centres are compared only where at most so many of the 256 sketch bits
-#: (two of each bin's minimum) differ. A pair at the threshold differs in 32 bits
-#: on average with a deviation of 6.3, so six deviations are allowed.
-MOST_DIFFERENT = 70
-
-_BITS = np.uint64(57)  # 128 bins
+_TOP = np.uint64(57)  # shift that leaves the number of one of 128 bins
 
 
 def _walk(attempt: int) -> np.ndarray:
     """The bin that each empty bin looks at in its nth attempt."""
     seed = B.mix64(np.array([attempt], np.uint64) * B._ODD)
-    return (B.mix64(np.arange(BINS, dtype=np.uint64) + seed) >> _BITS).astype(np.int64)
+    return (B.mix64(np.arange(BINS, dtype=np.uint64) + seed) >> _TOP).astype(np.int64)
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -52,7 +53,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         return out
     values = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    bins = (values >> _BITS).astype(np.int64)
+    bins = (values >> _TOP).astype(np.int64)
     cell = owner * BINS + bins
     first = np.flatnonzero(np.diff(cell, prepend=-1))  # sets are sorted, so the least of a bin comes first
     out.ravel()[cell[first]] = values[first]
@@ -77,7 +78,13 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return B.mix64(mixed).view(np.int64)
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), *((f"bits{i}", pa.int64()) for i in range(4))])
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """The parity sketch of each set, a row of WORDS longs."""
+    cells = [np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1 for s in sets]
+    return np.packbits(np.array(cells, np.uint8).reshape(-1, BITS), axis=1).view(np.int64)
+
+
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), *((f"bits{i}", pa.int64()) for i in range(WORDS))])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,16 +96,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = band_keys(signature)
             digest = [np.array([len(s), s.sum(dtype=np.uint64), B.mix64(s).sum(dtype=np.uint64)], np.uint64).tobytes() for s in sets]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-            low = np.packbits(np.concatenate([signature & np.uint64(1), signature >> np.uint64(1) & np.uint64(1)], axis=1).astype(np.uint8), axis=1).view(np.int64)
+            low = parities(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), lists, *(pa.array(np.ascontiguousarray(low[:, i])) for i in range(4))],
+                [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), lists, *(pa.array(np.ascontiguousarray(low[:, i])) for i in range(WORDS))],
                 schema=_SKETCH,
             )
 
 
 def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest of the shingle set, band keys, two bits of each minimum."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, bands array<long>, bits0 long, bits1 long, bits2 long, bits3 long")
+    """doc_id, n_shingles, digest of the shingle set, band keys, parity sketch."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"bits{i} long" for i in range(WORDS)))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,21 +162,24 @@ def _first_stars(members: DataFrame) -> DataFrame:
     return _ordered(stars.select(F.col("c").alias("u"), F.col("id").alias("v")))
 
 
-def _further_stars(members: DataFrame, components: DataFrame) -> DataFrame:
+def _further_stars(members: DataFrame, components: DataFrame, sketches: DataFrame) -> DataFrame:
     """Candidates between the components that meet in one bucket.
 
     Each member outside the bucket's largest component is a centre for the members
-    of other components whose sketches are near enough; what lies in one component
-    already needs no comparison.
+    of other components whose sizes and sketches allow a link; what lies in one
+    component already needs no comparison.
     """
     placed = members.join(components.withColumnRenamed("u", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("n", "component")).alias("top")).where("k > 1").select("key", F.col("top.component").alias("top"))
-    placed = materialize(placed.join(largest, "key"), "buckets")
-    bits = [f"bits{i}" for i in range(4)]
-    centres = placed.where("component <> top").select("key", F.col("id").alias("c"), F.col("component").alias("of"), *(F.col(b).alias(f"c_{b}") for b in bits))
+    bits = [f"bits{i}" for i in range(WORDS)]
+    unsettled = placed.join(largest, "key").join(sketches.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *bits), "id")
+    unsettled = materialize(unsettled, "buckets")
+    centres = unsettled.where("component <> top").select("key", F.col("id").alias("c"), F.col("component").alias("of"), F.col("n").alias("c_n"), *(F.col(b).alias(f"c_{b}") for b in bits))
     differ = sum(F.bit_count(F.col(b).bitwiseXOR(F.col(f"c_{b}"))) for b in bits)
-    met = placed.drop("top").join(centres, (placed["key"] == centres["key"]) & (F.col("component") != F.col("of")) & (differ <= MOST_DIFFERENT))
+    # 100 i >= P u with i + d = u, i + u = n + m, for d the size of the difference.
+    allowed = (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("n") + F.col("c_n"))
+    met = unsettled.join(centres, (unsettled["key"] == centres["key"]) & (F.col("component") != F.col("of")) & allowed)
     return _ordered(met.select(F.col("c").alias("u"), F.col("id").alias("v")))
 
 
@@ -184,16 +194,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component; a null doc_id has no links, a null component and is kept. An empty
     table gives no rows; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     sketches = materialize(sketch_documents(docs), "sketches")
     nodes = sketches.where("n_shingles > 0 and doc_id is not null")
     sets = materialize(nodes.groupBy("digest").agg(F.min("doc_id").alias("id")), "sets")
     members = nodes.join(sets.select(F.col("id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
-    members = members.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"), *(f"bits{i}" for i in range(4)))
-    same_id = nodes.join(sets, "digest").select(F.col("id").alias("u"), F.col("doc_id").alias("v")).groupBy("v").agg(F.min("u").alias("u"), F.max("u").alias("w")).where("u <> w")
-    known = materialize(_first_stars(members.select("id", "key")), "pairs")
-    links = materialize(confirm_links(known, docs).unionAll(same_id.select("u", F.col("w").alias("v"))), "links")
+    members = members.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    same_id = nodes.join(sets, "digest").groupBy(F.col("doc_id").alias("u")).agg(F.min("id").alias("v"), F.max("id").alias("w")).where("v <> w")
+    known = materialize(_first_stars(members), "pairs")
+    links = materialize(confirm_links(known, docs).unionAll(same_id.select(F.col("v").alias("u"), F.col("w").alias("v"))), "links")
     components = connected_components(links)
-    more = materialize(_further_stars(members, components).join(known, ["u", "v"], "left_anti"), "pairs")
+    more = materialize(_further_stars(members, components, nodes.dropDuplicates(["doc_id", "digest"])).join(known, ["u", "v"], "left_anti"), "pairs")
     found = materialize(confirm_links(more, docs), "links")
     if found.head(1):
         components = connected_components(links.unionAll(found))
