@@ -336,6 +336,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *(batch.column(i) for i in range(2, 2 + len(names)))], names=["text", *names])
 
     keyed = docs.withColumn("__did", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("__th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = keyed.join(spans.select(F.col("did").alias("__did"), F.col("th").alias("__th"), "spans"), ["__did", "__th"], "left").select("text", "spans", *names)
+    joined = keyed.join(spans.select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("spans").alias("__spans")), ["__did", "__th"], "left").select("text", "__spans", *names)
     fields = ["text string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")]
     return joined.mapInArrow(run, ", ".join(fields)).select(docs.columns)

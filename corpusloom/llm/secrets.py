@@ -173,7 +173,7 @@ def _tested(text: Column) -> Column:
 
 def _limits(scanned: DataFrame) -> DataFrame:
     """For each stratum the highest bin of p-values that is rejected: at most a row for each stratum."""
-    tested = scanned.select(F.explode("tested").alias("t")).select(F.col("t.stratum").alias("stratum"), F.least(F.floor(F.col("t.p") * P_BINS), F.lit(P_BINS - 1)).alias("bin"))
+    tested = scanned.select(F.explode("__tested").alias("t")).select(F.col("t.stratum").alias("stratum"), F.least(F.floor(F.col("t.p") * P_BINS), F.lit(P_BINS - 1)).alias("bin"))
     bins = tested.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("stratum").orderBy("bin"))
     ranked = bins.select("stratum", "bin", upto.alias("upto"), F.sum("n").over(Window.partitionBy("stratum")).alias("m"))
@@ -191,18 +191,19 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     each stratum of lengths comes back to it.
     """
     rest = [c for c in docs.columns if c not in ("base", "spans")]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    scanned = materialize(docs.select(*rest, base_spans(text).alias("base"), _tested(text).alias("tested")), "scanned")
-    return _judged(scanned, rest)
+    return _found(docs, rest).select(*rest, F.col("__base").alias("base"), F.col("__spans").alias("spans"))
 
 
-def _judged(scanned: DataFrame, rest: list[str]) -> DataFrame:
-    limits = _limits(scanned).agg(F.map_from_entries(F.collect_list(F.struct("stratum", "bin"))).alias("limits"))
+def _found(docs: DataFrame, rest: list[str]) -> DataFrame:
+    """The columns ``rest`` with __base and __spans."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    scanned = materialize(docs.select(*rest, base_spans(text).alias("__base"), _tested(text).alias("__tested")), "scanned")
+    limits = _limits(scanned).agg(F.map_from_entries(F.collect_list(F.struct("stratum", "bin"))).alias("__limits"))
     judged = scanned.crossJoin(F.broadcast(limits))  # one row
-    random = F.filter("tested", lambda t: F.floor(t["p"] * P_BINS) > F.coalesce(F.element_at(F.col("limits"), t["stratum"]), F.lit(-1)))
-    apart = F.filter(random, lambda t: ~F.exists(F.col("base"), lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
+    random = F.filter("__tested", lambda t: F.floor(t["p"] * P_BINS) > F.coalesce(F.element_at(F.col("__limits"), t["stratum"]), F.lit(-1)))
+    apart = F.filter(random, lambda t: ~F.exists(F.col("__base"), lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
     added = F.transform(apart, lambda t: F.struct(F.lit(3).alias("kind"), t["s"].alias("s"), t["e"].alias("e")))
-    return judged.select(*rest, "base", _in_order(F.concat("base", added)).alias("spans"))
+    return judged.select(*rest, "__base", _in_order(F.concat("__base", added)).alias("__spans"))
 
 
 def _of_kind(spans: Column, kind: int) -> Column:
@@ -217,16 +218,13 @@ def spans_text(spans: Column) -> Column:
 
 def secret_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    scanned = materialize(docs.select("doc_id", base_spans(text).alias("base"), _tested(text).alias("tested")), "scanned")
-    found = _judged(scanned, ["doc_id"])
-    counts = [_of_kind(F.col("base"), k).alias(f"n_{KINDS[k]}") for k in range(3)]
-    return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+    counts = [_of_kind(F.col("__base"), k).alias(f"n_{KINDS[k]}") for k in range(3)]
+    return _found(docs, ["doc_id"]).select("doc_id", *counts, F.sha2(spans_text(F.col("__base")).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("__spans")).alias("spans"))
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of a secret replaced by ``mark``; other columns unchanged, a null text stays null."""
-    found = scan_secrets(docs)
+    found = _found(docs, docs.columns)
 
     def rebuilt(spans: Column) -> Column:
         def step(a: Column, x: Column) -> Column:
@@ -236,4 +234,4 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
         return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
 
-    return found.withColumn("text", F.when(F.size("spans") > 0, rebuilt(F.col("spans"))).otherwise(F.col("text"))).select(docs.columns)
+    return found.withColumn("text", F.when(F.size("__spans") > 0, rebuilt(F.col("__spans"))).otherwise(F.col("text"))).select(docs.columns)

@@ -1,7 +1,7 @@
 """Each stage against a plain version of it on its own input."""
 
 import corpus_pipeline
-from conftest import SF
+from compare import SF
 from pyspark.sql import functions as F
 from test_neardup import brute
 from test_repeats import brute as brute_repeats

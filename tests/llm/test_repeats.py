@@ -51,9 +51,9 @@ def test_texts_lose_their_repeats_and_keep_their_columns(shared):
     df, rows = shared
     left = repeats.without_repeats(df.withColumnRenamed("text", "text").selectExpr("text", "doc_id", "doc_id as did", "1 as spans"))
     assert left.columns == ["text", "doc_id", "did", "spans"] and left.count() == len(rows)
-    want = {i: h for i, *_, h in brute(rows, 400)}
-    for r in left.where("doc_id < 100").collect():
-        assert hashlib.sha256(r.text.encode()).hexdigest() == want[str(r.doc_id)] or "é" in r.text or True
+    size = {i: n - gone for i, n, gone, *_ in brute(rows, 400)}
+    # A cut may take the other byte of an é with it, at either end of each run.
+    assert all(0 <= size[str(r.doc_id)] - len(r.text.encode()) <= 6 for r in left.where("doc_id < 100").collect())
     assert [r.text for r in left.where("doc_id = 100").collect()] == [None]
 
 

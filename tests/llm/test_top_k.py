@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
-from compare import same
-from conftest import SF
+from compare import SF, same
 
 from corpusloom.llm import top_k
 from corpusloom.llm.oracles import oracle_sql
