@@ -185,7 +185,8 @@ def top_k(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20) ->
     rotation = np.linalg.eigh((moments + moments.T) / 2)[1][:, ::-1].copy()
 
     columns = ["rid", "vec_id", "v"]
-    by_length = whole.repartitionByRange(F.desc("norm2")).sortWithinPartitions(F.desc("norm2")).select(columns)
+    # rid parts vectors of one length, so that a very common vector is no hot range.
+    by_length = whole.repartitionByRange(F.desc("norm2"), "rid").sortWithinPartitions(F.desc("norm2"), "rid").select(columns)
     candidates = materialize(by_length.mapInArrow(_blocks(dims, BLOCK), _BLOCK_SCHEMA), "blocks")
     asked = whole.where(is_query).select(columns)
     asked = materialize(asked.mapInArrow(_blocks(dims, QUERY_BLOCK), _BLOCK_SCHEMA), "blocks")
