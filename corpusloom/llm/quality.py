@@ -1,8 +1,10 @@
 """Document quality by hierarchical empirical Bayes.
 
-Evidence of a document: a logistic regression on shares of word shapes, on how much
-it repeats itself and on words that are met almost only in bad documents; without
-the base rate its log odds are a log likelihood ratio. Sites lend it a prior: the share of good documents of a host is
+Evidence of a document: one logistic regression tells good form by shares of word
+shapes and by how much the text repeats itself, another tells harmless content by
+words that are met almost only in toxic documents. A document is good if both hold;
+the log odds of that without the base rate are its log likelihood ratio. Sites lend
+it a prior: the share of good documents of a host is
 shrunk toward the global share, that of a path (here host and language) toward
 its host, each by a Beta prior whose strength is fitted to how much sites differ.
 A document's own evidence is left out of its site's share.
@@ -28,8 +30,8 @@ from corpusloom.llm.shingles import word_spans
 #: Labelled documents, by hash of their id, that the classifier is fitted on.
 TRAIN_DOCUMENTS = 30_000
 WORDS = 1 << 18
-#: A word is a mark of bad documents with so low log odds, in so many of them and in such a share.
-MARK_ODDS, MARK_DOCUMENTS, MARK_SHARE = -2.5, 6, 0.01
+#: A word is a mark of toxic documents with so low log odds, in so many of them and in such a share.
+MARK_ODDS, MARK_DOCUMENTS, MARK_SHARE = -2.5, 6, 0.03
 #: A document stays when it is good with at least this probability.
 LEAST_GOOD = 0.5
 
@@ -42,7 +44,8 @@ _FOLDED = np.where(_LETTERS, B.BYTE_HASH[np.where((np.arange(256) >= 65) & (np.a
 _TAILS = ".,!?;:*$%&#|~=+-_@\"')"
 _TAIL = np.where(_LETTERS, 0, len(_TAILS) + 1)
 _TAIL[[ord(c) for c in _TAILS]] = np.arange(1, len(_TAILS) + 1)
-DENSE = 2 * (len(_TAILS) + 2) + 9
+FORM = 2 * (len(_TAILS) + 2) + 7
+DENSE = FORM + 3
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,7 +66,7 @@ def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 
 
 def features(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """DENSE numbers for each document of a chunk; ``marks``: which words speak against a document."""
+    """DENSE numbers for each document of a chunk, FORM of them without ``marks``: which words speak against a document."""
     n = len(offsets) - 1
     doc, start, end, word = _words(data, offsets)
     total = np.bincount(doc, minlength=n)
@@ -85,13 +88,13 @@ def features(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray) -> np.nda
     same = np.zeros(len(word), bool)
     same[1:] = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
     hits = np.bincount((cell // WORDS)[marks[cell % WORDS]], minlength=n)
-    rest = [share((upper > 1) & (lower == 0)), share(digit > 0), share(letter == 0), share(same), np.log1p(total), np.log1p(distinct) - np.log1p(total), share(np.minimum(end - start, 40)) / 10, np.minimum(hits, 1), np.minimum(hits, 4)]
+    rest = [share((upper > 1) & (lower == 0)), share(digit > 0), share(letter == 0), share(same), np.log1p(total), np.log1p(distinct) - np.log1p(total), share(np.minimum(end - start, 40)) / 10, np.minimum(hits, 1), np.minimum(hits, 4), hits / some * 50]
     out[:, 2 * kinds :] = np.stack(rest, axis=1)
     return out
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Good and bad documents with each word; the row -1 counts documents. At most WORDS rows."""
+    """Harmless (good) and toxic (bad) documents with each word; the row -1 counts documents. At most WORDS rows."""
     total = np.zeros((2, WORDS), np.int64)
     documents = np.zeros(2, np.int64)
     for batch in batches:
@@ -106,31 +109,37 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample_labels(labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> DataFrame:
-    """doc_id and good (1 where quality is 1 and the text is not toxic) of at most ``most`` labelled documents.
+    """doc_id, sound (quality is 1) and harmless (not toxic), 0 or 1, of at most ``most`` labelled documents.
 
     Labels without an id or a quality are left out; of a doc_id with several labels
-    the worst counts.
+    the worst counts; an unknown toxicity is none.
     """
-    good = F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)
-    one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(good).alias("good"))
+    sound, harmless = (F.col("quality") == 1).cast("int"), (F.coalesce("toxic", F.lit(0)) == 0).cast("int")
+    one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(sound).alias("sound"), F.min(harmless).alias("harmless"))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 @dataclass
 class Classifier:
-    """Words against a document, and the regression: ``base`` is the share of good documents it was fitted on."""
+    """Marks, the weights of both regressions, and the share of good documents they were fitted on."""
 
     marks: np.ndarray
-    weights: np.ndarray
+    form: np.ndarray
+    content: np.ndarray
     base: float
 
     def evidence(self, x: np.ndarray) -> np.ndarray:
         """Log likelihood ratio of good against bad."""
-        return x @ self.weights[1:] + self.weights[0] - np.log(self.base / (1 - self.base))
+        form, content = x[:, :FORM] @ self.form[1:] + self.form[0], x[:, FORM:] @ self.content[1:] + self.content[0]
+        bad = np.logaddexp(0, -form) + np.logaddexp(0, -content)  # -log of both chances
+        bad = np.clip(bad, 1e-9, 60)
+        return -bad - np.log(-np.expm1(-bad)) - np.log(self.base / (1 - self.base))
 
 
 def _regression(x: np.ndarray, good: np.ndarray) -> np.ndarray:
-    """Logistic regression with a weak ridge, by Newton steps."""
+    """Logistic regression with a weak ridge, by Newton steps; where only one class is there, it is certain."""
+    if good.min() == good.max():
+        return np.append(30.0 if good.min() else -30.0, np.zeros(x.shape[1]))
     design = np.column_stack((np.ones(len(x)), x))
     scale = np.maximum(design.std(axis=0), 1e-3)
     scale[0] = 1
@@ -156,12 +165,13 @@ def fit(docs: DataFrame, sample: DataFrame) -> Classifier | None:
     of them only marks, which WORDS bounds, reach the driver; then come DENSE numbers
     for each sampled document.
     """
-    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "good")
+    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "harmless", "sound")
     labelled = materialize(labelled, "labelled")
-    counts = materialize(labelled.mapInArrow(_counts, "word long, good long, bad long").groupBy("word").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "counts")
-    totals = counts.where("word = -1").first()
-    if totals is None or not totals.good or not totals.bad:
+    kinds = labelled.agg(F.sum(F.col("harmless") * F.col("sound")).alias("good"), F.count("*").alias("n")).first()
+    if not kinds.n or kinds.good in (0, kinds.n):
         return None
+    counts = materialize(labelled.select("text", "harmless").mapInArrow(_counts, "word long, good long, bad long").groupBy("word").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "counts")
+    totals = counts.where("word = -1").first()
     odds = F.log((F.col("good") + 0.5) / (totals.good + 1)) - F.log((F.col("bad") + 0.5) / (totals.bad + 1))
     marks = np.zeros(WORDS, bool)
     marks[[r.word for r in counts.where((F.col("word") >= 0) & (F.col("bad") >= max(MARK_DOCUMENTS, MARK_SHARE * totals.bad)) & (odds <= MARK_ODDS)).select("word").collect()]] = True
@@ -172,12 +182,12 @@ def fit(docs: DataFrame, sample: DataFrame) -> Classifier | None:
             data, offsets = B.text_buffers(batch.column(0))
             for a, b, part, off in B.chunks(data, offsets):
                 rows = features(part, off, shared.value).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([r.tobytes() for r in rows], pa.binary())], names=["good", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([r.tobytes() for r in rows], pa.binary())], names=["harmless", "sound", "x"])
 
-    table = labelled.mapInArrow(run, "good int, x binary").toArrow()
+    table = labelled.mapInArrow(run, "harmless int, sound int, x binary").toArrow()
     x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(-1, DENSE).astype(np.float64)
-    good = table.column("good").to_numpy().astype(np.float64)
-    return Classifier(marks, _regression(x, good), float(good.mean()))
+    harmless, sound = (table.column(c).to_numpy().astype(np.float64) for c in ("harmless", "sound"))
+    return Classifier(marks, _regression(x[:, :FORM], sound), _regression(x[:, FORM:], harmless), kinds.good / kinds.n)
 
 
 def score_documents(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
