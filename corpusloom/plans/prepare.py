@@ -56,5 +56,11 @@ def stage_funnel(stages: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
 
 
 def funnel(prepared: Prepared) -> DataFrame:
-    p = prepared
-    return stage_funnel([("parse", p.blocks, p.records), ("dedup", p.records, p.unique), ("route", p.unique, p.clean), ("split", p.clean, p.splits), ("label", p.splits, p.labelled.where("form is not null"))])
+    """The funnel of a preparation in three passes, one for each table that two stages share."""
+    parsed = prepared.parsed.agg(F.count("*").alias("blocks"), F.count_if(F.col("status") == "accepted").alias("records"))
+    routed = prepared.routed.agg(F.count("*").alias("unique"), F.count_if(F.col("status") == "clean").alias("clean"))
+    labelled = prepared.labelled.agg(F.count("*").alias("splits"), F.count("form").alias("labelled"))
+    counts = parsed.crossJoin(routed).crossJoin(labelled)  # one row each
+    stages = [("parse", "blocks", "records"), ("dedup", "records", "unique"), ("route", "unique", "clean"), ("split", "clean", "splits"), ("label", "splits", "labelled")]
+    rows = [F.struct(F.lit(i).alias("place"), F.lit(n).alias("stage"), F.col(a).alias("rows_in"), F.col(b).alias("rows_out")) for i, (n, a, b) in enumerate(stages)]
+    return counts.select(F.inline(F.array(*rows)))
