@@ -1,7 +1,8 @@
 """Token ids by the tokenizers library, asked once for each distinct pre-token.
 
-A byte-level BPE treats each pre-token alone, so the library encodes the distinct
-ones of a chunk in one call and numpy puts their ids in the places of the text.
+A byte-level BPE treats each pre-token alone, so the library's model merges the
+distinct ones and numpy puts their ids in the places of the text. The model sees
+bytes as letters, as the library's byte-level step writes them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,14 @@ from corpusloom.llm import _bytes as B
 from corpusloom.llm.pretokens import pretoken_starts
 
 #: Distinct pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter of each byte: visible ones of Latin-1 stand for themselves, the others follow from U+0100 on."""
+    visible = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    others = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class LibraryTokens:
@@ -24,7 +32,7 @@ class LibraryTokens:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model, self.letters = self.library.model, byte_letters()
         self._forget()
 
     @classmethod
@@ -40,7 +48,7 @@ class LibraryTokens:
         self.flat = np.zeros(0, np.int32)
 
     def _learn(self, keys: list[int], pieces: list[bytes]) -> None:
-        ids = [e.ids for e in self.library.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)]
+        ids = [[t.id for t in self.model.tokenize(p.decode("latin-1").translate(self.letters))] for p in pieces]
         size = np.array([len(i) for i in ids], np.int64)
         self.place.update(zip(keys, range(len(self.begin), len(self.begin) + len(keys)), strict=True))
         self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(size) - size))
