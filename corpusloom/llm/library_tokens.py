@@ -68,7 +68,9 @@ class LibraryTokens:
         names = distinct.tolist()
         new = [i for i, k in enumerate(names) if k not in self.place]
         if new:
-            self._learn([names[i] for i in new], [data[starts[first[i]] : ends[first[i]]].tobytes() for i in new])
+            raw = data.tobytes()
+            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
+            self._learn([names[i] for i in new], [raw[a:b] for a, b in spans])
         place = np.array([self.place[k] for k in names], np.int64)[inverse]
         size = self.size[place]
         at = np.concatenate(([0], np.cumsum(size)))
