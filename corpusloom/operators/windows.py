@@ -26,18 +26,24 @@ def next_token_windows(encoded: DataFrame, block: int, stride: int) -> DataFrame
     last = F.floor((F.col("n") - block - 1) / stride)
     low = F.greatest(F.lit(0), F.ceil((F.col("tok_start") - block) / stride))
     high = F.least(last, F.floor((F.col("tok_end") - 1) / stride))
-    placed = spans.where((F.col("n") > block) & (low <= high) & (F.col("tok_end") > F.col("tok_start"))).withColumn("window", F.explode(F.sequence(low, high)))
-    start = F.col("window") * stride
-    begin, end = F.greatest("tok_start", start), F.least("tok_end", start + block + 1)
-    pieces = placed.select("split", start.alias("start"), begin.alias("at"), F.slice("tokens", (begin - F.col("tok_start") + 1).cast("int"), (end - begin).cast("int")).alias("part"), (end - begin).alias("n")).where("n > 0")
+    held = spans.where((F.col("n") > block) & (low <= high) & (F.col("tok_end") > F.col("tok_start")))
+
+    def piece(window):
+        start = window * stride
+        begin, end = F.greatest(F.col("tok_start"), start), F.least(F.col("tok_end"), start + block + 1)
+        return F.struct(start.alias("start"), begin.alias("at"), F.slice("tokens", (begin - F.col("tok_start") + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int")).alias("part"))
+
+    # Slices are cut before rows multiply, so that no row carries a whole record.
+    pieces = held.select("split", F.inline(F.transform(F.sequence(low, high), piece))).where(F.size("part") > 0)
     return _pairs(pieces, ["split", "start"], block)
 
 
 def sample_windows(encoded: DataFrame, n: int, block: int, seed: int = 42) -> DataFrame:
     """sample, split, start, x, y of n windows of each split at hashed starts, with replacement.
 
-    A start lies in [0, tokens - block - 1); splits too short for one have none. Spans
-    of windows and records meet by an equi join on buckets of ``block`` tokens.
+    A start lies in [0, tokens - block - 1); splits too short for one have none. Windows
+    meet records by an equi join on buckets of ``block`` tokens; a record sends each
+    bucket its own stretch only.
     """
     spark = encoded.sparkSession
     size = F.size("tokens")
@@ -48,13 +54,16 @@ def sample_windows(encoded: DataFrame, n: int, block: int, seed: int = 42) -> Da
     starts = drawn.select("sample", "split", (F.conv(digits, 16, 10).cast("long") % places).alias("start"))
     buckets = lambda a, b: F.explode(F.sequence(F.floor(a / block), F.floor(b / block)))
     wanted = starts.withColumn("bucket", buckets(F.col("start"), F.col("start") + block))
-    spans = encoded.where(size > 0).select("split", "tokens", "tok_start", (F.col("tok_start") + size).alias("tok_end"))
-    spans = spans.withColumn("bucket", buckets(F.col("tok_start"), F.col("tok_end") - 1))
-    met = wanted.join(spans, ["split", "bucket"])
-    begin, end = F.greatest("tok_start", "start"), F.least("tok_end", F.col("start") + block + 1)
-    # A pair that shares several buckets counts in the first of them.
-    once = met.where((end > begin) & (F.col("bucket") == F.floor(begin / block)))
-    pieces = once.select("sample", "split", "start", begin.alias("at"), F.slice("tokens", (begin - F.col("tok_start") + 1).cast("int"), (end - begin).cast("int")).alias("part"))
+    full = encoded.where(size > 0).select("split", "tokens", "tok_start", (F.col("tok_start") + size).alias("tok_end"))
+
+    def stretch(bucket):
+        begin, end = F.greatest(F.col("tok_start"), bucket * block), F.least(F.col("tok_end"), (bucket + 1) * block)
+        return F.struct(bucket.alias("bucket"), begin.alias("s"), end.alias("e"), F.slice("tokens", (begin - F.col("tok_start") + 1).cast("int"), (end - begin).cast("int")).alias("tokens"))
+
+    numbers = F.sequence(F.floor(F.col("tok_start") / block), F.floor((F.col("tok_end") - 1) / block))
+    met = wanted.join(full.select("split", F.inline(F.transform(numbers, stretch))), ["split", "bucket"])
+    begin, end = F.greatest("s", "start"), F.least("e", F.col("start") + block + 1)
+    pieces = met.where(end > begin).select("sample", "split", "start", begin.alias("at"), F.slice("tokens", (begin - F.col("s") + 1).cast("int"), (end - begin).cast("int")).alias("part"))
     return _pairs(pieces, ["sample", "split", "start"], block)
 
 
