@@ -13,7 +13,8 @@ from corpusloom.plans.views import view
 from corpusloom.policy import CLASSICAL, LATIN_SCRIPT
 
 Query = Callable[[SparkSession, str], DataFrame]
-BLOCK, STRIDE, SAMPLES = 256, 4096, 50
+BLOCK, SAMPLES = 256, 50
+STRIDE = BLOCK  # windows tile the whole stream
 SAMPLE_SIZES = {"train": 30, "validation": 20, "test": 20}
 
 
