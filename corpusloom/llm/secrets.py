@@ -37,7 +37,8 @@ ENCODINGS = (
 #: Lengths below each bound make a stratum.
 STRATA = (32, 48, 80)
 FALSE_REJECTIONS = 0.05
-P_BINS = 1000
+#: Bins of p-values in each power of ten.
+DECADE_BINS = 100
 
 KINDS = ("assign", "access", "hex", "random")
 _SPANS = "array<struct<kind:int,s:int,e:int>>"
@@ -172,13 +173,20 @@ def _tested(text: Column) -> Column:
 
 
 def _limits(scanned: DataFrame) -> DataFrame:
-    """For each stratum the highest bin of p-values that is rejected: at most a row for each stratum."""
-    tested = scanned.select(F.explode("__tested").alias("t")).select(F.col("t.stratum").alias("stratum"), F.least(F.floor(F.col("t.p") * P_BINS), F.lit(P_BINS - 1)).alias("bin"))
-    bins = tested.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("stratum").orderBy("bin"))
-    ranked = bins.select("stratum", "bin", upto.alias("upto"), F.sum("n").over(Window.partitionBy("stratum")).alias("m"))
-    rejected = ranked.where((F.col("bin") + 1) / P_BINS <= FALSE_REJECTIONS * F.col("upto") / F.col("m"))
-    return rejected.groupBy("stratum").agg(F.max("bin").alias("bin"))
+    """For each stratum the highest p-value that is rejected: at most a row for each stratum.
+
+    A value of rank k among m is rejected if one no smaller is at most FALSE_REJECTIONS * k / m.
+    Values above FALSE_REJECTIONS count in m only. Ranks are two-level sums: bins of
+    log p, bounded in number, are summed in one place, values inside their bin.
+    """
+    tested = scanned.select(F.explode("__tested").alias("t")).select(F.col("t.stratum").alias("stratum"), F.when(F.col("t.p") <= FALSE_REJECTIONS, F.col("t.p")).alias("p"))
+    values = tested.groupBy("stratum", "p").agg(F.count("*").alias("n")).withColumn("bin", F.floor(-F.log10("p") * DECADE_BINS))
+    bins = values.groupBy("stratum", "bin").agg(F.sum("n").alias("inside"))
+    upto = F.sum("inside").over(Window.partitionBy("stratum").orderBy(F.col("bin").desc_nulls_last()))
+    placed = bins.select("stratum", "bin", (upto - F.col("inside")).alias("before"), F.sum("inside").over(Window.partitionBy("stratum")).alias("m"))
+    rank = F.col("before") + F.sum("n").over(Window.partitionBy("stratum", "bin").orderBy("p"))
+    ranked = values.join(F.broadcast(placed), ["stratum", "bin"]).select("stratum", "p", "m", rank.alias("rank"))
+    return ranked.where(F.col("p") <= FALSE_REJECTIONS * F.col("rank") / F.col("m")).groupBy("stratum").agg(F.max("p").alias("p"))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
@@ -198,9 +206,9 @@ def _found(docs: DataFrame, rest: list[str]) -> DataFrame:
     """The columns ``rest`` with __base and __spans."""
     text = F.coalesce(F.col("text"), F.lit(""))
     scanned = materialize(docs.select(*rest, base_spans(text).alias("__base"), _tested(text).alias("__tested")), "scanned")
-    limits = _limits(scanned).agg(F.map_from_entries(F.collect_list(F.struct("stratum", "bin"))).alias("__limits"))
+    limits = _limits(scanned).agg(F.map_from_entries(F.collect_list(F.struct("stratum", "p"))).alias("__limits"))
     judged = scanned.crossJoin(F.broadcast(limits))  # one row
-    random = F.filter("__tested", lambda t: F.floor(t["p"] * P_BINS) > F.coalesce(F.element_at(F.col("__limits"), t["stratum"]), F.lit(-1)))
+    random = F.filter("__tested", lambda t: t["p"] > F.coalesce(F.element_at(F.col("__limits"), t["stratum"]), F.lit(-1.0)))
     apart = F.filter(random, lambda t: ~F.exists(F.col("__base"), lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
     added = F.transform(apart, lambda t: F.struct(F.lit(3).alias("kind"), t["s"].alias("s"), t["e"].alias("e")))
     return judged.select(*rest, "__base", _in_order(F.concat("__base", added)).alias("__spans"))

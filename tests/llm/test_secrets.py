@@ -63,3 +63,26 @@ def test_redaction(spark, awkward, empty):
     assert {r.doc_id: (r.text, r.spans) for r in out.collect()} == {1: ("é [secret] tail", 3), 2: (None, 4), 3: ("plain", 5)}
     assert secrets.redact_secrets(awkward[0]).count() == len(awkward[1])
     assert secrets.secret_digests(empty).count() == 0
+
+
+def test_rejections_are_those_of_the_exact_procedure(spark):
+    rng, rows, values, expected = random.Random(3), [], {}, {}
+    for stratum, plain in enumerate((50, 100, 150, 0)):
+        ps = [1e-9] * plain + [rng.random() for _ in range(10_000 - plain)]
+        ranked = sorted(ps)
+        expected[stratum] = max((k for k, p in enumerate(ranked, 1) if p <= secrets.FALSE_REJECTIONS * k / len(ps)), default=0)
+        values[stratum] = ps
+        rows += [([(0, 20, stratum, p)],) for p in ps]
+    df = spark.createDataFrame(rows, "__tested array<struct<s:int,e:int,stratum:int,p:double>>")
+    limits = {r.stratum: r.p for r in secrets._limits(df).collect()}
+    got = {k: sum(p <= limits.get(k, -1) for p in ps) for k, ps in values.items()}
+    assert got == expected and all(expected[k] >= n for k, n in enumerate((50, 100, 150)))
+
+
+def test_few_plain_tokens_among_many_random_ones_are_left(spark):
+    rng = random.Random(12)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    made = ["".join(rng.choice(alphabet) for _ in range(44)) for _ in range(600)] + ["A" + "a" * 42 + "1"] * 5
+    df = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(made)], "doc_id long, text string")
+    flagged = {r.doc_id for r in secrets.secret_digests(df).collect() if "random" in r.spans}
+    assert len([i for i in flagged if i < 600]) >= 540 and not [i for i in flagged if i >= 600]
