@@ -17,7 +17,7 @@ _HEAD = f"{_TITLE}||chr(10)||lang"
 _PLAIN = f"{_HEAD}||']'||chr(10)||source||chr(10)||{_BODY}"
 
 _JSON_ID = f"case when doc_id%43=0 then 'poem-0000001' when doc_id%47=0 then 'bad-'||cast(doc_id as string) else {_ID} end"
-_JSON_TEXT = "replace(replace(replace(substring(text,1,200),chr(10),' '),chr(34),''),chr(92),'')"
+_JSON_TEXT = "replace(replace(replace(text,chr(92),chr(92)||chr(92)),chr(34),chr(92)||chr(34)),chr(10),chr(92)||'n')"
 _JSON_BLOCK = "case when doc_id%41=0 then chr(34)||cast(doc_id+1 as string)||chr(34) else cast(doc_id+1 as string) end"
 _JSON = (
     f"'{{\"id\":\"'||{_JSON_ID}||'\",\"title\":\"t'||cast(doc_id as string)||'\",\"dynasty\":\"'||lang||'\",'"
@@ -65,7 +65,7 @@ VIEWS: dict[str, dict[str, str]] = {
         "text": "case doc_id%10 when 0 then text||' <b>x</b>' when 1 then text||' https://a.example' when 2 then text||'注释' when 3 then text||'□' when 4 then text||'�' "
         "when 5 then text||chr(1) when 6 then text||'出自《诗经》' when 7 then text||' license license' else text end",
     },
-    "v_latin_mix": {"id": _ID, "title": "'题'||cast(doc_id%3 as string)", "dynasty": "case when doc_id%5=0 then '' when doc_id%5=1 then '现代' else '唐朝' end", "author": "'佚名'", "text": "repeat('床，', cast(doc_id%100 as int))||substring(text,1,cast(doc_id%60 as int))", "source_block": "doc_id+1"},
+    "v_latin_mix": {"id": _ID, "title": "'题'||cast(doc_id%3 as string)", "dynasty": "case when doc_id%5=0 then '' when doc_id%5=1 then '现代' else '唐朝' end", "author": "'佚名'", "text": "repeat('床，', cast(doc_id%100 as int))||text", "source_block": "doc_id+1"},
     "v_poems": {
         "id": _ID,
         "title": "'诗'||cast(doc_id as string)",

@@ -27,3 +27,12 @@ def test_windows_tile_the_whole_stream(spark, tmp_path):
 
 def test_headline_times_the_slow_queries_too():
     assert {"next_token_windows", "sample_windows", "encode", "token_offsets", "normalization_stats", "validation_summary", "duplicate_audit", "reason_counts", "split_accounting"} <= set(bench.HEADLINE)
+
+
+def test_views_carry_whole_texts(spark, tmp_path):
+    text = 'say "a\\b"\n' + "some words " * 600 + "copyright"
+    sf = tables(spark, tmp_path, ["short text here", text])
+    run = lambda name: plans.queries()[name](spark, sf).collect()
+    assert {r.line_number: r.reasons for r in run("suspicious_records")}[2].split(",")[-4:] == ["body_longer_than_500", "body_longer_than_1000", "body_longer_than_5000", "contains_marker:copyright"]
+    assert run("validation_summary")[0].longest == len(text)
+    assert "body_longer_than_5000" in {r.id: r.reasons for r in run("content_reasons_classical")}["poem-0000002"]
