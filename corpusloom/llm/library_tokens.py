@@ -2,11 +2,14 @@
 
 A byte-level BPE treats each pre-token alone, so the library's model merges the
 distinct ones and numpy puts their ids in the places of the text. The model sees
-bytes as letters, as the library's byte-level step writes them.
+bytes as letters, as the library's byte-level step writes them. ``encode_added``
+also finds the file's added tokens.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from corpusloom.llm import _bytes as B
@@ -33,6 +36,10 @@ class LibraryTokens:
 
         self.library = Tokenizer.from_file(path)
         self.model, self.letters = self.library.model, byte_letters()
+        added = self.library.get_added_tokens_decoder()
+        self.odd = [t.content for t in added.values() if t.single_word or t.lstrip or t.rstrip or t.normalized]
+        self.added = {t.content.encode(): i for i, t in added.items()}
+        self.match = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)))
         self._forget()
 
     @classmethod
@@ -77,6 +84,26 @@ class LibraryTokens:
         return self.flat[B.ranges(self.begin[place], size)], at[np.searchsorted(starts, offsets)]
 
 
+    def encode_added(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with the file's added tokens found in the texts first, as the library does by default.
+
+        Each stands for its id; the stretches between are encoded apart.
+        """
+        if self.odd:
+            raise ValueError(f"added tokens with rules of their own: {self.odd}")
+        raw = data.tobytes()
+        if not any(t in raw for t in self.added):
+            return self.encode(data, offsets)
+        met = [m for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for m in self.match.finditer(raw, a, b)]
+        first, last = (np.array([m.span()[k] for m in met], np.int64) for k in (0, 1))
+        cuts = np.sort(np.concatenate((offsets, first, last)))
+        ids, at = self.encode(data, cuts)
+        begin, size, held = at[:-1].copy(), np.diff(at), np.searchsorted(cuts, first, side="right") - 1
+        begin[held], size[held] = len(ids) + np.arange(len(met)), 1
+        flat = np.concatenate((ids, np.array([self.added[m[0]] for m in met], np.int32)))
+        return flat[B.ranges(begin, size)], np.concatenate(([0], np.cumsum(size)))[np.searchsorted(cuts, offsets)]
+
+
 def with_end(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with ``end_id`` after each document."""
     documents = len(at) - 1

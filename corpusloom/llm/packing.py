@@ -33,14 +33,15 @@ def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def _pieces(path: str, end_id: int, longest: int, with_ids: bool):
+def _pieces(path: str, end_id: int, longest: int, with_ids: bool, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part = LibraryTokens.of(path), TaskContext.get().partitionId()
+        encode = tokens.encode_added if added else tokens.encode
         met: dict[int, int] = {}
         for batch in batches:
             data, offsets = B.text_buffers(batch.column(1))
             for a, b, text, off in B.chunks(data, offsets):
-                ids, at = with_end(*tokens.encode(text, off), end_id)
+                ids, at = with_end(*encode(text, off), end_id)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 rows: list[tuple] = []
                 blobs: list[bytes] = []
@@ -62,12 +63,13 @@ def _pieces(path: str, end_id: int, longest: int, with_ids: bool):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = LONGEST, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = LONGEST, with_ids: bool = True, added: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, ids.
 
     ids holds 32-bit little-endian token ids of the tokenizers library, ``end_id``
     after each document; a null or empty text is the end id alone. offset is 0
-    throughout. sequence_id numbers all pieces from 0, longest bucket first, without
+    throughout. With ``added``, a text's added tokens get their ids, as the library
+    gives them by default; without, they are plain text. sequence_id numbers all pieces from 0, longest bucket first, without
     gaps. Rows of one doc_id are packed each; a null doc_id stays null; other
     columns are dropped; an empty table has no pieces.
 
@@ -76,7 +78,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longes
     """
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = materialize(source.mapInArrow(_pieces(tokenizer_path, end_id, longest, with_ids), _SCHEMA + ", ids binary" * with_ids), "pieces")
+    pieces = materialize(source.mapInArrow(_pieces(tokenizer_path, end_id, longest, with_ids, added), _SCHEMA + ", ids binary" * with_ids), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     inside = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     buckets = counts.groupBy("length").agg(F.sum("n").alias("total"))

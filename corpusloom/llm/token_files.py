@@ -52,16 +52,17 @@ def unpack(controls: bytes, data: bytes, count: int) -> np.ndarray:
     return out
 
 
-def _token_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+def _token_blocks(docs: DataFrame, path: str, end_id: int, added: bool) -> DataFrame:
     """Blocks of 16-bit or 32-bit ids in document order, and how often each id occurs in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, block = LibraryTokens.of(path), TaskContext.get().partitionId(), 0
+        encode = tokens.encode_added if added else tokens.encode
         wide = "<u2" if tokens.library.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
             data, offsets = B.text_buffers(batch.column(1))
             for a, b, text, off in B.chunks(data, offsets):
-                ids, at = with_end(*tokens.encode(text, off), end_id)
+                ids, at = with_end(*encode(text, off), end_id)
                 yield pa.RecordBatch.from_pydict(
                     {"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "doc_ids": pa.array([batch.column(0).slice(a, b - a).to_pylist()], pa.list_(pa.int64())), "sizes": pa.array([np.diff(at)], pa.list_(pa.int32())), "ids": pa.array([ids.astype(wide).tobytes()], pa.binary())}
                 )
@@ -87,11 +88,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"id": pa.array(met, pa.int64()), "n": pa.array(total[met], pa.int64())})
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, added: bool = False) -> DataFrame:
     """Write the ids of all texts under ``path`` and return the rank table (id, rank, n).
 
     Texts are encoded by the tokenizers library without special tokens, ``end_id``
-    after each; a null text is an empty one and has the end id only. Documents are
+    after each; with ``added``, added tokens inside a text get their ids, as the
+    library gives them by default. A null text is an empty one and has the end id only. Documents are
     ordered by doc_id, null first, then by text, whatever other columns there are;
     repeated rows are written each. The rank table holds one row for each id that
     occurs, so it is bounded by the vocabulary; ties go to the smaller id.
@@ -99,7 +101,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     spark = docs.sparkSession
     bounded_batches(spark)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    blocks = materialize(_token_blocks(ordered, tokenizer_path, end_id), "tokens")
+    blocks = materialize(_token_blocks(ordered, tokenizer_path, end_id, added), "tokens")
     counts = blocks.select("sizes", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = sorted(((-r.n, r.id) for r in counts.collect()))
     by_rank = np.array([i for _, i in counts], np.int64)

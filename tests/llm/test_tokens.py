@@ -3,6 +3,7 @@ import hashlib
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -16,6 +17,7 @@ from corpusloom.llm import _bytes as B
 from corpusloom.llm import bpe, packing, token_files
 from corpusloom.llm._shared import shared_dir
 from corpusloom.llm.library_tokens import LibraryTokens
+from corpusloom.llm.queries import queries
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PLAIN = public_tokenizers.path("byte_bpe_50k.json")
@@ -120,3 +122,27 @@ def test_packing_on_awkward_rows(awkward, empty, tools):
 def test_rank_file_is_read():
     ranks = bpe.load_ranks(MULTI)
     assert len(ranks) == 50_256 and base64.b64encode(next(iter(ranks)))
+
+
+def test_added_tokens_as_the_library_finds_them():
+    library, rng = Tokenizer.from_file(PLAIN), random.Random(8)
+    pieces = [*PIECES, "<|endoftext|>", "<|endof", "text|>", "<|"]
+    texts = ["a <|endoftext|> b", "<|endof", "text|>", "", "<|endoftext|>"] + ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    data, offsets = B.text_buffers(pa.array(texts))
+    for a, b, part, off in B.chunks(data, offsets, 5000):
+        ids, at = LibraryTokens.of(PLAIN).encode_added(part, off)
+        assert [ids[at[k - a] : at[k - a + 1]].tolist() for k in range(a, b)] == [library.encode(texts[k], add_special_tokens=False).ids for k in range(a, b)]
+
+
+def test_queries_give_added_tokens_their_ids(spark, tmp_path):
+    library, texts = Tokenizer.from_file(PLAIN), ["a <|endoftext|> b", "plain", "<|endoftext|>"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    crc = lambda k, end: zlib.crc32(np.array(ids[k] + [end], "<u4").tobytes())
+    files = sorted(map(tuple, queries()["op5_token_files"](spark, str(tmp_path)).collect()))
+    starts = np.cumsum([0] + [len(i) + 1 for i in ids]).tolist()
+    assert files == [(k, starts[k], len(ids[k]) + 1, crc(k, 2)) for k in range(3)]
+    packed = {r.doc_id: r.doc_tokens for r in queries()["op9_packing"](spark, str(tmp_path)).collect()}
+    assert packed == {k: len(i) + 1 for k, i in enumerate(ids)}
+    last = corpus_pipeline.packing(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r.doc_id: r.doc_tokens for r in last.collect()} == packed
