@@ -16,6 +16,7 @@ the sets differ in shingles, and a pair that could be a link is never left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -214,7 +215,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _node(doc_id: Column, text: Column) -> Column:
+    """The doc_id, or for a null one a number from 2**62 on that depends on the text."""
+    return F.coalesce(doc_id.cast("long"), F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+
+
+def _words(text: Column) -> Column:
+    """A digest of the words as shingles see them, null where there are none."""
+    plain = F.trim(F.regexp_replace(F.translate(text, ascii_uppercase, ascii_lowercase), r"[\x20\x09-\x0D]+", " "))
+    return F.when(plain != "", F.sha2(plain.cast("binary"), 256))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document stays, all columns unchanged."""
-    dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` whose document stays, all columns unchanged.
+
+    Of rows with one doc_id and the same words one stays; rows with a null doc_id
+    are documents of their own here, so their copies link. Rows without words stay.
+    Only rows of repeated documents move for that, reduced in each task first.
+    """
+    keyed = docs.withColumn("__node", _node(F.col("doc_id"), F.col("text")))
+    found = near_duplicates(keyed.select(F.col("__node").alias("doc_id"), "text"))
+    marks = found.groupBy(F.col("doc_id").alias("__node")).agg(F.bool_and("kept").alias("__kept"), F.count_if(F.col("n_shingles") > 0).alias("__n")).where("not __kept or __n > 1")
+    marks = materialize(marks, "marks")
+    single = keyed.join(marks, "__node", "left_anti").select(docs.columns)
+    again = keyed.join(marks.where("__kept").select("__node"), "__node", "left_semi").withColumn("__words", _words(F.col("text")))
+    one = again.where("__words is not null").dropDuplicates(["__node", "__words"])
+    return single.unionByName(one.select(docs.columns)).unionByName(again.where("__words is null").select(docs.columns))

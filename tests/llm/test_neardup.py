@@ -63,6 +63,15 @@ def test_drop_keeps_columns_and_one_of_each_group(awkward, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_drop_keeps_one_of_repeated_rows_and_of_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (1, a.upper()), (2, a), (None, b), (None, b), (None, b + " tail"), (None, None), (None, None), (3, ""), (3, ""), (4, c), (4, a + " " + c), (None, c), (5, "x y z")]
+    kept = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = sorted((str(r.doc_id), (r.text or "-").lower()[:2]) for r in kept)
+    assert [g for g in got if g[0] == "None"] == [("None", "-"), ("None", "-"), ("None", "b0")]
+    assert [g for g in got if g[0] != "None"] == [("1", "a0"), ("3", "-"), ("3", "-"), ("4", "a0"), ("4", "c0"), ("5", "x ")]
+
+
 def test_densified_bins_are_filled_and_alike_for_equal_sets():
     sets = [np.sort(np.random.default_rng(i).integers(0, 2**64, n, dtype=np.uint64)) for i, n in ((1, 1), (2, 3), (3, 400), (2, 3))]
     s = neardup.signatures(sets)
