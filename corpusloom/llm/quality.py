@@ -108,15 +108,25 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1)), pa.array(np.append(total[1, met], documents[1])), pa.array(np.append(total[0, met], documents[0]))], names=["word", "good", "bad"])
 
 
-def sample_labels(labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> DataFrame:
-    """doc_id, sound (quality is 1) and harmless (not toxic), 0 or 1, of at most ``most`` labelled documents.
+def _one_label(labels: DataFrame) -> DataFrame:
+    """doc_id, sound (quality is 1) and harmless (not toxic), 0 or 1, of every labelled document.
 
     Labels without an id or a quality are left out; of a doc_id with several labels
     the worst counts; an unknown toxicity is none.
     """
     sound, harmless = (F.col("quality") == 1).cast("int"), (F.coalesce("toxic", F.lit(0)) == 0).cast("int")
-    one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(sound).alias("sound"), F.min(harmless).alias("harmless"))
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(sound).alias("sound"), F.min(harmless).alias("harmless"))
+
+
+def sample_labels(labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> DataFrame:
+    """At most ``most`` of the labelled documents: doc_id, sound, harmless."""
+    return _one_label(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def good_share(docs: DataFrame, labels: DataFrame) -> float:
+    """The share of good ones among all documents with a label; 1 without any. One row reaches the driver."""
+    row = docs.select("doc_id").join(_one_label(labels), "doc_id").agg(F.avg(F.col("harmless") * F.col("sound")).alias("share")).first()
+    return 1.0 if row.share is None else row.share
 
 
 @dataclass
@@ -265,7 +275,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sample = materialize(sample_labels(labels), "sample")
     classifier = fit(docs, sample)
     scored = materialize(score_documents(docs, classifier), "scored")
-    return judge(scored, classifier.base if classifier else 1.0)
+    return judge(scored, good_share(docs, labels) if classifier else 1.0)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -47,3 +47,13 @@ def test_awkward_rows(spark, awkward, empty):
     assert nothing.count() == len(rows) and all(r.keep for r in nothing.collect())
     assert quality.keep_good(df, labels.where("false")).columns == df.columns
     assert quality.classify_quality(empty, labels).count() == 0
+
+
+def test_prior_counts_all_labels(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i % 7} some more words {i}", "en", "s") for i in range(200)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i % 10 > 2), 0) for i in range(260)], "doc_id long, quality int, toxic int")
+    whole, bases = quality.sample_labels, []
+    monkeypatch.setattr(quality, "sample_labels", lambda labels: whole(labels, 17))
+    monkeypatch.setattr(quality, "judge", lambda scored, base: bases.append(base))
+    quality.classify_quality(docs, labels)
+    assert abs(bases[0] - 0.7) < 1e-12
