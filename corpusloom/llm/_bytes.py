@@ -83,6 +83,18 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * _ODD)
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE_HASH, most: int = CHUNK_BYTES) -> np.ndarray:
+    """``span_hash`` of ascending spans, formed from about ``most`` bytes at a time."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + most, side="right")))
+        first, last = starts[at], ends[stop - 1]
+        out[at:stop] = span_hash(prefix_hash(table[data[first:last]]), starts[at:stop] - first, ends[at:stop] - first)
+        at = stop
+    return out
+
+
 def doc_of(offsets: np.ndarray, position: np.ndarray) -> np.ndarray:
     """The document of each byte position."""
     return np.searchsorted(offsets, position, side="right") - 1

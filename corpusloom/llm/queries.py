@@ -16,7 +16,7 @@ from corpusloom.llm.media import read_media, store_payloads
 from corpusloom.llm.neardup import near_duplicates
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.quality import classify_quality
-from corpusloom.llm.repeats import repeat_digests
+from corpusloom.llm.repeats import PASSAGE_WORDS, repeat_digests
 from corpusloom.llm.secrets import secret_digests
 from corpusloom.llm.token_files import file_digests, write_token_files
 from corpusloom.llm.top_k import top_k
@@ -62,7 +62,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeat_digests(_table(spark, sf_dir, "documents"))
+    return repeat_digests(_table(spark, sf_dir, "documents"), passage_words=PASSAGE_WORDS)
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

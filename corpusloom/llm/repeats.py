@@ -1,17 +1,21 @@
 """Repeated passages, found with enhanced suffix arrays, and their removal.
 
-Every window of ``LENGTH`` bytes is filed under the least hash of the short grams
-in it. Equal windows have equal least hashes, so it is enough to compare inside a
-file. Neighbouring windows mostly share their file, so a document becomes a short
-list of runs, and only hashes of runs are shuffled. A run whose whole content
-occurs twice is repeated as it stands. Where a file holds different contents, one
-of each is fetched and a suffix array over them is built: sorted suffixes with
-the lengths of their common prefixes. A scan with a stack walks the tree of
-common-prefix intervals; an interval whose suffixes don't all have the same
-character before them is a maximal repeat, and all its occurrences are put out.
-
-A file of more than ``LARGEST_FILE`` contents is not gathered: its windows are
-spread by their own hash first, whose classes are the intervals of depth LENGTH.
+A text is a sequence of symbols: its bytes, or its words. Every window of so many
+symbols is filed under the least hash of the short grams in it. Equal windows have
+equal least hashes, so it is enough to compare inside a file. Neighbouring windows
+mostly share their file, so a document becomes a short list of runs, and only
+hashes of runs are shuffled. A run whose whole content occurs twice is repeated as
+it stands: copies of one string make one interval, whose leaves are known. Where a
+file holds different contents, one of each is fetched and a suffix array over them
+is built: sorted suffixes with the lengths of their common prefixes. A scan with a
+stack walks the tree of common-prefix intervals; an interval whose suffixes don't
+all have the same symbol before them is a maximal repeat, and all its occurrences
+are put out.
+
+A file of more than ``LARGEST_FILE`` contents is not gathered in one task. Its
+contents are filed anew by longer grams, which part windows that share a short
+gram only, and the same is done with those files. The last grams are as long as a
+window, so a file is then the windows that are equal.
 """
 
 from __future__ import annotations
@@ -21,19 +25,38 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import _bytes as B
-from corpusloom.llm._shared import bounded_batches, materialize
+from corpusloom.llm._shared import BATCH_BYTES, bounded_batches, materialize
+from corpusloom.llm.shingles import word_spans
 
+#: Symbols of the shortest repeat, and of the grams that name files, by unit.
 LENGTH = 400
-GRAM = 32
+PASSAGE_WORDS = 50
+GRAMS = {"bytes": 32, "words": 5}
+#: How symbols are written where they are sorted or shuffled.
+_CODES = {"bytes": np.dtype("u1"), "words": np.dtype(">u4")}
 #: A run is cut after so many windows, which matters in monotonous texts only.
 LONGEST_RUN = 1024
 LARGEST_FILE = 2000
+#: Windows of a document that are looked at together.
+SEGMENT = B.CHUNK_BYTES
 
-_RUN_SCHEMA = "did long, th long, g long, c long, a int, n int, multi boolean"
+_NO_ID = -(2**63)
+
+
+def symbols(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all symbols of a chunk, and the offsets of its documents in them."""
+    if unit == "bytes":
+        return data, offsets
+    starts, ends = word_spans(data, offsets)
+    return (B.hash_spans(data, starts, ends) >> np.uint64(32)).astype(np.uint32), np.searchsorted(starts, offsets)
+
+
+def _hashes(codes: np.ndarray) -> np.ndarray:
+    return B.BYTE_HASH[codes] if codes.dtype == np.uint8 else B.mix64((codes.astype(np.uint64) + np.uint64(1)) * B._ODD)
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -47,15 +70,15 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[: n - width + 1], forward[width - 1 : n])
 
 
-def find_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def find_runs(codes: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(document, first window, windows, file, content hash, may repeat inside) of each run of a chunk."""
     none = np.zeros(0, np.int64)
-    width = length - GRAM + 1
-    if len(data) < length:
+    width = length - gram + 1
+    if len(codes) < length:
         return none, none, none, none.view(np.uint64), none.view(np.uint64), none.astype(bool)
-    prefix = B.prefix_hash(B.BYTE_HASH[data])
-    start = np.arange(len(data) - GRAM + 1)
-    grams = B.span_hash(prefix, start, start + GRAM)
+    prefix = B.prefix_hash(_hashes(codes))
+    start = np.arange(len(codes) - gram + 1)
+    grams = B.span_hash(prefix, start, start + gram)
     least = _sliding_least(grams, width)
     valid = np.zeros(len(least) + 1, np.int8)
     size = np.diff(offsets)
@@ -85,15 +108,28 @@ def find_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tu
     return doc, begin - offsets[doc], count, files, content, multi
 
 
-def _runs(length: int):
+def _segments(codes: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first document, its first window, codes, offsets): whole short documents, and stretches of windows of a long one."""
+    if len(offsets) != 2 or len(codes) <= 2 * SEGMENT:
+        yield 0, 0, codes, offsets
+        return
+    for at in range(0, len(codes) - length + 1, SEGMENT):
+        part = codes[at : at + SEGMENT + length - 1]
+        yield 0, at, part, np.array([0, len(part)])
+
+
+def _runs(unit: str, length: int):
+    names = ["did", "th", "g", "c", "a", "n", "multi"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             data, offsets = B.text_buffers(batch.column(2))
             for a, _, part, off in B.chunks(data, offsets):
-                doc, begin, count, files, content, multi = find_runs(part, off, length)
-                arrays = [ids[a + doc], hashes[a + doc], files.view(np.int64), content.view(np.int64), begin.astype(np.int32), count.astype(np.int32), multi]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["did", "th", "g", "c", "a", "n", "multi"])
+                for _, at, codes, own in _segments(*symbols(unit, part, off), length):
+                    doc, begin, count, files, content, multi = find_runs(codes, own, length, GRAMS[unit])
+                    arrays = [ids[a + doc], hashes[a + doc], files.view(np.int64), content.view(np.int64), (begin + at).astype(np.int32), count.astype(np.int32), multi]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
 
     return run
 
@@ -101,7 +137,7 @@ def _runs(length: int):
 def _keyed(docs: DataFrame) -> DataFrame:
     """did and th, which tell rows apart (a null id is the least long), and the text, null as empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def _squeezed(docs: DataFrame) -> DataFrame:
@@ -118,31 +154,47 @@ def _squeezed(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "did long, th long, packed binary")
 
 
-def _fetch(length: int):
-    """did, th, packed text and requests in; the bytes of each requested run out."""
-    names = ["g", "c", "single", "large", "did", "th", "a", "n", "bytes"]
+def _opened(press: zstandard.ZstdDecompressor, packed: bytes | None) -> bytes:
+    return press.decompress(packed, max_output_size=1 << 31) if packed else b""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _bounded(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches; the last field is bytes, of which a batch holds about BATCH_BYTES."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1]) + 100
+        if size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
+
+def _fetch(unit: str, length: int):
+    """Packed text and requests in; the symbols of each requested run out."""
+    names = ["g", "c", "d", "several", "whole", "large", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.binary()]
+    width = _CODES[unit].itemsize
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
-            out: list[list] = [[] for _ in names]
             for row in batch.to_pylist():
-                text = press.decompress(row["packed"], max_output_size=1 << 31) if row["packed"] else b""
+                text = np.frombuffer(_opened(press, row["packed"]), np.uint8)
+                raw = symbols(unit, text, np.array([0, len(text)]))[0].astype(_CODES[unit]).tobytes()
                 for r in row["runs"]:
-                    values = (r["g"], r["c"], r["single"], r["large"], row["did"], row["th"], r["a"], r["n"], text[r["a"] : r["a"] + r["n"] + length - 1])
-                    for column, value in zip(out, values, strict=True):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+                    yield (*(r[k] for k in names[:-1]), raw[r["a"] * width : (r["a"] + r["n"] + length - 1) * width])
 
-    return run
+    return lambda batches: _bounded(rows(batches), names, kinds)
 
 
 def maximal_repeats(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, positions of all occurrences) of each maximal repeat of at least ``length`` bytes.
+    """(length, positions of all occurrences) of each maximal repeat of at least ``length`` symbols.
 
     A repeat lies inside one of the strings that ``offsets`` delimit. Suffixes whose
-    first ``length`` bytes occur once, or always after the same character, begin no
+    first ``length`` symbols occur once, or always after the same one, begin no
     maximal repeat and are left out before the array is sorted.
     """
     size = np.diff(offsets)
@@ -150,7 +202,7 @@ def maximal_repeats(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH)
     start = B.ranges(offsets[:-1], windows)
     if len(start) < 2:
         return
-    prefix = B.prefix_hash(B.BYTE_HASH[data])
+    prefix = B.prefix_hash(_hashes(data))
     key = B.span_hash(prefix, start, start + length)
     order = np.argsort(key, kind="stable")
     start, key = start[order], key[order]
@@ -158,17 +210,19 @@ def maximal_repeats(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH)
     count = np.diff(np.append(edge, len(key)))
     left = np.where(np.isin(start, offsets), -1 - start, data[np.maximum(start - 1, 0)].astype(np.int64))
     diverse = (np.minimum.reduceat(left, edge) != np.maximum.reduceat(left, edge)) & (count > 1)
-    text = data.tobytes()
+    # Big-endian symbols sort as their bytes do.
+    sorted_as = data.astype(_CODES["bytes" if data.dtype == np.uint8 else "words"])
+    text, wide = sorted_as.tobytes(), sorted_as.itemsize
     end_of = offsets[np.searchsorted(offsets, start, side="right")]
     for at, n in zip(edge[diverse].tolist(), count[diverse].tolist(), strict=True):
-        members = sorted(range(at, at + n), key=lambda i: text[start[i] : end_of[i]])
+        members = sorted(range(at, at + n), key=lambda i: text[start[i] * wide : end_of[i] * wide])
         suffix = start[members]
         lcp = _common_prefixes(prefix, suffix, end_of[members], length)
         yield from _intervals(suffix, lcp, left[members])
 
 
 def _common_prefixes(prefix: np.ndarray, suffix: np.ndarray, end: np.ndarray, least: int) -> np.ndarray:
-    """How many bytes neighbouring suffixes share, by bisection on span hashes; ``least`` are known to be equal."""
+    """How many symbols neighbouring suffixes share, by bisection on span hashes; ``least`` are known to be equal."""
     a, b = suffix[:-1], suffix[1:]
     low, high = np.full(len(a), least), np.minimum(end[:-1] - a, end[1:] - b)
     while (open_ := low < high).any():
@@ -192,26 +246,42 @@ def _intervals(suffix: np.ndarray, lcp: np.ndarray, left: np.ndarray) -> Iterato
             stack.append((depth, first))
 
 
-def _repeat_spans(length: int):
-    """Runs sorted by file in; spans of the documents that own single contents out."""
+_FOUND = "g long, c long, s long, e long, grp long"
+
+
+def _solve(unit: str, length: int, across: bool, groups: bool):
+    """Contents sorted by file in; what repeats in them out.
+
+    With ``groups`` each occurrence of each maximal repeat is a row, and grp tells
+    repeats apart; without, the occurrences in a content are joined to spans.
+    """
 
     def solve(rows: list[dict]) -> pa.RecordBatch:
-        data = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
-        offsets = np.concatenate(([0], np.cumsum([len(r["bytes"]) for r in rows])))
-        mask = np.zeros(len(data) + 1, np.int64)
-        for size, places in maximal_repeats(data, offsets, length):
-            np.add.at(mask, places, 1)
-            np.add.at(mask, places + size, -1)
-        covered = np.concatenate(([False], np.cumsum(mask[:-1]) > 0, [False]))
-        # Neighbouring strings must not run into each other.
+        codes = np.frombuffer(b"".join(r["bytes"] for r in rows), _CODES[unit])
+        codes = codes.astype(codes.dtype.newbyteorder("="))
+        offsets = np.concatenate(([0], np.cumsum([len(r["bytes"]) // _CODES[unit].itemsize for r in rows])))
+        doc, several = np.array([r["d"] for r in rows]), np.array([r["several"] for r in rows])
+        mask = np.zeros(len(codes) + 1, np.int64)
         out: list[tuple] = []
-        for r, a, b in zip(rows, offsets[:-1], offsets[1:], strict=True):
-            if r["single"]:
-                inside = np.concatenate(([False], covered[a + 1 : b + 1], [False])).astype(np.int8)
+        prefix = B.prefix_hash(_hashes(codes)) if groups else None
+        for size, places in maximal_repeats(codes, offsets, length):
+            holder = B.doc_of(offsets, places)
+            if across and not several[holder].any() and doc[holder].min() == doc[holder].max():
+                continue
+            if groups:
+                name = int(B.span_hash(prefix, places[:1], places[:1] + size).view(np.int64)[0])
+                out += [(rows[h]["g"], rows[h]["c"], s, s + size, name) for h, s in zip(holder.tolist(), (places - offsets[holder]).tolist(), strict=True)]
+            else:
+                np.add.at(mask, places, 1)
+                np.add.at(mask, places + size, -1)
+        covered = np.cumsum(mask[:-1]) > 0
+        for r, a, b in zip(rows, offsets[:-1], offsets[1:], strict=True) if not groups else ():
+            if not r["whole"]:
+                inside = np.concatenate(([False], covered[a:b], [False])).astype(np.int8)
                 turn = np.flatnonzero(np.diff(inside))
-                out += [(r["did"], r["th"], r["a"] + int(s), r["a"] + int(e)) for s, e in zip(turn[::2], turn[1::2], strict=True)]
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["did", "th", "s", "e"])
+                out += [(r["g"], r["c"], int(s), int(e), 0) for s, e in zip(turn[::2], turn[1::2], strict=True)]
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["g", "c", "s", "e", "grp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -229,113 +299,197 @@ def _repeat_spans(length: int):
     return run
 
 
-def _window_hashes(length: int):
-    """The hash of each window of each run, for files that are too large to gather."""
+def _refile(unit: str, length: int, gram: int):
+    """Contents of large files in; their runs by longer grams out, with their symbols."""
+    names = ["pg", "pc", "d", "several", "g", "c", "a", "n", "multi", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+    width = _CODES[unit].itemsize
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for row in batch.to_pylist():
-                data = np.frombuffer(row["bytes"], np.uint8)
-                start = np.arange(row["n"])
-                key = B.span_hash(B.prefix_hash(B.BYTE_HASH[data]), start, start + length)
-                same = [pa.array(np.full(row["n"], row[k], np.int64)) for k in ("did", "th")]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *same, pa.array(start + row["a"]), pa.array([row["single"]] * row["n"])], names=["w", "did", "th", "s", "single"])
-
-    return run
+            for r in batch.to_pylist():
+                codes = np.frombuffer(r["bytes"], _CODES[unit])
+                codes = codes.astype(codes.dtype.newbyteorder("="))
+                _, begin, count, files, content, multi = find_runs(codes, np.array([0, len(codes)]), length, gram)
+                for a, n, g, c, m in zip(begin.tolist(), count.tolist(), files.view(np.int64).tolist(), content.view(np.int64).tolist(), multi.tolist(), strict=True):
+                    yield r["g"], r["c"], r["d"], r["several"], g, c, a, n, m, r["bytes"][a * width : (a + n + length - 1) * width]
+
+    return (lambda batches: _bounded(rows(batches), names, kinds)), "pg long, pc long, d long, several boolean, g long, c long, a int, n int, multi boolean, bytes binary"
+
+
+def _contents(runs: DataFrame, doc: Column, several: Column, across: bool) -> DataFrame:
+    """g, c, multi, d, several, whole and one place of each distinct content of the files in which something may repeat."""
+    meets = F.min(doc) != F.max(doc)
+    files = runs.groupBy("g").agg(F.count("*").alias("k"), F.max("multi").alias("m"), (meets | F.max(several)).alias("met"))
+    files = files.where("met" if across else "k > 1 or m").select("g")
+    one = [c for c in ("did", "th", "a") if c in runs.columns]
+    found = runs.join(files, "g").groupBy("g", "c").agg(F.count("*").alias("copies"), F.max("multi").alias("multi"), F.min(doc).alias("d"), (meets | F.max(several)).alias("several"), F.min(F.struct(*one, "n")).alias("o"))
+    whole = F.col("several") if across else F.col("copies") > 1
+    return found.select("g", "c", "multi", "d", "several", whole.alias("whole"), "o.*")
+
+
+def _open_files(contents: DataFrame, across: bool) -> DataFrame:
+    """g and large of the files in which some content is not repeated as a whole, but may be in part."""
+    files = contents.groupBy("g").agg(F.bool_and("whole").alias("done"), F.count("*").alias("k"), F.max("multi").alias("m"), ((F.min("d") != F.max("d")) | F.max("several")).alias("met"))
+    return files.where("not done and " + ("k > 1 and met" if across else "(k > 1 or m)")).select("g", (F.col("k") > LARGEST_FILE).alias("large"))
+
+
+def _within(contents: DataFrame, fetched: DataFrame, unit: str, length: int, across: bool, groups: bool, grams: list[int]) -> DataFrame:
+    """g, c, s, e, grp: what repeats of each content; ``grams`` are those that large files are filed by next."""
+    whole = contents.where("whole").select("g", "c", F.lit(0).cast("long").alias("s"), (F.col("n") + length - 1).cast("long").alias("e"), F.col("c").alias("grp"))
+    small = fetched.where("not large") if grams else fetched
+    solved = small.repartition("g").sortWithinPartitions("g").mapInArrow(_solve(unit, length, across, groups), _FOUND)
+    found = whole.unionAll(solved)
+    if not grams or not fetched.where("large").head(1):
+        return found
+    run, schema = _refile(unit, length, grams[0])
+    runs = materialize(fetched.where("large").mapInArrow(run, schema), "runs")
+    finer = materialize(_contents(runs, F.col("d"), F.col("several"), across), "contents")
+    wanted = finer.join(_open_files(finer, across), "g").select("g", "c", "d", "several", "whole", "large")
+    again = materialize(runs.select("g", "c", "bytes").join(wanted, ["g", "c"]).dropDuplicates(["g", "c"]).select("g", "c", "d", "several", "whole", "large", "bytes"), "contents")
+    inner = _within(finer, again, unit, length, across, groups, grams[1:])
+    placed = runs.select("pg", "pc", "g", "c", "a").join(inner, ["g", "c"])
+    return found.unionAll(placed.select(F.col("pg").alias("g"), F.col("pc").alias("c"), F.col("a") + F.col("s"), F.col("a") + F.col("e"), "grp"))
+
+
+def _found(docs: DataFrame, length: int, unit: str, across: bool, groups: bool) -> DataFrame:
+    """did, th, s, e, grp: places of repeats, in symbols."""
+    bounded_batches(docs.sparkSession)
+    runs = materialize(_keyed(docs).mapInArrow(_runs(unit, length), "did long, th long, g long, c long, a int, n int, multi boolean"), "runs")
+    contents = materialize(_contents(runs, F.xxhash64("did", "th"), F.lit(False), across), "contents")
+    wanted = contents.join(_open_files(contents, across), "g")
+    requests = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("g", "c", "d", "several", "whole", "large", "a", "n")).alias("runs"))
+    fetched = _squeezed(docs).join(requests, ["did", "th"]).select("packed", "runs").mapInArrow(_fetch(unit, length), "g long, c long, d long, several boolean, whole boolean, large boolean, bytes binary")
+    fetched = materialize(fetched.dropDuplicates(["g", "c"]), "contents")
+    inside = _within(contents, fetched, unit, length, across, groups, [length // 2, length])
+    return runs.select("did", "th", "g", "c", "a").join(inside, ["g", "c"]).select("did", "th", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"), "grp")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, unit: str = "bytes", across: bool = False) -> DataFrame:
+    """did, th, s, e: spans covered by a string of ``length`` symbols that starts anywhere else too.
+
+    Spans of one document may overlap; together they are exactly the repeated
+    symbols, bytes or words by ``unit``. With ``across`` the other place must lie in
+    another document.
+    """
+    return _found(docs, length, unit, across, groups=False).select("did", "th", "s", "e")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """did, th, s, e: byte spans covered by a string of ``length`` bytes that starts anywhere else too.
+def repeat_groups(docs: DataFrame, length: int = LENGTH, unit: str = "bytes", across: bool = False) -> DataFrame:
+    """grp, length, doc_id, start: maximal repeats with all their occurrences, a row for each.
 
-    Spans of one document may overlap; together they are exactly the repeated bytes.
+    A group is a string, named by its hash. It is maximal among the windows of one
+    file: a repeat that reaches over several files is put out as one group for each,
+    which overlap, and windows of a very large file are groups of their own. A null
+    doc_id stays null.
     """
-    bounded_batches(docs.sparkSession)
-    runs = materialize(_keyed(docs).mapInArrow(_runs(length), _RUN_SCHEMA), "runs")
-    files = runs.groupBy("g").agg(F.count("*").alias("k"), F.max("multi").alias("m")).where("k > 1 or m").select("g")
-    candidates = runs.join(files, "g")
-    owner = F.min(F.struct("did", "th", "a", "n")).alias("o")
-    contents = materialize(candidates.groupBy("g", "c").agg(F.count("*").alias("copies"), F.max("multi").alias("multi"), owner).select("g", "c", "copies", "multi", "o.*"), "contents")
-    whole = runs.join(contents.where("copies > 1").select("g", "c"), ["g", "c"]).select("did", "th", F.col("a").cast("long").alias("s"), (F.col("a") + F.col("n") + length - 1).cast("long").alias("e"))
-    open_files = contents.groupBy("g").agg(F.min("copies").alias("low"), F.count("*").alias("k"), F.max("multi").alias("m")).where("low = 1 and (k > 1 or m)")
-    wanted = contents.join(open_files.select("g", (F.col("k") > LARGEST_FILE).alias("large")), "g")
-    request = F.struct("g", "c", (F.col("copies") == 1).alias("single"), "large", "a", "n")
-    requests = wanted.groupBy("did", "th").agg(F.collect_list(request).alias("runs"))
-    fetched = _squeezed(docs).join(requests, ["did", "th"]).select("did", "th", "packed", "runs")
-    fetched = materialize(fetched.mapInArrow(_fetch(length), "g long, c long, single boolean, large boolean, did long, th long, a int, n int, bytes binary").dropDuplicates(["g", "c"]), "contents")
-    by_file = fetched.where("not large").repartition("g").sortWithinPartitions("g").mapInArrow(_repeat_spans(length), "did long, th long, s long, e long")
-    windows = materialize(fetched.where("large").mapInArrow(_window_hashes(length), "w long, did long, th long, s long, single boolean"), "windows")
-    twice = windows.groupBy("w").agg(F.count("*").alias("k")).where("k > 1").select("w")
-    by_window = windows.where("single").join(twice, "w").select("did", "th", "s", (F.col("s") + length).alias("e"))
-    return whole.unionAll(by_file).unionAll(by_window)
+    found = _found(docs, length, unit, across, groups=True)
+    did = F.when(F.col("did") != _NO_ID, F.col("did"))
+    return found.select("grp", (F.col("e") - F.col("s")).alias("length"), "did", "th", F.col("s").alias("start")).distinct().select("grp", "length", did.alias("doc_id"), "start")
+
+
+def _by_document(spans: DataFrame, name: str) -> DataFrame:
+    return spans.distinct().groupBy("did", "th").agg(F.collect_list(F.struct("s", "e")).alias(name))
+
+
+def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+    """Maximal runs of the union of spans, in order."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted((s["s"], s["e"]) for s in spans or ()):
+        if out and begin <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((begin, end))
+    return out
 
 
 def cut(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
     """What is left, the bytes removed and the maximal removed runs."""
-    kept, removed, runs, at, last = [], 0, 0, 0, -1
-    for begin, end in sorted((s["s"], s["e"]) for s in spans):
-        if begin > last:
-            runs += 1
-            kept.append(text[at:begin])
-            at = last = begin
-        if end > last:
-            removed += end - last
-            at = last = end
+    kept, removed, at, runs = [], 0, 0, merged(spans)
+    for begin, end in runs:
+        kept.append(text[at:begin])
+        removed += end - begin
+        at = end
     kept.append(text[at:])
-    return b"".join(kept), removed, runs
+    return b"".join(kept), removed, len(runs)
+
+
+def cut_words(text: bytes, spans: list[dict]) -> bytes:
+    """Without the words of the spans and the space after each run of them."""
+    data = np.frombuffer(text, np.uint8)
+    starts = np.append(word_spans(data, np.array([0, len(data)]))[0], len(data))
+    return cut(text, [{"s": int(starts[a]), "e": int(starts[b])} for a, b in merged(spans)])[0]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """did, th, packed text, spans in; what is left and how much went out."""
+    """did, th, packed text, spans, passages in; what is left, how much went out and what the passages hold."""
     press = zstandard.ZstdDecompressor()
-    for batch in batches:
-        out: list[tuple] = []
+    names = ["doc_id", "th", "n_bytes", "n_removed", "n_spans", "n_passages", "n_passage_words", "kept"]
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         for row in batch.to_pylist():
-            text = press.decompress(row["packed"], max_output_size=1 << 31) if row["packed"] else b""
+            text = _opened(press, row["packed"])
             kept, removed, runs = cut(text, row["spans"] or [])
-            out.append((None if row["did"] == -(2**63) else row["did"], row["th"], len(text), removed, runs, kept))
-        columns = list(zip(*out, strict=True)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 5 + [pa.binary()], strict=True)], names=["doc_id", "th", "n_bytes", "n_removed", "n_spans", "kept"])
+            passages = merged(row["passages"])
+            yield (None if row["did"] == _NO_ID else row["did"], row["th"], len(text), removed, runs, len(passages), sum(b - a for a, b in passages), kept)
+
+    for batch in batches:
+        yield from _bounded(rows(batch), names, [pa.int64()] * 7 + [pa.binary()])
+
+
+_SPAN_LIST = "array<struct<s:bigint,e:bigint>>"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, th, n_bytes, n_removed, n_spans, kept (binary): one row for each row of ``docs``.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, passage_words: int | None = None) -> DataFrame:
+    """doc_id, th, n_bytes, n_removed, n_spans, n_passages, n_passage_words, kept (binary): one row for each row of ``docs``.
 
     Each byte goes that is covered by a string of ``length`` bytes starting anywhere
     else in the corpus too, the same document included; overlaps count, and strings
-    are judged on the input. n_spans counts maximal removed runs. A null or short
-    text keeps all its bytes; repeated rows are copies of each other and so lose
-    theirs; a null doc_id stays null; other columns are ignored.
+    are judged on the input. n_spans counts maximal removed runs. With
+    ``passage_words``, n_passages and n_passage_words count, by words, what is covered
+    by so many words in a row that another document holds too; else they are 0. A
+    null or short text keeps all its bytes; repeated rows are copies of each other
+    and so lose theirs; a null doc_id stays null; other columns are ignored.
     """
-    spans = repeated_spans(docs, length).distinct().groupBy("did", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    joined = _squeezed(docs).join(spans, ["did", "th"], "left").select("did", "th", "packed", "spans")
-    return joined.mapInArrow(_cut, "doc_id long, th long, n_bytes long, n_removed long, n_spans long, kept binary")
+    spans = _by_document(repeated_spans(docs, length), "spans")
+    if passage_words:
+        spans = spans.join(_by_document(repeated_spans(docs, passage_words, "words", across=True), "passages"), ["did", "th"], "full_outer")
+    else:
+        spans = spans.withColumn("passages", F.lit(None).cast(_SPAN_LIST))
+    joined = _squeezed(docs).join(spans, ["did", "th"], "left").select("did", "th", "packed", "spans", "passages")
+    return joined.mapInArrow(_cut, "doc_id long, th long, n_bytes long, n_removed long, n_spans long, n_passages long, n_passage_words long, kept binary")
 
 
-def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return remove_repeats(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+def repeat_digests(docs: DataFrame, length: int = LENGTH, passage_words: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``passage_words``, n_passages, n_passage_words."""
+    more = ["n_passages", "n_passage_words"] if passage_words else []
+    return remove_repeats(docs, length, passage_words).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *more)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with ``text`` rid of repeated bytes; other columns unchanged.
+def without_repeats(docs: DataFrame, length: int = LENGTH, unit: str = "bytes", across: bool = False) -> DataFrame:
+    """``docs`` with ``text`` rid of what ``repeated_spans`` finds; other columns unchanged.
 
-    A character that lost some of its bytes goes whole. Rows of one doc_id and text
-    are alike, so each gets what is left of it; a text of which nothing was removed,
-    or null, stays as it is.
+    Every occurrence goes, the first one too: what many texts share belongs to none
+    of them. Of bytes, a character that lost some of its bytes goes whole; of words,
+    the space after each removed run goes with it. Rows of one doc_id and text are
+    alike, so each gets what is left of it; a text of which nothing was removed, or
+    null, stays as it is.
     """
-    spans = repeated_spans(docs, length).distinct().groupBy("did", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = _by_document(repeated_spans(docs, length, unit, across), "spans")
     names = [c for c in docs.columns if c != "text"]
 
+    def left(text: str, found: list[dict]) -> str:
+        raw = text.encode()
+        return (cut_words(raw, found) if unit == "words" else cut(raw, found)[0]).decode("utf-8", "ignore")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if found and text is not None:
-                    text = cut(text.encode(), found)[0].decode("utf-8", "ignore")
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *(batch.column(i) for i in range(2, 2 + len(names)))], names=["text", *names])
-
-    keyed = docs.withColumn("__did", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("__th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = keyed.join(spans.select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("spans").alias("__spans")), ["__did", "__th"], "left").select("text", "__spans", *names)
+            texts = [left(text, found) if found and text is not None else text for text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.column(2).flatten()], names=["text", *names])
+
+    # Other columns travel as one, so that their names can't clash with those of the join.
+    did, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(did.alias("did"), F.xxhash64(text).alias("th"), "text", F.struct(*(F.col(f"`{c}`") for c in names)).alias("rest"))
+    joined = keyed.join(spans, ["did", "th"], "left").select("text", "spans", "rest")
     fields = ["text string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")]
     return joined.mapInArrow(run, ", ".join(fields)).select(docs.columns)

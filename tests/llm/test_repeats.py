@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -41,6 +42,83 @@ def test_equals_brute_force(shared, largest, monkeypatch):
     assert sorted((str(r[0]), *r[1:]) for r in repeats.repeat_digests(df).collect()) == brute(rows, 400)
 
 
+@pytest.mark.parametrize("largest", [repeats.LARGEST_FILE, 3])
+def test_groups_hold_all_occurrences(shared, largest, monkeypatch):
+    """Each group is one string at each of its places, and together they cover what the spans cover."""
+    df, rows = shared
+    monkeypatch.setattr(repeats, "LARGEST_FILE", largest)
+    texts = {}
+    for i, t in rows:
+        if i != 105 and i is not None:
+            texts[i] = (t or "").encode()
+    groups = {}
+    for r in repeats.repeat_groups(df).collect():
+        groups.setdefault((r.grp, r.length), set()).add((r.doc_id, r.start))
+    covered = {i: bytearray(len(b)) for i, b in texts.items()}
+    for (_, n), places in groups.items():
+        strings = {texts[i][s : s + n] for i, s in places if i in texts}
+        assert n >= 400 and len(places) > 1 and len(strings) <= 1
+        for string in strings:
+            everywhere = {(i, p) for i, b in texts.items() for p in range(len(b) - n + 1) if b[p : p + n] == string}
+            assert largest == 3 or {x for x in places if x[0] in texts} == everywhere
+        for i, s in places:
+            if i in texts:
+                covered[i][s : s + n] = b"\1" * n
+    removed = {i: n for i, _, n, *_ in brute(rows, 400)}
+    assert all(sum(c) == removed[str(i)] for i, c in covered.items())
+
+
+def brute_words(rows, length):
+    """Words of each row in a stretch of ``length`` words that another (doc_id, text) holds too."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    holders = {}
+    for (i, t), w in zip(rows, split):
+        for p in range(len(w) - length + 1):
+            holders.setdefault(tuple(w[p : p + length]), set()).add((i, t))
+    gone = [[False] * len(w) for w in split]
+    for w, g in zip(split, gone):
+        for p in range(len(w) - length + 1):
+            if len(holders[tuple(w[p : p + length])]) > 1:
+                g[p : p + length] = [True] * length
+    return split, gone
+
+
+@pytest.mark.parametrize("largest", [repeats.LARGEST_FILE, 1])
+def test_passages_of_words_between_otherwise_different_documents(spark, largest, monkeypatch):
+    """Planted passages of 50 to 60 words go; 49 words stay, and so does what repeats inside one document only."""
+    monkeypatch.setattr(repeats, "LARGEST_FILE", largest)
+    rng = random.Random(5)
+    planted = [words(rng, n) for n in range(49, 61)]
+    rows = [(i, f"{words(rng, rng.randint(5, 90))} {planted[i % 12]}\n {words(rng, rng.randint(5, 90))}") for i in range(48)]
+    rows += [(100 + i, words(rng, 150)) for i in range(20)] + [(200, f"{planted[0]} end"), (201, " ".join([words(rng, 60)] * 3)), (202, planted[5]), (203, None), (204, ""), (205, rows[3][1]), (206, rows[3][1]), (206, rows[3][1]), (207, "a " * 700), (208, "a " * 90)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, th string, __spans int").repartition(4)
+    split, gone = brute_words(rows, 50)
+    want = sorted((str(i), [x for x, m in zip(w, g) if not m]) for (i, _), w, g in zip(rows, split, gone))
+    left = repeats.without_repeats(df, 50, "words", across=True)
+    assert left.columns == df.columns
+    got = left.collect()
+    assert sorted((str(r.doc_id), (r.text or "").split()) for r in got) == want
+    kept = {r.doc_id: r.text for r in got}
+    assert all(kept[i] == t for i, t in rows if 100 <= i <= 201 or i == 203)
+    counted = sorted((str(r.doc_id), r.n_passage_words) for r in repeats.repeat_digests(df, passage_words=50).collect())
+    assert counted == sorted((str(i), sum(g)) for (i, _), g in zip(rows, gone))
+
+
+def test_long_documents_are_filed_in_stretches(shared, monkeypatch):
+    """The same windows under the same files, whatever the stretches."""
+    _, rows = shared
+
+    def windows(raw, at=0):
+        _, begin, count, files, *_ = repeats.find_runs(raw, np.array([0, len(raw)]), 400, 32)
+        return [(at + b + k, f) for b, n, f in zip(begin.tolist(), count.tolist(), files.tolist()) for k in range(n)]
+
+    monkeypatch.setattr(repeats, "SEGMENT", 150)
+    for _, t in rows:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        pieces = [w for _, at, part, _ in repeats._segments(raw, np.array([0, len(raw)]), 400) for w in windows(part, at)]
+        assert pieces == windows(raw)
+
+
 def test_awkward_rows_and_other_lengths(awkward, empty):
     df, rows = awkward
     assert sorted((str(r[0]), *r[1:]) for r in repeats.repeat_digests(df, 100).collect()) == brute(rows, 100)
