@@ -15,7 +15,7 @@ from corpusloom.llm._shared import materialize
 from corpusloom.llm.neardup import drop_near_duplicates
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.quality import keep_good
-from corpusloom.llm.repeats import without_repeats
+from corpusloom.llm.repeats import PASSAGE_WORDS, without_repeats
 from corpusloom.llm.secrets import redact_secrets
 
 
@@ -32,7 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _measured(without_repeats(docs))
+    """Passages of PASSAGE_WORDS words or more that several documents hold go from all of them."""
+    return _measured(without_repeats(docs, PASSAGE_WORDS, "words", across=True))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
