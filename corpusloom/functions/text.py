@@ -3,22 +3,37 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import unicode_classes as U
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with further columns, in place of any of the same name, that are computed once for each row.
+
+    Plain projections are written into each other where they meet, so an expression
+    that later ones use often is evaluated as often; a generated row is not.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(F.regexp_replace(text, U.EDGE_START, ""), U.EDGE_END, "")
+    return F.btrim(text, F.lit(U.WS_CHARACTERS))
 
 
 def compact(text: Column) -> Column:
     """Without any white space."""
-    return F.regexp_replace(text, U.WS, "")
+    return F.translate(text, U.WS_CHARACTERS, "")
 
 
 def is_blank(text: Column) -> Column:
@@ -27,8 +42,7 @@ def is_blank(text: Column) -> Column:
 
 def physical_lines(text: Column) -> Column:
     """Lines at every kind of line break; a break at the end adds no line, an empty text has none."""
-    parts = F.split(text, U.LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, U.LINE_BREAK, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def field_lines(text: Column) -> Column:
@@ -57,7 +71,7 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def latin_count(text: Column) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, U.LATIN, ""))
+    return F.length(text) - F.length(F.translate(text, U.LATIN_CHARACTERS, ""))
 
 
 def reasons(rules: Iterable[tuple[str, Column]]) -> Column:

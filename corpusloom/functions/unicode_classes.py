@@ -33,6 +33,11 @@ def inner(ranges: str) -> str:
     return "".join(rf"\x{{{a:x}}}" if a == b else rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in parse_ranges(ranges))
 
 
+def characters(ranges: str) -> str:
+    return "".join(chr(c) for a, b in parse_ranges(ranges) for c in range(a, b + 1))
+
+
+WS_CHARACTERS, LATIN_CHARACTERS = characters(WS_RANGES), characters(LATIN_RANGES)
 WS = f"[{inner(WS_RANGES)}]"
 NOT_WS = f"[^{inner(WS_RANGES)}]"
 LATIN = f"[{inner(LATIN_RANGES)}]"

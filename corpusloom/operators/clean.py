@@ -80,8 +80,7 @@ def route_by_quality(df: DataFrame, policy: Policy, title: str = "title", catego
     Nulls in the four fields count as empty. Statuses partition the input.
     """
     t, c, a, b = (F.coalesce(F.col(x), F.lit("")) for x in (title, category, author, text))
-    marked = df.withColumn("__shape", clause_shape(policy, b))
-    marked = marked.withColumn("hard", hard_reasons(policy, t, c, a, b)).withColumn("review", review_reasons(policy, t, b, F.col("__shape"))).drop("__shape")
+    marked = T.bind(T.bind(df, __shape=clause_shape(policy, b)), hard=hard_reasons(policy, t, c, a, b), review=review_reasons(policy, t, b, F.col("__shape"))).drop("__shape")
     status = F.when(F.size("hard") > 0, "quarantine").when(F.size("review") > 0, "review").otherwise("clean")
     return marked.withColumn("status", status).withColumn("reasons", F.concat("hard", "review"))
 

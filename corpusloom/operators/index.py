@@ -5,8 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of one bucket are numbered in one task; a table grows by adding buckets.
-BUCKETS = 256
+from corpusloom.functions import text as T
+
+#: About so many rows of one bucket are numbered in one task; a larger table has more buckets.
+BUCKET_ROWS = 1 << 16
+LEAST_BUCKETS, MOST_BUCKETS = 256, 1 << 16
+
+
+def hash_bucket(hex_hash: Column, rows: int = 0) -> Column:
+    """The first hexadecimal digits as a number: buckets in the order of the hash, enough for so many rows.
+
+    Two digits make 256 buckets; a fifth one is the last, with a million buckets.
+    """
+    digits = 2
+    while digits < 5 and rows > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return F.conv(F.substring(hex_hash, 1, digits), 16, 10).cast("int")
+
+
+def quantile_bucket(df: DataFrame, order: str) -> Column:
+    """Which stretch between quantiles of a number each row is in: one bounded row of limits on the driver.
+
+    A row looks for its stretch among every so-manieth limit first, then between two of those.
+    """
+    rows = df.count()
+    n = min(MOST_BUCKETS, max(LEAST_BUCKETS, rows // BUCKET_ROWS))
+    limits = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] or []
+    cuts = sorted(set(limits))
+    if len(cuts) <= 8:
+        return sum(((F.col(order) > c).cast("int") for c in cuts), F.lit(0))
+    step = int(len(cuts) ** 0.5)
+    below = lambda limits: F.size(F.filter(limits, lambda c: c < F.col(order)))
+    every, fine = F.array(*(F.lit(c) for c in cuts[step - 1 :: step])), F.array(*(F.lit(c) for c in cuts))
+    return T.let(below(every) * step, lambda first: first + below(F.slice(fine, first + 1, F.lit(step))))
 
 
 def prefix_sum(df: DataFrame, order: list[str], value: Column, out: str, by: list[str] | None = None, bucket: Column | None = None) -> DataFrame:
@@ -14,19 +45,17 @@ def prefix_sum(df: DataFrame, order: list[str], value: Column, out: str, by: lis
 
     Two levels: rows are summed inside buckets, which are monotone in the order, and
     each bucket's start is the sum of the totals before it. ``bucket`` says which one
-    a row is in; without it, the first order column is cut at its quantiles, one
-    bounded row of limits on the driver. Totals are one row for each bucket, a size
-    known before, so they are broadcast.
+    a row is in; without it, the first order column is cut at its quantiles. Totals
+    are one row for each bucket, of which there are at most a million, so they are
+    broadcast.
     """
     by = by or []
     if bucket is None:
         first = df.schema[order[0]].dataType.simpleString()
         if first in ("string", "binary"):
             raise ValueError("text orders need an explicit bucket")
-        limits = df.agg(F.percentile_approx(order[0], [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).first()[0] or []
-        cuts = sorted(set(limits))
-        bucket = sum(((F.col(order[0]) > c).cast("int") for c in cuts), F.lit(0)) if len(cuts) <= 8 else F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col(order[0])))
-    keyed = df.withColumn("__bucket", bucket).withColumn("__value", value.cast("long"))
+        bucket = quantile_bucket(df, order[0])
+    keyed = T.bind(df, __bucket=bucket, __value=value.cast("long"))
     inside = Window.partitionBy(*by, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     totals = keyed.groupBy(*by, "__bucket").agg(F.sum("__value").alias("__total"))
     across = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -35,11 +64,6 @@ def prefix_sum(df: DataFrame, order: list[str], value: Column, out: str, by: lis
     return placed.withColumn(out, F.col("__start") + F.sum("__value").over(inside) - F.col("__value")).drop("__bucket", "__value", "__start")
 
 
-def hash_bucket(hex_hash: Column) -> Column:
-    """The first two hexadecimal digits as a number: 256 buckets in the order of the hash."""
-    return F.conv(F.substring(hex_hash, 1, 2), 16, 10).cast("int")
-
-
 def global_index(df: DataFrame, order: list[str], out: str, start: int = 1, bucket: Column | None = None) -> DataFrame:
     """``df`` with its contiguous ordinal in the total order of ``order``, counted from ``start``."""
     return prefix_sum(df, order, F.lit(1), out, bucket=bucket).withColumn(out, F.col(out) + start)

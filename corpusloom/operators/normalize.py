@@ -23,12 +23,11 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 def nfc(text: Column) -> Column:
     """Composed form. Spark has none built in; texts without a character from U+0300 on cannot change."""
-    wide = text.rlike(r"[\x{300}-\x{10ffff}]")
-    return F.when(wide, _nfc(F.when(wide, text))).otherwise(text)
+    return F.coalesce(_nfc(F.when(text.rlike(r"[\x{300}-\x{10ffff}]"), text)), text)
 
 
 def line_feeds(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def _mapped(text: Column, policy: Policy) -> Column:
@@ -37,7 +36,7 @@ def _mapped(text: Column, policy: Policy) -> Column:
 
 
 def _stripped_lines(text: Column) -> Column:
-    return F.transform(F.split(text, "\n", -1), lambda line: F.when(T.is_blank(line), line).otherwise(T.strip(line)))
+    return F.transform(F.split(text, "\n", -1), lambda line: T.let(T.strip(line), lambda bare: F.when(bare == "", line).otherwise(bare)))
 
 
 def normalize_text(text: Column, policy: Policy) -> Column:
@@ -53,9 +52,9 @@ def normalization_stats(df: DataFrame, policy: Policy, text: str = "text") -> Da
     """(statistic, n): what normalisation changes, and sizes before and after."""
     source = df.select(F.col(text).alias("raw"))
     # Each step once, as a column of its own.
-    steps = source.withColumn("lf", line_feeds(F.col("raw"))).withColumn("composed", nfc(F.col("lf"))).withColumn("mapped", _mapped(F.col("composed"), policy))
-    steps = steps.withColumn("before", F.split("mapped", "\n", -1)).withColumn("after", _stripped_lines(F.col("mapped"))).withColumn("joined", F.array_join("after", "\n"))
-    steps = steps.withColumn("done", T.strip(F.regexp_replace("joined", "\n{3,}", "\n\n")))
+    steps = T.bind(T.bind(source, lf=line_feeds(F.col("raw"))).withColumn("composed", nfc(F.col("lf"))), mapped=_mapped(F.col("composed"), policy))
+    steps = T.bind(T.bind(steps, before=F.split("mapped", "\n", -1), after=_stripped_lines(F.col("mapped"))), joined=F.array_join("after", "\n"))
+    steps = T.bind(steps, done=T.strip(F.regexp_replace("joined", "\n{3,}", "\n\n")))
     crlf, cr = T.matches(F.col("raw"), "\r\n"), T.matches(F.col("raw"), "\r")
     pairs = F.arrays_zip(F.col("before").alias("b"), F.col("after").alias("a"))
     long = F.regexp_extract_all("joined", F.lit("(\n{3,})"), F.lit(1))

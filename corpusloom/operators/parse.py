@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -15,19 +15,24 @@ def parse_blocks(blocks: DataFrame, policy: Policy, block: str = "block", number
     A block has title, category with a closing bracket, author and text on four
     physical lines. One trailing bracket goes; category and author may be empty.
     """
-    split = blocks.select(F.col(number).cast("long").alias("source_block"), T.physical_lines(F.col(block)).alias("raw_lines"))
-    split = split.withColumn("lines", F.transform("raw_lines", T.strip)).withColumn("n", F.size("raw_lines"))
-    four = F.col("n") == 4
-    field = lambda i: F.when(four, F.get("lines", F.lit(i)))
-    fields = split.select("*", field(0).alias("title"), field(1).alias("marked"), field(2).alias("author"), field(3).alias("text"))
+    split = T.bind(blocks.select(F.col(number).cast("long").alias("source_block"), F.col(block).alias("__block")), raw_lines=T.physical_lines(F.col("__block"))).drop("__block")
+    four = F.size("raw_lines") == 4
+    field = lambda i: F.when(four, T.strip(F.get("raw_lines", F.lit(i))))
+    fields = T.bind(split, title=field(0), marked=field(1), author=field(2), text=field(3))
     reason = F.concat_ws(",", F.when(~four, "physical_line_count_not_4"), F.when(F.col("title") == "", "empty_title"), F.when(F.col("text") == "", "empty_body"))
-    out = fields.withColumn("reason", reason).withColumn("status", F.when(F.col("reason") == "", "accepted").otherwise("rejected"))
-    out = out.withColumn("category", T.strip(F.regexp_replace("marked", r"\]\z", ""))).withColumn("unbracketed", ~F.col("marked").endswith("]"))
-    return out.withColumn("id", F.format_string(policy.id_format, "source_block")).withColumn("physical_line_count", F.col("n").cast("long"))
+    bracketed = F.col("marked").endswith("]")
+    category = T.strip(F.when(bracketed, F.expr("left(marked, length(marked) - 1)")).otherwise(F.col("marked")))
+    out = T.bind(fields, reason=reason, category=category).withColumn("unbracketed", ~bracketed)
+    out = out.withColumn("status", F.when(F.col("reason") == "", "accepted").otherwise("rejected"))
+    return out.withColumn("id", F.format_string(policy.id_format, "source_block")).withColumn("physical_line_count", F.size("raw_lines").cast("long"))
+
+
+def accepted_columns() -> list[Column | str]:
+    return ["id", "title", F.col("category").alias("dynasty"), "author", "text", "source_block"]
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
-    return parsed.where("status = 'accepted'").select("id", "title", F.col("category").alias("dynasty"), "author", "text", "source_block")
+    return parsed.where("status = 'accepted'").select(*accepted_columns())
 
 
 def rejected(parsed: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.operators.dedup import body_fingerprint
 from corpusloom.operators.index import hash_bucket, prefix_sum
+from corpusloom.sources.shared import materialize
 
 SPLITS = ("train", "validation", "test")
 RATIOS = (0.90, 0.05)
@@ -28,16 +30,18 @@ def group_split(df: DataFrame, group: str, ratios: tuple[float, float] = RATIOS,
     """``df`` with ``split``; rows of one group share it.
 
     Groups are ordered by a seeded hash and cut by the number of records before them,
-    so each cut misses its target by less than the largest group. ``method="hash"``
-    cuts the hash itself: no ordering, ratios only approximate.
+    so each cut misses its target by less than the largest group. Only group keys and
+    sizes are ordered; they are written first, so ``df`` is read twice in all.
+    ``method="hash"`` cuts the hash itself: no ordering, ratios only approximate.
     """
     names = SPLITS
     if method == "hash":
         share = F.conv(F.substring(seeded(seed, F.col(group)), 1, 12), 16, 10).cast("double") / float(16**12)
         return df.withColumn("split", F.when(share < ratios[0], names[0]).when(share < ratios[0] + ratios[1], names[1]).otherwise(names[2]))
-    train, validation, _ = targets(df.count(), ratios)
-    sizes = df.groupBy(group).agg(F.count("*").alias("__n")).withColumn("__order", seeded(seed, F.col(group)))
-    placed = prefix_sum(sizes, ["__order", group], F.col("__n"), "__before", bucket=hash_bucket(F.col("__order")))
+    sizes = materialize(df.groupBy(group).agg(F.count("*").alias("__n")).withColumn("__order", seeded(seed, F.col(group))), "groups")
+    groups, records = sizes.agg(F.count("*"), F.coalesce(F.sum("__n"), F.lit(0))).first()
+    train, validation, _ = targets(records, ratios)
+    placed = prefix_sum(sizes, ["__order", group], F.col("__n"), "__before", bucket=hash_bucket(F.col("__order"), groups))
     split = F.when(F.col("__before") < train, names[0]).when(F.col("__before") < train + validation, names[1]).otherwise(names[2])
     return df.join(placed.select(group, split.alias("split")), group)
 
@@ -54,7 +58,7 @@ def split_summary(df: DataFrame, group: str, ratios: tuple[float, float] = RATIO
 
 
 def with_keys(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("body_fingerprint", body_fingerprint(F.col(text)))
+    return T.bind(df, body_fingerprint=body_fingerprint(F.col(text)))
 
 
 def split_overlaps(df: DataFrame, keys: tuple[str, ...] = ("id", "body_fingerprint", "source_block")) -> DataFrame:

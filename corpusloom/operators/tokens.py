@@ -13,6 +13,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators.index import hash_bucket, prefix_sum
 from corpusloom.operators.profile import char_frequency
 from corpusloom.policy import Policy
+from corpusloom.sources.shared import materialize
 
 # The special tokens, in the order of their ids.
 SPECIALS = ("<pad>", "<bos>", "<eos>", "<unk>")
@@ -94,10 +95,23 @@ def decode(encoded: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: st
 
 
 def token_offsets(encoded: DataFrame, key: str = "id", seed: int = 42) -> DataFrame:
-    """``encoded`` with tok_start: where each record begins in its split's stream, in seeded order."""
+    """``encoded`` with tok_start: where each record begins in its split's stream, in seeded order.
+
+    Keys and sizes are numbered; the tokens meet their place by a join. ``encoded``
+    is written first, as both need it. Records of one split and key are numbered as
+    one and follow each other by tokens.
+    """
+    encoded = materialize(encoded, "encoded")
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"), 256)
-    ordered = encoded.withColumn("__order", order)
-    return prefix_sum(ordered, ["__order", key], F.size("tokens"), "tok_start", by=["split"], bucket=hash_bucket(F.col("__order"))).drop("__order")
+    sizes = encoded.groupBy("split", key).agg(F.sum(F.size("tokens")).alias("__size"), F.count("*").alias("__k"))
+    sizes = materialize(T.bind(sizes, __order=order), "sizes")
+    placed = prefix_sum(sizes, ["__order", key], F.col("__size"), "__first", by=["split"], bucket=hash_bucket(F.col("__order"), sizes.count()))
+    met = encoded.join(placed.select("split", key, "__first", "__k"), ["split", key])
+    # Only keys that repeat are ordered among themselves.
+    again = Window.partitionBy("split", key).orderBy("tokens").rowsBetween(Window.unboundedPreceding, -1)
+    single = met.where("__k = 1").withColumn("tok_start", F.col("__first"))
+    several = met.where("__k > 1").withColumn("tok_start", F.col("__first") + F.coalesce(F.sum(F.size("tokens")).over(again), F.lit(0)))
+    return single.unionByName(several).select(*encoded.columns, "tok_start")
 
 
 def _characters_of(vocab: DataFrame) -> DataFrame:

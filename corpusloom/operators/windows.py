@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.index import prefix_sum
-
 
 def _pairs(pieces: DataFrame, keys: list[str], block: int) -> DataFrame:
     """Slices gathered in order of position; a window holds block + 1 tokens, however many records they come from."""
@@ -65,6 +63,3 @@ def sample_windows(encoded: DataFrame, n: int, block: int, seed: int = 42) -> Da
     begin, end = F.greatest("s", "start"), F.least("e", F.col("start") + block + 1)
     pieces = met.where(end > begin).select("sample", "split", "start", begin.alias("at"), F.slice("tokens", (begin - F.col("s") + 1).cast("int"), (end - begin).cast("int")).alias("part"))
     return _pairs(pieces, ["sample", "split", "start"], block)
-
-
-__all__ = ["next_token_windows", "prefix_sum", "sample_windows"]

@@ -378,7 +378,7 @@ def oracle_sql() -> dict[str, str]:
         "token_offsets": with_(R, streams()) + "select id, split, cast(n as bigint) n, cast(tok_start as bigint) tok_start from placed_tokens",
         "next_token_windows": windows_sql(),
         "sample_windows": samples_sql(),
-        "oov_report": with_(D, "known as (select list(distinct z) k from (select unnest(string_split(text, '')) z from v_dirty where source_block % 10 in (1, 2)))")
+        "oov_report": with_(D, splits("v_dirty"), "known as (select list(distinct z) k from (select unnest(string_split(text, '')) z from splits where split = 'train'))")
         + f"select id, array_to_string(u, ',') unsupported, len(u) = 0 accepted from (select id, list_sort(list_filter(list_distinct({characters('text')}), lambda z: not list_contains(k, z))) u from v_dirty, known)",
         "screen_prompts": screen_sql(),
         "stage_funnel": dirty_routes + funnel([(s, "routed", f"routed where status = '{s}'") for s in ("clean", "review", "quarantine")]),

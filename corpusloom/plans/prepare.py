@@ -7,16 +7,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.operators import clean, dedup, forms, parse, split
 from corpusloom.operators.normalize import normalize_text, separated_blocks
 from corpusloom.policy import Policy
+from corpusloom.sources.shared import materialize
 
 
 @dataclass
 class Prepared:
-    """The tables of a run; each is lazy."""
+    """The tables of a run, read from what its two writing passes over the texts left."""
 
-    blocks: DataFrame
     parsed: DataFrame
     records: DataFrame
     unique: DataFrame
@@ -32,17 +33,23 @@ def prepare_corpus(blocks: DataFrame, policy: Policy, seed: int = 42) -> Prepare
     A block that falls apart in normalisation keeps its number for its first part
     only; parts after it have no place of their own in the numbering and are numbered
     after all others by (block_number, part).
+
+    Two passes read and write texts: blocks become parsed records with fingerprints,
+    and the first of each fingerprint become routed records with their form. What
+    lies between compares keys only.
     """
     normal = separated_blocks(blocks.select("block_number", normalize_text(F.col("block"), policy).alias("block")), "block")
-    parsed = parse.parse_blocks(normal, policy)
+    title, text = F.col("title"), F.col("text")
+    parsed = T.bind(parse.parse_blocks(normal, policy), fingerprint=dedup.fingerprint(title, text), body_fingerprint=dedup.body_fingerprint(text))
+    parsed = materialize(parsed, "parsed")
     records = parse.accepted(parsed)
-    keyed = records.withColumn("fingerprint", dedup.fingerprint(F.col("title"), F.col("text")))
+    keyed = parsed.where("status = 'accepted'").select(*parse.accepted_columns(), "fingerprint", "body_fingerprint")
     unique = dedup.dedup_keep_first(keyed, "fingerprint").drop("fingerprint")
-    routed = clean.route_by_quality(unique, policy)
-    good = routed.where("status = 'clean'").select(records.columns)
-    splits = split.group_split(split.with_keys(good), "body_fingerprint", seed=seed)
-    labelled = splits.withColumn("form", forms.label_form(F.col("text"), policy)) if policy.forms else splits.withColumn("form", F.lit(None).cast("string"))
-    return Prepared(normal, parsed, records, unique, routed, good, splits, labelled)
+    form = forms.label_form(text, policy) if policy.forms else F.lit(None).cast("string")
+    marked = materialize(T.bind(clean.route_by_quality(unique, policy), form=form), "routed")
+    clean_ones = marked.where("status = 'clean'")
+    splits = split.group_split(clean_ones.select(*records.columns, "body_fingerprint", "form"), "body_fingerprint", seed=seed)
+    return Prepared(parsed, records, unique.drop("body_fingerprint"), marked.drop("body_fingerprint", "form"), clean_ones.select(records.columns), splits.drop("form"), splits)
 
 
 def stage_funnel(stages: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:

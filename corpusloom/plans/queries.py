@@ -11,6 +11,7 @@ from corpusloom.operators import clean, dedup, forms, index, normalize, parse, p
 from corpusloom.plans import prepare
 from corpusloom.plans.views import view
 from corpusloom.policy import CLASSICAL, LATIN_SCRIPT
+from corpusloom.sources.tables import read_spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 BLOCK, SAMPLES = 256, 50
@@ -19,7 +20,7 @@ SAMPLE_SIZES = {"train": 30, "validation": 20, "test": 20}
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_spread(spark, f"{sf_dir}/documents.parquet")
 
 
 def _tidy(df: DataFrame) -> DataFrame:
@@ -120,7 +121,7 @@ def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = view(_docs(spark, sf_dir), "v_dirty")
-    vocab = tokens.build_vocab(docs.where("source_block % 10 in (1, 2)").select(F.col("text").alias("formatted")))
+    vocab = tokens.build_vocab(_split(docs).where("split = 'train'").select(F.col("text").alias("formatted")))
     return _tidy(tokens.oov_report(docs, vocab).select("id", "unsupported", "accepted"))
 
 

@@ -1,13 +1,15 @@
 """Files in and out, and the stateless steps on a stream."""
 
 import hashlib
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import tokens
 from corpusloom.policy import CLASSICAL
-from corpusloom.sources import records, text
+from corpusloom.sources import records, shared, text
 from corpusloom.streaming import route
 
 
@@ -28,6 +30,30 @@ def test_mixed_line_ends(spark, tmp_path):
     assert [r.block for r in text.read_mixed_blocks(spark, str(tmp_path)).orderBy("block_number").collect()] == ["a\nb", "c\nd", "e"]
 
 
+@pytest.mark.parametrize("size", ["128m", "16"])
+def test_mixed_blocks_are_those_of_the_whole_text(spark, tmp_path, size):
+    rng = random.Random(size)
+    raws = ["".join(rng.choice(["\n", "\r\n", "\n\n", "\n\n\n", "\r", "a", "b ", " ", "\u3000", "cd"]) for _ in range(120)) + "end" for _ in range(3)] + ["\n\n\nx", "\ny"]
+    for i, raw in enumerate(raws):
+        (tmp_path / f"{i}.txt").write_bytes(raw.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    found = text.read_mixed_blocks(spark, str(tmp_path)).orderBy("block_number").collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    plain = [re.sub("\r\n?", "\n", raw) for raw in raws]
+    want = [b for p in plain for b in p.split("\n\n") if b.strip()]
+    assert [r.block for r in found] == want and [r.block_number for r in found] == list(range(1, len(want) + 1))
+
+
+def test_no_folder_of_one_machine_on_a_cluster(spark):
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "x"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Cluster())
+    assert shared.shared_dir(spark) == shared.shared_dir(spark)
+
+
 def test_utf8_gate(spark):
     df = spark.createDataFrame([(1, bytearray("é".encode())), (2, bytearray(b"\xff\xfe"))], "i int, content binary")
     assert {r.i: (r.text, r.is_utf8) for r in text.utf8_gate(df).collect()} == {1: ("é", True), 2: (None, False)}
