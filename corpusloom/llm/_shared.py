@@ -1,38 +1,21 @@
-"""Writing intermediate tables where every executor can read them."""
+"""Intermediate tables and bounded Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
-
-BATCH_BYTES = 8 << 20
+from corpusloom.sources.shared import materialize, new_path, shared_dir
 
+__all__ = ["BATCH_BYTES", "bounded_batches", "materialize", "new_path", "shared_dir"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+BATCH_BYTES = 8 << 20
 
 
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end at 8 MB too, so that long texts don't fill a Python worker.
 
-    This cuts the lineage: a lost executor costs its running tasks only, and a
-    result that several later steps read is computed once.
+    Results are lazy, so the setting stays on the session; a smaller one is kept.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Let Arrow batches end at 8 MB too, so that long texts don't fill a Python worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key).lower().rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:

@@ -5,12 +5,15 @@ their top bits and the least of each bin is kept; an empty bin takes the value o
 the first filled bin on a fixed random probe walk (optimal densification). Runs
 of ``ROWS`` bins make the banded buckets. In a bucket a star is drawn: one centre
 is compared with all other members, never all members with each other. Every
-candidate is confirmed on the full shingle sets. Buckets whose members still lie
-in different components get further centres, namely every member outside the
-bucket's largest component, so a link that the first star missed is found then.
-Those pairs are compared by parity sketches before any row is made: each shingle
-turns one of ``BITS`` bits over, so two sketches differ in at most as many bits as
-the sets differ in shingles, and a pair that could be a link is never left out.
+candidate is compared by parity sketches, then confirmed on the full shingle sets:
+each shingle turns one of ``BITS`` bits over, so two sketches differ in at most as
+many bits as the sets differ in shingles, and a link is never left out.
+
+Buckets whose members still lie in different components get further centres,
+namely every member outside the bucket's largest component, so a link that the
+first star missed is found then. In a bucket of very many components, as a passage
+makes that countless documents share, that would be nearly all pairs; there the
+candidates are those that share a rare shingle, as every link must.
 """
 
 from __future__ import annotations
@@ -34,6 +37,10 @@ BANDS = BINS // ROWS
 #: Of the parity sketch.
 BITS = 1024
 WORDS = BITS // 64
+#: Members of a star that one copy of its centre is compared with.
+STAR = 512
+#: Components of a bucket up to which its members are compared by sketch.
+MOST_COMPONENTS = 256
 #: A link needs 100 * intersection >= 75 * union.
 PERCENT = 75
 _TOP = np.uint64(57)  # shift that leaves the number of one of 128 bins
@@ -109,47 +116,69 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"bits{i} long" for i in range(WORDS)))
 
 
+def linked(mine: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold; an empty one never does."""
+    small, large = sorted((len(mine), len(other)))
+    if not small or 100 * small < PERCENT * large:
+        return False
+    both = len(np.intersect1d(mine, other, assume_unique=True))
+    return 100 * both >= PERCENT * (len(mine) + len(other) - both)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """u, v, and both texts in; u, v of the linked pairs out."""
-    last: dict[int, tuple[str, np.ndarray]] = {}
+    """u, part, v, text in, the centre's text (v null) before those of its members; linked u, v out."""
+    now, centres = None, []
     for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        sides = []
-        ids = batch.column(0).to_pylist()
-        for column in (2, 3):
-            data, offsets = B.text_buffers(batch.column(column))
-            sides.append((data, offsets))
-        known: dict[tuple[int, int], np.ndarray] = {}
-        data, offsets = sides[0]
-        for i in range(batch.num_rows):
-            a = data[offsets[i] : offsets[i + 1]]
-            prior = last.get(ids[i])
-            if prior is None or len(prior[0]) != len(a) or not np.array_equal(prior[0], a):
-                last = {ids[i]: (a.copy(), shingle_sets(a, np.array([0, len(a)]))[0])}
-            known[i] = last[ids[i]][1]
-        data, offsets = sides[1]
+        us, parts, vs = (batch.column(i).to_pylist() for i in range(3))
+        data, offsets = B.text_buffers(batch.column(3))
+        out: list[tuple[int, int]] = []
         for a, b, part, off in B.chunks(data, offsets):
-            for i, other in zip(range(a, b), shingle_sets(part, off), strict=True):
-                mine = known[i]
-                if len(mine) and len(other) and 100 * min(len(mine), len(other)) >= PERCENT * max(len(mine), len(other)):
-                    both = len(np.intersect1d(mine, other, assume_unique=True))
-                    keep[i] = 100 * both >= PERCENT * (len(mine) + len(other) - both)
-        yield batch.select([0, 1]).filter(pa.array(keep))
+            for i, one in zip(range(a, b), shingle_sets(part, off), strict=True):
+                if (us[i], parts[i]) != now:
+                    now, centres = (us[i], parts[i]), []
+                if vs[i] is None:  # several where rows of one doc_id have different texts
+                    if not any(np.array_equal(c, one) for c in centres):
+                        centres.append(one)
+                elif any(linked(c, one) for c in centres):
+                    out.append((us[i], vs[i]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["u", "v"])
 
 
 def confirm_links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) whose full shingle sets reach the threshold.
 
-    Texts go to the pairs by two joins; Spark splits a hot centre's rows itself.
+    u is the centre of a star. A text goes once to each star that it is in; the
+    centre's goes once to each STAR of its members, which is a task's share.
     """
-    texts = docs.select("doc_id", "text")
-    sides = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
-    sides = sides.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    return sides.select("u", "v", "text_u", "text_v").mapInArrow(_confirm, "u long, v long")
+    parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
+    members = pairs.join(parts, "u").select("u", F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part"), "v", F.col("v").alias("id"))
+    centres = parts.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("v"), F.col("u").alias("id"))
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    rows = members.unionByName(centres).join(texts, "id").select("u", "part", "v", "text")
+    return rows.repartition("u", "part").sortWithinPartitions("u", "part", F.asc_nulls_first("v")).mapInArrow(_confirm, "u long, v long")
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each unordered pair once, in the direction whose centre is smaller."""
+    low, high = F.least("u", "v").alias("low"), F.greatest("u", "v").alias("high")
+    kept = pairs.where("u <> v").groupBy(low, high).agg(F.min("u").alias("u"))
+    return kept.select("u", F.when(F.col("u") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("v"))
+
+
+_BITS = [f"bits{i}" for i in range(WORDS)]
+
+
+def _may_link(n: Column, m: Column, differ: Column) -> Column:
+    """100 i >= P u with i + d = u, i + u = n + m, for d at least ``differ``, the size of the difference."""
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (n + m)
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+def _allowed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sizes and parity sketches allow a link."""
+    one = sketches.select(F.col("doc_id").alias("u"), F.col("n_shingles").alias("n"), *_BITS)
+    other = sketches.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("m"), *(F.col(b).alias(f"o_{b}") for b in _BITS))
+    differ = sum(F.bit_count(F.col(b).bitwiseXOR(F.col(f"o_{b}"))) for b in _BITS)
+    return pairs.join(one, "u").join(other, "v").where(_may_link(F.col("n"), F.col("m"), differ)).select("u", "v").distinct()
 
 
 def _first_stars(members: DataFrame) -> DataFrame:
@@ -160,28 +189,64 @@ def _first_stars(members: DataFrame) -> DataFrame:
     """
     centres = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("id").bitwiseXOR(F.col("key"))).alias("c")).where("n > 1")
     stars = members.join(centres.select("key", F.col("c").bitwiseXOR(F.col("key")).alias("c")), "key")
-    return _ordered(stars.select(F.col("c").alias("u"), F.col("id").alias("v")))
+    return _once(stars.select(F.col("c").alias("u"), F.col("id").alias("v")))
 
 
-def _further_stars(members: DataFrame, components: DataFrame, sketches: DataFrame) -> DataFrame:
+def _further_stars(members: DataFrame, components: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     """Candidates between the components that meet in one bucket.
 
     Each member outside the bucket's largest component is a centre for the members
     of other components whose sizes and sketches allow a link; what lies in one
-    component already needs no comparison.
+    component already needs no comparison. Where very many components meet, that
+    would be nearly all pairs, so there rare shingles find the candidates.
     """
     placed = members.join(components.withColumnRenamed("u", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("n", "component")).alias("top")).where("k > 1").select("key", F.col("top.component").alias("top"))
-    bits = [f"bits{i}" for i in range(WORDS)]
-    unsettled = placed.join(largest, "key").join(sketches.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *bits), "id")
+    meeting = materialize(sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("n", "component")).alias("top")).where("k > 1").select("key", "k", F.col("top.component").alias("top")), "buckets")
+    unsettled = placed.join(meeting.where(F.col("k") <= MOST_COMPONENTS), "key").join(sketches.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *_BITS), "id")
     unsettled = materialize(unsettled, "buckets")
-    centres = unsettled.where("component <> top").select("key", F.col("id").alias("c"), F.col("component").alias("of"), F.col("n").alias("c_n"), *(F.col(b).alias(f"c_{b}") for b in bits))
-    differ = sum(F.bit_count(F.col(b).bitwiseXOR(F.col(f"c_{b}"))) for b in bits)
-    # 100 i >= P u with i + d = u, i + u = n + m, for d the size of the difference.
-    allowed = (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("n") + F.col("c_n"))
-    met = unsettled.join(centres, (unsettled["key"] == centres["key"]) & (F.col("component") != F.col("of")) & allowed)
-    return _ordered(met.select(F.col("c").alias("u"), F.col("id").alias("v")))
+    centres = unsettled.where("component <> top").select("key", F.col("id").alias("c"), F.col("component").alias("of"), F.col("n").alias("c_n"), *(F.col(b).alias(f"c_{b}") for b in _BITS))
+    differ = sum(F.bit_count(F.col(b).bitwiseXOR(F.col(f"c_{b}"))) for b in _BITS)
+    met = unsettled.join(centres, (unsettled["key"] == centres["key"]) & (F.col("component") != F.col("of")) & _may_link(F.col("n"), F.col("c_n"), differ))
+    found = met.select(F.col("c").alias("u"), F.col("id").alias("v"))
+    crowded = meeting.where(F.col("k") > MOST_COMPONENTS)
+    if crowded.head(1):
+        crowd = placed.join(crowded.select("key"), "key", "left_semi").select("id", "component").distinct()
+        found = found.unionByName(_allowed(rare_pairs(materialize(crowd, "crowd"), docs), sketches))
+    return _once(found)
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, component, text in; a row for each distinct shingle out."""
+    for batch in batches:
+        data, offsets = B.text_buffers(batch.column(2))
+        for a, b, part, off in B.chunks(data, offsets):
+            sets = shingle_sets(part, off)
+            size = np.array([len(s) for s in sets])
+            own = [np.repeat(batch.column(i).slice(a, b - a).to_numpy(zero_copy_only=False), size) for i in range(2)]
+            digest = np.repeat(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64), size)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(digest), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "component", "digest", "n", "h"])
+
+
+def rare_pairs(crowd: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (u, v) of the documents (id, component) that share a rare shingle, which every link does.
+
+    Shingles are ordered by the number of documents with them. Two sets that reach
+    the threshold share one of their n - ceil(n P / 100) + 1 rarest; so what a whole
+    crowd shares makes no pair. Only documents of different components and fitting
+    sizes meet.
+    """
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    shingles = materialize(crowd.join(texts, "id").select("id", "component", "text").mapInArrow(_shingle_rows, "id long, component long, digest long, n long, h long").distinct(), "shingles")
+    often = shingles.groupBy("h").agg(F.count("*").alias("often"), F.min("component").alias("a"), F.max("component").alias("b"))
+    # What one component has for itself can't make a pair, but has its place in the order.
+    ranked = shingles.join(often, "h").groupBy("id", "component", "digest", "n").agg(F.array_sort(F.collect_list(F.struct("often", "h", (F.col("a") != F.col("b")).alias("shared")))).alias("order"))
+    rarest = F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int"))
+    places = ranked.select("id", "component", "n", F.explode(F.filter(rarest, lambda x: x["shared"])).alias("x")).select("id", "component", "n", "x.h")
+    places = materialize(places, "rare")
+    other = places.select(F.col("id").alias("v"), F.col("component").alias("of"), F.col("n").alias("m"), "h")
+    fits = (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")) & (F.col("component") < F.col("of"))
+    return places.join(other, "h").where(fits).select(F.col("id").alias("u"), "v").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -200,12 +265,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = sketches.where("n_shingles > 0 and doc_id is not null")
     sets = materialize(nodes.groupBy("digest").agg(F.min("doc_id").alias("id")), "sets")
     members = nodes.join(sets.select(F.col("id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
-    members = members.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    members = materialize(members.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")), "members")
     same_id = nodes.join(sets, "digest").groupBy(F.col("doc_id").alias("u")).agg(F.min("id").alias("v"), F.max("id").alias("w")).where("v <> w")
-    known = materialize(_first_stars(members), "pairs")
+    sketched = nodes.dropDuplicates(["doc_id", "digest"])
+    known = materialize(_allowed(_first_stars(members), sketched), "pairs")
     links = materialize(confirm_links(known, docs).unionAll(same_id.select(F.col("v").alias("u"), F.col("w").alias("v"))), "links")
     components = connected_components(links)
-    more = materialize(_further_stars(members, components, nodes.dropDuplicates(["doc_id", "digest"])).join(known, ["u", "v"], "left_anti"), "pairs")
+    either = known.unionAll(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    more = materialize(_further_stars(members, components, sketched, docs).join(either, ["u", "v"], "left_anti"), "pairs")
     found = materialize(confirm_links(more, docs), "links")
     if found.head(1):
         components = connected_components(links.unionAll(found))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._shared import shared_dir
+from corpusloom.llm._shared import new_path
 from corpusloom.llm.bpe import encoding_digests
 from corpusloom.llm.chat import format_turns, read_back
 from corpusloom.llm.media import read_media, store_payloads
@@ -20,12 +19,13 @@ from corpusloom.llm.repeats import PASSAGE_WORDS, repeat_digests
 from corpusloom.llm.secrets import secret_digests
 from corpusloom.llm.token_files import file_digests, write_token_files
 from corpusloom.llm.top_k import top_k
+from corpusloom.sources.tables import read_spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_spread(spark, f"{sf_dir}/{name}.parquet")
 
 
 def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = new_path(spark, "token-files")
     write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, added=True)
     return file_digests(spark, path)
 

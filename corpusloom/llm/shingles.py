@@ -37,8 +37,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     if not len(data):
         return [np.zeros(0, np.uint64)] * n
     starts, ends = word_spans(data, offsets)
-    prefix = B.prefix_hash(_FOLDED[data])
-    words = B.span_hash(prefix, starts, ends)
+    words = B.hash_spans(data, starts, ends, _FOLDED)
     first = np.searchsorted(starts, offsets)
     count = np.diff(first)
     rolled = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)

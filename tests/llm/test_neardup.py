@@ -55,6 +55,61 @@ def test_first_stars_alone_may_miss_what_further_stars_find(spark):
     assert sorted((str(k), str(v)) for k, v in got.items()) == sorted((i, c) for i, _, c in brute(rows))
 
 
+def crowd_rows(rng, n, linked=6):
+    """n documents that share one passage and little else, and some that are near copies of others."""
+    passage = [f"p{i}" for i in range(80)]
+    rows = [(i, [f"d{i}w{k}" for k in range(60)]) for i in range(n)]
+    for i in range(linked):
+        copy = list(rows[i * 7][1])
+        copy[30] = "changed"
+        rows.append((n + i, copy))
+    return [(i, " ".join(own[:30] + passage + own[30:])) for i, own in rows]
+
+
+def test_crowds_meet_by_rare_shingles_only(spark, monkeypatch):
+    """Buckets that a shared passage fills: as many candidates as links, not as pairs."""
+    monkeypatch.setattr(neardup, "MOST_COMPONENTS", 20)
+    rng = np.random.default_rng(4)
+    rows = crowd_rows(rng, 400)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    crowd = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component"))
+    pairs = {tuple(sorted((r.u, r.v))) for r in neardup.rare_pairs(crowd, docs).collect()}
+    assert pairs == {(7 * i, 400 + i) for i in range(6)}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    assert sorted((str(k), str(v)) for k, v in got.items()) == sorted((i, c) for i, _, c in brute(rows))
+
+
+def test_rare_pairs_hold_every_link(spark):
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for p in rng.choice(60, rng.integers(0, 12), replace=False):
+            t[p] = f"x{rng.integers(0, 3)}_{p}"
+        rows.append((i, " ".join(t[: rng.integers(3, 61)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = {tuple(sorted((r.u, r.v))) for r in neardup.rare_pairs(docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")), docs).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    links = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert links and links <= pairs
+
+
+def test_recall_on_short_documents(spark):
+    """Links between documents of 5 to 30 words, where densified bins repeat few shingles."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(600):
+        size = int(rng.integers(5, 31))
+        own = [f"{i}w{k}" for k in range(size)]
+        changed = list(own) if rng.random() < 0.3 else own[:-1] if size > 9 else own
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(changed))]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    links = [i for i in range(0, 1200, 2) if 100 * len(sets[i] & sets[i + 1]) >= 75 * len(sets[i] | sets[i + 1])]
+    assert len(links) > 500 and all(got[i] == got[i + 1] == i for i in links)
+
+
 def test_drop_keeps_columns_and_one_of_each_group(awkward, empty):
     df, rows = awkward
     kept = neardup.drop_near_duplicates(df.withColumn("key", F.lit(1)).withColumn("component", F.lit("x")))
