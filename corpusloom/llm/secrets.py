@@ -42,7 +42,9 @@ DECADE_BINS = 100
 
 KINDS = ("assign", "access", "hex", "random")
 _SPANS = "array<struct<kind:int,s:int,e:int>>"
+#: Elements of an array, and code points of a text, that are summed up together.
 _BLOCK = 128
+_PIECE = 4096
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -59,23 +61,24 @@ def _none() -> Column:
 
 
 def _spans(text: Column, pattern: str, kind: int, keep: Column | None = None) -> Column:
-    """Code-point spans of all matches, found from the texts between them.
+    """Code-point spans of all matches, each with what matched as m, found from the texts between them.
 
     Sums of lengths are kept for blocks of matches, so that a text full of matches
     costs little more than its length. ``keep`` gives a boolean for each match.
     """
     expr = F.lit(pattern)
+    none = F.array().cast("array<struct<kind:int,s:int,e:int,m:string>>")
 
     def placed(found: Column, between: Column) -> Column:
         widths = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda p, m: F.length(p) + F.length(m))
 
         def starts(width: Column) -> Column:
             blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(width) - 1) / _BLOCK).cast("int")), lambda b: _total(F.slice(width, b * _BLOCK + 1, F.lit(_BLOCK))))
-            return let(blocks, lambda block: F.transform(found, lambda m, i: let(_before(block, width, i) + F.length(F.element_at(between, i + 1)), lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("s"), (s + F.length(m)).alias("e")))))
+            return let(blocks, lambda block: F.transform(found, lambda m, i: let(_before(block, width, i) + F.length(F.element_at(between, i + 1)), lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m")))))
 
         return let(widths, starts)
 
-    spans = let(F.regexp_extract_all(text, expr, F.lit(0)), lambda found: F.when(F.size(found) == 0, _none()).otherwise(let(F.split(text, pattern, -1), lambda between: placed(found, between))))
+    spans = let(F.regexp_extract_all(text, expr, F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda between: placed(found, between))))
     if keep is not None:
         spans = let(spans, lambda all_: F.when(F.size(all_) == 0, all_).otherwise(let(keep, lambda ok: F.filter(all_, lambda x, i: F.element_at(ok, i + 1)))))
     return spans
@@ -91,9 +94,10 @@ def base_spans(text: Column) -> Column:
     """Spans of the three base kinds, in order of start and kind."""
     long_enough = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= LEAST_VALUE)
     assign = _spans(text, ASSIGN, 0, long_enough)
-    access = F.when(F.contains(text, F.lit("AKIA")), _spans(text, ACCESS, 1)).otherwise(_none())
-    hexes = F.when(text.rlike(HEX), _spans(text, HEX, 2)).otherwise(_none())
-    return _in_order(F.concat(assign, access, hexes))
+    plain = lambda spans: F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    access = F.when(F.contains(text, F.lit("AKIA")), plain(_spans(text, ACCESS, 1))).otherwise(_none())
+    hexes = F.when(text.rlike(HEX), plain(_spans(text, HEX, 2))).otherwise(_none())
+    return _in_order(F.concat(plain(assign), access, hexes))
 
 
 def _in_order(spans: Column) -> Column:
@@ -166,7 +170,7 @@ def _tested(text: Column) -> Column:
         return sum(((length >= b).cast("int") for b in STRATA), F.lit(0))
 
     def each(span: Column) -> Column:
-        return let(F.substring(text, span["s"] + 1, span["e"] - span["s"]), lambda token: let(_encoding(token), lambda which: F.when(which.isNotNull(), test(span, token, which))))
+        return let(_encoding(span["m"]), lambda which: F.when(which.isNotNull(), test(span, span["m"], which)))
 
     found = F.filter(F.transform(_spans(text, TOKEN, 3), each), lambda x: x.isNotNull())
     return F.when(text.rlike(TOKEN), found.cast(kind)).otherwise(F.array().cast(kind))
@@ -179,7 +183,7 @@ def _limits(scanned: DataFrame) -> DataFrame:
     Values above FALSE_REJECTIONS count in m only. Ranks are two-level sums: bins of
     log p, bounded in number, are summed in one place, values inside their bin.
     """
-    tested = scanned.select(F.explode("__tested").alias("t")).select(F.col("t.stratum").alias("stratum"), F.when(F.col("t.p") <= FALSE_REJECTIONS, F.col("t.p")).alias("p"))
+    tested = scanned.select(F.explode("tested").alias("t")).select(F.col("t.stratum").alias("stratum"), F.when(F.col("t.p") <= FALSE_REJECTIONS, F.col("t.p")).alias("p"))
     values = tested.groupBy("stratum", "p").agg(F.count("*").alias("n")).withColumn("bin", F.floor(-F.log10("p") * DECADE_BINS))
     bins = values.groupBy("stratum", "bin").agg(F.sum("n").alias("inside"))
     upto = F.sum("inside").over(Window.partitionBy("stratum").orderBy(F.col("bin").desc_nulls_last()))
@@ -199,19 +203,37 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     each stratum of lengths comes back to it.
     """
     rest = [c for c in docs.columns if c not in ("base", "spans")]
-    return _found(docs, rest).select(*rest, F.col("__base").alias("base"), F.col("__spans").alias("spans"))
+    return _found(docs, rest).select("row.*", "base", "spans")
 
 
 def _found(docs: DataFrame, rest: list[str]) -> DataFrame:
-    """The columns ``rest`` with __base and __spans."""
+    """The columns ``rest`` as one struct named row, so that no name can clash, with base and spans."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    scanned = materialize(docs.select(*rest, base_spans(text).alias("__base"), _tested(text).alias("__tested")), "scanned")
-    limits = _limits(scanned).agg(F.map_from_entries(F.collect_list(F.struct("stratum", "p"))).alias("__limits"))
+    scanned = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), base_spans(text).alias("base"), _tested(text).alias("tested"))
+    scanned = materialize(scanned, "scanned")
+    limits = _limits(scanned).agg(F.map_from_entries(F.collect_list(F.struct("stratum", "p"))).alias("limits"))
     judged = scanned.crossJoin(F.broadcast(limits))  # one row
-    random = F.filter("__tested", lambda t: t["p"] > F.coalesce(F.element_at(F.col("__limits"), t["stratum"]), F.lit(-1.0)))
-    apart = F.filter(random, lambda t: ~F.exists(F.col("__base"), lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    added = F.transform(apart, lambda t: F.struct(F.lit(3).alias("kind"), t["s"].alias("s"), t["e"].alias("e")))
-    return judged.select(*rest, "__base", _in_order(F.concat("__base", added)).alias("__spans"))
+    random = F.filter("tested", lambda t: t["p"] > F.coalesce(F.element_at(F.col("limits"), t["stratum"]), F.lit(-1.0)))
+    apart = let(_span_blocks(F.col("base")), lambda blocks: F.filter(random, lambda t: ~_touched(blocks, t)))
+    added = F.when(F.size("base") == 0, random).otherwise(apart)
+    added = F.transform(added, lambda t: F.struct(F.lit(3).alias("kind"), t["s"].alias("s"), t["e"].alias("e")))
+    return judged.select("row", "base", _in_order(F.concat("base", added)).alias("spans"))
+
+
+def _in_blocks(values: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of each _BLOCK neighbouring elements of an array that holds some."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: body(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+
+def _span_blocks(spans: Column) -> Column:
+    """Spans by neighbours, with the stretch that each block of them covers."""
+    edges = lambda part: F.struct(F.array_min(F.transform(part, lambda x: x["s"])).alias("s"), F.array_max(F.transform(part, lambda x: x["e"])).alias("e"), part.alias("part"))
+    return F.when(F.size(spans) > 0, _in_blocks(spans, edges))
+
+
+def _touched(blocks: Column, t: Column) -> Column:
+    meets = lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])
+    return F.exists(blocks, lambda block: meets(block) & F.exists(block["part"], meets))
 
 
 def _of_kind(spans: Column, kind: int) -> Column:
@@ -226,20 +248,35 @@ def spans_text(spans: Column) -> Column:
 
 def secret_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    counts = [_of_kind(F.col("__base"), k).alias(f"n_{KINDS[k]}") for k in range(3)]
-    return _found(docs, ["doc_id"]).select("doc_id", *counts, F.sha2(spans_text(F.col("__base")).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("__spans")).alias("spans"))
+    counts = [_of_kind(F.col("base"), k).alias(f"n_{KINDS[k]}") for k in range(3)]
+    return _found(docs, ["doc_id"]).select("row.doc_id", *counts, F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
-def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span of a secret replaced by ``mark``; other columns unchanged, a null text stays null."""
-    found = _found(docs, docs.columns)
+def _stretch(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to before ``end`` of a text in pieces of _PIECE code points."""
+    first = F.floor(start / _PIECE).cast("int")
+    joined = F.array_join(F.slice(pieces, first + 1, F.floor((end - 1) / _PIECE).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(joined, start - first * _PIECE + 1, end - start)).otherwise(F.lit(""))
+
+
+def _redacted(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with ``mark`` for each stretch of spans that overlap; some time for each span and code point, not for their product."""
+
+    def rebuilt(pieces: Column, ends: Column, tops: Column) -> Column:
+        def reached(i: Column) -> Column:
+            """How far the first i spans reach."""
+            whole = F.floor(i / _BLOCK).cast("int")
+            return F.greatest(F.lit(0), F.array_max(F.slice(tops, F.lit(1), whole)), F.array_max(F.slice(ends, whole * _BLOCK + 1, i - whole * _BLOCK)))
 
-    def rebuilt(spans: Column) -> Column:
-        def step(a: Column, x: Column) -> Column:
-            gap = F.when(x["s"] >= a["at"], F.concat(F.substring(F.col("text"), a["at"] + 1, x["s"] - a["at"]), F.lit(mark))).otherwise(F.lit(""))
-            return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.concat(a["out"], gap).alias("out"))
+        kept = F.transform(spans, lambda x, i: let(reached(i), lambda at: F.when(x["s"] >= at, F.concat(_stretch(pieces, at, x["s"]), F.lit(mark))).otherwise(F.lit(""))))
+        return F.concat(F.array_join(kept, ""), _stretch(pieces, F.array_max(ends), F.length(text)))
 
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-        return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    ends = F.transform(spans, lambda x: x["e"])
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)), lambda pieces: let(ends, lambda e: let(_in_blocks(e, F.array_max), lambda tops: rebuilt(pieces, e, tops))))
 
-    return found.withColumn("text", F.when(F.size("__spans") > 0, rebuilt(F.col("__spans"))).otherwise(F.col("text"))).select(docs.columns)
+
+def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every span of a secret replaced by ``mark``; other columns unchanged, a null text stays null."""
+    text = F.col("row.text")
+    redacted = F.when(F.size("spans") > 0, _redacted(text, F.col("spans"), mark)).otherwise(text)
+    return _found(docs, docs.columns).select(*(redacted.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

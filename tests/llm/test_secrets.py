@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def test_rejections_are_those_of_the_exact_procedure(spark):
         expected[stratum] = max((k for k, p in enumerate(ranked, 1) if p <= secrets.FALSE_REJECTIONS * k / len(ps)), default=0)
         values[stratum] = ps
         rows += [([(0, 20, stratum, p)],) for p in ps]
-    df = spark.createDataFrame(rows, "__tested array<struct<s:int,e:int,stratum:int,p:double>>")
+    df = spark.createDataFrame(rows, "tested array<struct<s:int,e:int,stratum:int,p:double>>")
     limits = {r.stratum: r.p for r in secrets._limits(df).collect()}
     got = {k: sum(p <= limits.get(k, -1) for p in ps) for k, ps in values.items()}
     assert got == expected and all(expected[k] >= n for k, n in enumerate((50, 100, 150)))
@@ -86,3 +87,100 @@ def test_few_plain_tokens_among_many_random_ones_are_left(spark):
     df = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(made)], "doc_id long, text string")
     flagged = {r.doc_id for r in secrets.secret_digests(df).collect() if "random" in r.spans}
     assert len([i for i in flagged if i < 600]) >= 540 and not [i for i in flagged if i >= 600]
+
+
+def tail(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def plain_p(token):
+    """The battery on one token, or None without an encoding."""
+    for _, alphabet, whole, some in secrets.ENCODINGS:
+        if re.search(whole.replace("\\z", "\\Z"), token) and re.search(some, token):
+            break
+    else:
+        return None
+    x, n, k = [alphabet.index(c) for c in token.replace("-", "+").replace("_", "/")], len(token), len(alphabet)
+    chi, spread = sum(x.count(c) ** 2 for c in set(x)) * k / n - n, 2 / (9 * (k - 1))
+    ps = [tail(((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - spread)) / math.sqrt(spread))]
+    high = [2 * v >= k for v in x]
+    product = 2 * sum(high) * (n - sum(high))
+    variance = product * (product - n) / (n * n * (n - 1))
+    turns = sum(a != b for a, b in zip(high, high[1:]))
+    ps.append(2 * tail(abs((turns + 1 - product / n - 1) / math.sqrt(variance))) if variance > 0 else 1e-9)
+    d = [v - sum(x) / n for v in x]
+    square = sum(v * v for v in d)
+    ps.append(2 * tail(abs(sum(a * b for a, b in zip(d, d[1:])) / square + 1 / n) * math.sqrt(n)) if square > 0 else 1e-9)
+    t = -sum(math.log(max(p, 1e-12)) for p in ps)
+    return math.exp(-t) * (1 + t + t * t / 2)
+
+
+def plain_scan(texts):
+    """Spans of kind random in each text, with the step-up test over all tokens of a stratum."""
+    tested, ps = [], {}
+    for d, text in enumerate(texts):
+        for m in re.finditer(secrets.TOKEN, text):
+            if (p := plain_p(m[0])) is not None:
+                stratum = sum(len(m[0]) >= b for b in secrets.STRATA)
+                tested.append((d, m.start(), m.end(), stratum, p))
+                ps.setdefault(stratum, []).append(p)
+    limit = {}
+    for stratum, values in ps.items():
+        ranked = sorted(values)
+        limit[stratum] = max((p for k, p in enumerate(ranked, 1) if p <= secrets.FALSE_REJECTIONS * k / len(ranked)), default=-1)
+    out = [[] for _ in texts]
+    for d, s, e, stratum, p in tested:
+        if p > limit[stratum] and not any(a < e and s < b for a, _, b in base(texts[d])):
+            out[d].append(f"random:{s}:{e}")
+    return out
+
+
+def test_random_spans_equal_a_plain_version(spark):
+    rng = random.Random(21)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    kinds = [alphabet for _, alphabet, *_ in secrets.ENCODINGS]
+    periodic = lambda n: (draw(kinds[3], 3) + "a1B") * (n // 6 + 1)
+    token = lambda: rng.choice([lambda: draw(rng.choice(kinds), rng.randint(20, 120)), lambda: periodic(60)[: rng.randint(20, 60)], lambda: "the-quick_brown/fox+jumps2024Over"])()
+    texts = [" é ".join(rng.choice([token(), "word", f"token={draw(kinds[0], 12)}"]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("random")] for r in secrets.secret_digests(df).collect()}
+    want = plain_scan(texts)
+    assert sum(map(len, want)) > 300 and all(got[d] == want[d] for d in range(300))
+
+
+def test_periodic_tokens_among_a_thousand_random_ones_are_rejected(spark):
+    rng = random.Random(13)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    made = ["".join(rng.choice(alphabet) for _ in range(44)) for _ in range(1000)] + [("aB1" + chr(99 + i)) * 11 for i in range(10)]
+    df = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(made)], "doc_id long, text string")
+    flagged = {r.doc_id for r in secrets.secret_digests(df).collect() if "random" in r.spans}
+    assert len([i for i in flagged if i >= 1000]) <= 1 and len([i for i in flagged if i < 1000]) >= 900
+
+
+def test_a_text_full_of_tokens_and_secrets_takes_seconds(spark):
+    rng = random.Random(2)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    text = "é" + " ".join("".join(rng.choice(alphabet) for _ in range(30)) + (" token=abcdefgh1" if i % 3 else "") for i in range(25_000))
+    assert len(text) > 1_000_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    out = secrets.redact_secrets(df).first().text
+    assert time.time() - began < 60
+    assert out.count("[secret]") > 35_000 and "token=" not in out and len(out) < 0.7 * len(text)
+
+
+def test_redaction_equals_cutting(spark):
+    """Spans that touch or overlap, and stretches that cross the pieces in which a text is cut."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(40):
+        parts = [rng.choice(["é" * rng.randint(0, 9000), "x " * rng.randint(0, 3000), "token=abcdefgh1", f"AKIA{'A1' * 8}", "0123456789abcdef" * 2, f"token={'0123456789abcdef' * 2}"]) for _ in range(rng.randint(0, 8))]
+        rows.append((i, rng.choice(["", " "]).join(parts)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.secret_digests(df).collect()}
+    for r in secrets.redact_secrets(df).collect():
+        text, at, out = dict(rows)[r.doc_id], 0, []
+        for s, e in sorted(tuple(map(int, x.split(":")[1:])) for x in spans[r.doc_id].split(",") if x):
+            out += [text[at:s], "[secret]"] if s >= at else []
+            at = max(at, e)
+        assert r.text == "".join(out) + text[at:]
