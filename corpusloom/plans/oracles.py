@@ -6,7 +6,7 @@ from corpusloom.functions import unicode_classes as U
 from corpusloom.functions.text import quoted
 from corpusloom.operators.forms import form_pattern
 from corpusloom.operators.tokens import LIMITS, SPECIALS
-from corpusloom.plans.queries import BLOCK, SAMPLE_SIZES, SAMPLES, STRIDE
+from corpusloom.plans.queries import BLOCK, FILE_RECORDS, SAMPLE_SIZES, SAMPLES, SHARD_TOKENS, STRIDE
 from corpusloom.plans.views import view_sql
 from corpusloom.policy import CLASSICAL, LATIN_SCRIPT, Policy
 
@@ -315,10 +315,33 @@ def screen_sql() -> str:
     ).rstrip(", ") + f" select request, prompt, {reasons(rules)} reasons, {reasons(rules)} = '' accepted from (select *, len(list_filter({characters('prompt')}, lambda z: not list_contains(k, z))) bad from (select *, {prompt} prompt from v_requests), known)"
 
 
+def blocks_sql() -> str:
+    blocks = "select unnest(string_split(text, chr(10) || chr(10))) b from v_spaced"
+    return with_(view_sql("v_spaced")) + f"select sha256(b) block_sha256, count(*) n from ({blocks}) where {like('b', U.NOT_WS)} group by 1"
+
+
+def shards_sql() -> str:
+    """Ids as two bytes each, the low one first, of the records that start in each stretch of the stream."""
+    shard = f"cast(floor(tok_start / {SHARD_TOKENS}) as bigint)"
+    packed = "array_to_string(list_transform(ids, lambda t: printf('%02x%02x', t & 255, t >> 8)), '')"
+    gathered = f"select split, {shard} shard, count(*) records, flatten(list(toks order by tok_start)) ids from placed_tokens group by 1, 2"
+    return with_(R, streams()) + (
+        f"select split, shard, records, cast(len(ids) as bigint) n_tokens, {size('list_filter(ids, lambda t: t = 3)')} unknown_tokens, cast(2 * len(ids) as bigint) bytes, sha256(unhex({packed})) sha256 from ({gathered})"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     labelled = with_(P, label())
     dirty_routes = with_(D, routed(LATIN_SCRIPT, "v_dirty"))
     return {
+        "read_text_blocks": blocks_sql(),
+        "read_mixed_blocks": blocks_sql(),
+        "utf8_gate": with_(R) + "select id, source_block % 5 <> 0 is_utf8, case when source_block % 5 <> 0 then sha256(text) end text_sha256 from v_records",
+        "read_records_jsonl": with_(R) + "select id, title, dynasty, author, text, source_block from v_records",
+        "write_records_jsonl": with_(R) + "select sha256(cast(to_json({id: id, title: title, dynasty: dynasty, author: author, text: text, source_block: source_block}) as varchar)) line_sha256, count(*) n from v_records group by 1",
+        "write_token_shards": shards_sql(),
+        "load_vocab": with_(R, encoded()) + "select token, cast(id as bigint) id, cast(count as bigint) as count from vocab",
+        "artifact_manifest": with_(R) + f"select cast(strlen(t) as bigint) bytes, sha256(t) sha256 from (select string_agg(text || chr(10), '' order by source_block) t from v_records group by floor(source_block / {FILE_RECORDS}))",
         "global_index": with_(R) + "select source_block, id, row_number() over (order by source_block) ordinal from v_records",
         "corpus_totals": with_(D, f"l as (select text, {lines('text')} ls from v_dirty)")
         + f"select {total('strlen(text)')} bytes, {total('length(text)')} as characters, {total('len(ls)')} lines, {total(f'len(list_filter(ls, lambda z: {like(chr(122), U.NOT_WS)}))')} nonempty_lines, {total(f'len(ls) - len(list_filter(ls, lambda z: {like(chr(122), U.NOT_WS)}))')} blank_lines, "

@@ -11,11 +11,16 @@ from corpusloom.operators import clean, dedup, forms, index, normalize, parse, p
 from corpusloom.plans import prepare
 from corpusloom.plans.views import view
 from corpusloom.policy import CLASSICAL, LATIN_SCRIPT
+from corpusloom.sources import records as record_files
+from corpusloom.sources import text as text_files
+from corpusloom.sources.shared import new_path
 from corpusloom.sources.tables import read_spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 BLOCK, SAMPLES = 256, 50
 STRIDE = BLOCK  # windows tile the whole stream
+#: Small, so that even a small table makes several shards and files.
+SHARD_TOKENS, FILE_RECORDS = 50_000, 100
 SAMPLE_SIZES = {"train": 30, "validation": 20, "test": 20}
 
 
@@ -137,8 +142,80 @@ def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(prepare.stage_funnel(stages))
 
 
+def _counted(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def _read_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text written to files, blank lines between them, and read back in blocks."""
+    path = new_path(spark, "text")
+    view(_docs(spark, sf_dir), "v_spaced").select("text").write.option("lineSep", "\n\n").text(path)
+    blocks = text_files.read_text_blocks(spark, path)
+    return _counted(blocks.select(F.sha2(F.col("block").cast("binary"), 256).alias("block_sha256")), "block_sha256")
+
+
+def _read_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with lines that end in CRLF."""
+    path = new_path(spark, "text")
+    text = F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n"))
+    view(_docs(spark, sf_dir), "v_spaced").select(text.alias("text")).write.option("lineSep", "\r\n\r\n").text(path)
+    blocks = text_files.read_mixed_blocks(spark, path)
+    return _counted(blocks.select(F.sha2(F.col("block").cast("binary"), 256).alias("block_sha256")), "block_sha256")
+
+
+def _gated(docs: DataFrame) -> DataFrame:
+    """Bytes of the texts, every fifth with one that UTF-8 doesn't have."""
+    content = F.when(F.col("source_block") % 5 == 0, F.concat(F.unhex(F.lit("FF")), F.col("text").cast("binary"))).otherwise(F.col("text").cast("binary"))
+    gated = text_files.utf8_gate(docs.select("id", content.alias("content")))
+    return gated.select("id", "is_utf8", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def _stored_records(spark: SparkSession, sf_dir: str, by: str | None = None) -> str:
+    path = new_path(spark, "records")
+    record_files.write_records_jsonl(view(_docs(spark, sf_dir), "v_records"), path, by)
+    return path
+
+
+def _read_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_files.read_records_jsonl(spark, _stored_records(spark, sf_dir, by="dynasty"))
+
+
+def _written_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.text(_stored_records(spark, sf_dir))
+    return _counted(lines.select(F.sha2(F.col("value").cast("binary"), 256).alias("line_sha256")), "line_sha256")
+
+
+def _shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formatted = _formatted(view(_docs(spark, sf_dir), "v_records"))
+    vocab = _vocab(formatted)
+    placed = tokens.token_offsets(tokens.encode(formatted, vocab).select("id", "split", "tokens"))
+    return _tidy(record_files.write_token_shards(placed, new_path(spark, "shards"), vocab.count(), SHARD_TOKENS))
+
+
+def _kept_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "vocab")
+    record_files.save_vocab(_vocab(_formatted(view(_docs(spark, sf_dir), "v_records"))), path)
+    return _tidy(record_files.load_vocab(spark, path))
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in files of FILE_RECORDS records each, in order, and what the manifest says of them."""
+    path = new_path(spark, "files")
+    keyed = view(_docs(spark, sf_dir), "v_records").select("source_block", "text").withColumn("file", F.floor(F.col("source_block") / FILE_RECORDS))
+    keyed.repartition("file").sortWithinPartitions("file", "source_block").select("file", "text").write.partitionBy("file").text(path)
+    return record_files.artifact_manifest(spark, path).where("path like '%.txt'").select("bytes", "sha256")
+
+
 def queries() -> dict[str, Query]:
     return {
+        "read_text_blocks": _read_blocks,
+        "read_mixed_blocks": _read_mixed,
+        "utf8_gate": _over("v_records", _gated),
+        "read_records_jsonl": _read_records,
+        "write_records_jsonl": _written_lines,
+        "write_token_shards": _shards,
+        "load_vocab": _kept_vocab,
+        "artifact_manifest": _manifest,
         "global_index": _over("v_records", lambda v: index.global_index(v.select("source_block", "id"), ["source_block"], "ordinal")),
         "corpus_totals": _over("v_dirty", profile.corpus_totals),
         "field_count_histogram": _over("v_blocks", profile.field_count_histogram),

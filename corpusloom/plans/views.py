@@ -52,6 +52,7 @@ VIEWS: dict[str, dict[str, str]] = {
         f"when doc_id%17=0 then {_PLAIN}||chr(10)||{_TITLE}||chr(10)||lang||']'||chr(10)||source when doc_id%19=0 then {_HEAD}||chr(10)||source||chr(10)||{_BODY} "
         f"when doc_id%23=0 then ' '||chr(10)||lang||']'||chr(10)||source||chr(10)||{_BODY} else {_PLAIN} end",
     },
+    "v_spaced": {"text": "case when doc_id%3=0 then replace(text,' the ',chr(10)||chr(10)) when doc_id%7=0 then replace(text,chr(10),chr(10)||chr(10)||' ') else text end"},
     "v_jsonl": {
         "line_number": "doc_id+1",
         "value": f"case when doc_id%29=0 then substring({_JSON},1,cast(floor(length({_JSON})/2.0) as int)) when doc_id%31=0 then '[\"x\"]' else {_JSON} end",
