@@ -6,7 +6,7 @@ small whatever the batch holds; a document longer than a chunk is a chunk.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,13 +86,37 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE_HASH, most: int = CHUNK_BYTES) -> np.ndarray:
     """``span_hash`` of ascending spans, formed from about ``most`` bytes at a time."""
     out = np.empty(len(starts), np.uint64)
+    for some, first, last in stretches(starts, ends, most):
+        out[some] = span_hash(prefix_hash(table[data[first:last]]), starts[some] - first, ends[some] - first)
+    return out
+
+
+def stretches(starts: np.ndarray, ends: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[slice, int, int]]:
+    """Neighbouring spans that lie in about ``most`` bytes, with the first and the end byte of each stretch."""
     at = 0
     while at < len(starts):
         stop = max(at + 1, int(np.searchsorted(ends, starts[at] + most, side="right")))
-        first, last = starts[at], ends[stop - 1]
-        out[at:stop] = span_hash(prefix_hash(table[data[first:last]]), starts[at:stop] - first, ends[at:stop] - first)
+        yield slice(at, stop), int(starts[at]), int(ends[stop - 1])
         at = stop
-    return out
+
+
+def is_long(offsets: np.ndarray) -> bool:
+    """Whether a chunk is one document that is better taken in pieces."""
+    return len(offsets) == 2 and offsets[1] > 2 * CHUNK_BYTES
+
+
+def by_pieces(encode: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``encode`` of one long document, piece by piece, so that temporary arrays stay small.
+
+    Pieces begin with a blank or line feed that follows a visible ASCII character,
+    where a pre-token begins whatever is around it; a text without any is one piece.
+    """
+    fits = np.flatnonzero(((data[1:] == 32) | (data[1:] == 10)) & (data[:-1] > 32) & (data[:-1] < 127)) + 1
+    cuts = [0]
+    while (k := int(np.searchsorted(fits, cuts[-1] + CHUNK_BYTES))) < len(fits):
+        cuts.append(int(fits[k]))
+    ids = np.concatenate([encode(data[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)])
+    return ids, np.array([0, len(ids)])
 
 
 def doc_of(offsets: np.ndarray, position: np.ndarray) -> np.ndarray:

@@ -148,6 +148,9 @@ class Vocabulary:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of a chunk and the offsets of each document in them."""
+        return B.by_pieces(self._encode, data) if B.is_long(offsets) else self._encode(data, offsets)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = pretoken_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
         if not len(starts):

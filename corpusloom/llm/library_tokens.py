@@ -39,6 +39,8 @@ class LibraryTokens:
         added = self.library.get_added_tokens_decoder()
         self.odd = [t.content for t in added.values() if t.single_word or t.lstrip or t.rstrip or t.normalized]
         self.added = {t.content.encode(): i for i, t in added.items()}
+        #: Added tokens with a blank in them may lie across the pieces of a long text.
+        self.spaced = any(b" " in t or b"\n" in t for t in self.added)
         self.match = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)))
         self._forget()
 
@@ -64,6 +66,9 @@ class LibraryTokens:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of a chunk and the offsets of each document in them."""
+        return B.by_pieces(self._encode, data) if B.is_long(offsets) else self._encode(data, offsets)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = pretoken_starts(data, offsets)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
@@ -83,7 +88,6 @@ class LibraryTokens:
         at = np.concatenate(([0], np.cumsum(size)))
         return self.flat[B.ranges(self.begin[place], size)], at[np.searchsorted(starts, offsets)]
 
-
     def encode_added(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same with the file's added tokens found in the texts first, as the library does by default.
 
@@ -91,13 +95,18 @@ class LibraryTokens:
         """
         if self.odd:
             raise ValueError(f"added tokens with rules of their own: {self.odd}")
+        if B.is_long(offsets) and not self.spaced:
+            return B.by_pieces(self._encode_added, data)
+        return self._encode_added(data, offsets)
+
+    def _encode_added(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
         if not any(t in raw for t in self.added):
-            return self.encode(data, offsets)
+            return self._encode(data, offsets)
         met = [m for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for m in self.match.finditer(raw, a, b)]
         first, last = (np.array([m.span()[k] for m in met], np.int64) for k in (0, 1))
         cuts = np.sort(np.concatenate((offsets, first, last)))
-        ids, at = self.encode(data, cuts)
+        ids, at = self._encode(data, cuts)
         begin, size, held = at[:-1].copy(), np.diff(at), np.searchsorted(cuts, first, side="right") - 1
         begin[held], size[held] = len(ids) + np.arange(len(met)), 1
         flat = np.concatenate((ids, np.array([self.added[m[0]] for m in met], np.int32)))

@@ -51,10 +51,10 @@ DENSE = FORM + 3
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document, start, end and hash of every word; the hash passes over case and signs."""
     start, end = word_spans(data, offsets)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    up, down = B.powers(len(data) + 1)
-    np.cumsum(_FOLDED[data] * up[: len(data)], out=prefix[1:])
-    word = (B.mix64((prefix[end] - prefix[start]) * down[start]) & np.uint64(WORDS - 1)).astype(np.int64)
+    word = np.empty(len(start), np.int64)
+    for some, first, last in B.stretches(start, end):
+        prefix, a = B.prefix_hash(_FOLDED[data[first:last]]), start[some] - first
+        word[some] = (B.mix64((prefix[end[some] - first] - prefix[a]) * B.powers(last - first + 1)[1][a]) & np.uint64(WORDS - 1)).astype(np.int64)
     return B.doc_of(offsets, start), start, end, word
 
 
@@ -75,8 +75,9 @@ def features(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray) -> np.nda
     def share(what: np.ndarray) -> np.ndarray:
         return np.bincount(doc, what, minlength=n) / some
 
-    counts = [np.concatenate(([0], np.cumsum(m))) for m in ((data >= 97) & (data <= 122), (data >= 65) & (data <= 90), (data >= 48) & (data <= 57), _LETTERS[data])]
-    lower, upper, digit, letter = (c[end] - c[start] for c in counts)
+    edges = np.stack((start, end), axis=1).ravel()
+    kinds_of = ((data >= 97) & (data <= 122), (data >= 65) & (data <= 90), (data >= 48) & (data <= 57), _LETTERS[data])
+    lower, upper, digit, letter = (np.add.reduceat(np.append(m, False), edges, dtype=np.int32)[::2] if len(edges) else np.zeros(0, np.int32) for m in kinds_of)
     kinds = len(_TAILS) + 2
     last = _TAIL[data[end - 1]] if len(end) else np.zeros(0, np.int64)
     twice = (end - start > 1) & (data[end - 1] == data[np.maximum(end - 2, 0)]) if len(end) else np.zeros(0, bool)

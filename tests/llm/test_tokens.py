@@ -48,6 +48,22 @@ def test_encoding_equals_both_libraries(tools):
             assert theirs[their_at[k - a] : their_at[k - a + 1]].tolist() == library.encode(texts[k], add_special_tokens=False).ids
 
 
+def test_long_texts_are_encoded_piece_by_piece(tools, monkeypatch):
+    vocabulary, reference, library = tools
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(PIECES) for _ in range(n)) for n in (400, 700, 3000)] + ["x" * 900, "é" * 900, " \n" * 300]
+    plain = Tokenizer.from_file(PLAIN)
+    monkeypatch.setattr(B, "CHUNK_BYTES", 40)
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        off = np.array([0, len(data)])
+        assert B.is_long(off)
+        assert vocabulary.encode(data, off)[0].tolist() == reference.encode_ordinary(text)
+        tokens = LibraryTokens.of(PLAIN)
+        assert tokens.encode(data, off)[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert tokens.encode_added(data, off)[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(max_size=40), max_size=6))
 def test_any_text(texts):
