@@ -39,8 +39,8 @@ BITS = 1024
 WORDS = BITS // 64
 #: Members of a star that one copy of its centre is compared with.
 STAR = 512
-#: Components of a bucket up to which its members are compared by sketch.
-MOST_COMPONENTS = 256
+#: Comparisons by sketch up to which a bucket's members are compared with each other.
+MOST_COMPARISONS = 1 << 22
 #: A link needs 100 * intersection >= 75 * union.
 PERCENT = 75
 _TOP = np.uint64(57)  # shift that leaves the number of one of 128 bins
@@ -197,19 +197,19 @@ def _further_stars(members: DataFrame, components: DataFrame, sketches: DataFram
 
     Each member outside the bucket's largest component is a centre for the members
     of other components whose sizes and sketches allow a link; what lies in one
-    component already needs no comparison. Where very many components meet, that
-    would be nearly all pairs, so there rare shingles find the candidates.
+    component already needs no comparison. Where that would be more than
+    MOST_COMPARISONS, rare shingles find the candidates.
     """
     placed = members.join(components.withColumnRenamed("u", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    meeting = materialize(sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("n", "component")).alias("top")).where("k > 1").select("key", "k", F.col("top.component").alias("top")), "buckets")
-    unsettled = placed.join(meeting.where(F.col("k") <= MOST_COMPONENTS), "key").join(sketches.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *_BITS), "id")
+    meeting = materialize(sizes.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top")).where("k > 1").select("key", F.col("top.component").alias("top"), (F.col("all") * (F.col("all") - F.col("top.n"))).alias("work")), "buckets")
+    unsettled = placed.join(meeting.where(F.col("work") <= MOST_COMPARISONS), "key").join(sketches.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *_BITS), "id")
     unsettled = materialize(unsettled, "buckets")
     centres = unsettled.where("component <> top").select("key", F.col("id").alias("c"), F.col("component").alias("of"), F.col("n").alias("c_n"), *(F.col(b).alias(f"c_{b}") for b in _BITS))
     differ = sum(F.bit_count(F.col(b).bitwiseXOR(F.col(f"c_{b}"))) for b in _BITS)
     met = unsettled.join(centres, (unsettled["key"] == centres["key"]) & (F.col("component") != F.col("of")) & _may_link(F.col("n"), F.col("c_n"), differ))
     found = met.select(F.col("c").alias("u"), F.col("id").alias("v"))
-    crowded = meeting.where(F.col("k") > MOST_COMPONENTS)
+    crowded = meeting.where(F.col("work") > MOST_COMPARISONS)
     if crowded.head(1):
         crowd = placed.join(crowded.select("key"), "key", "left_semi").select("id", "component").distinct()
         found = found.unionByName(_allowed(rare_pairs(materialize(crowd, "crowd"), docs), sketches))
@@ -234,7 +234,8 @@ def rare_pairs(crowd: DataFrame, docs: DataFrame) -> DataFrame:
     Shingles are ordered by the number of documents with them. Two sets that reach
     the threshold share one of their n - ceil(n P / 100) + 1 rarest; so what a whole
     crowd shares makes no pair. Only documents of different components and fitting
-    sizes meet.
+    sizes meet, and only where so many shingles follow the shared one in both orders
+    that, were it the first they share, they could still reach the threshold.
     """
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     shingles = materialize(crowd.join(texts, "id").select("id", "component", "text").mapInArrow(_shingle_rows, "id long, component long, digest long, n long, h long").distinct(), "shingles")
@@ -242,10 +243,11 @@ def rare_pairs(crowd: DataFrame, docs: DataFrame) -> DataFrame:
     # What one component has for itself can't make a pair, but has its place in the order.
     ranked = shingles.join(often, "h").groupBy("id", "component", "digest", "n").agg(F.array_sort(F.collect_list(F.struct("often", "h", (F.col("a") != F.col("b")).alias("shared")))).alias("order"))
     rarest = F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int"))
-    places = ranked.select("id", "component", "n", F.explode(F.filter(rarest, lambda x: x["shared"])).alias("x")).select("id", "component", "n", "x.h")
+    left = F.transform(rarest, lambda x, i: F.struct(x["h"].alias("h"), x["shared"].alias("shared"), (F.col("n") - i).alias("left")))
+    places = ranked.select("id", "component", "n", F.explode(F.filter(left, lambda x: x["shared"])).alias("x")).select("id", "component", "n", "x.h", "x.left")
     places = materialize(places, "rare")
-    other = places.select(F.col("id").alias("v"), F.col("component").alias("of"), F.col("n").alias("m"), "h")
-    fits = (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")) & (F.col("component") < F.col("of"))
+    other = places.select(F.col("id").alias("v"), F.col("component").alias("of"), F.col("n").alias("m"), "h", F.col("left").alias("m_left"))
+    fits = ((100 + PERCENT) * F.least("left", "m_left") >= PERCENT * (F.col("n") + F.col("m"))) & (F.col("component") < F.col("of"))
     return places.join(other, "h").where(fits).select(F.col("id").alias("u"), "v").distinct()
 
 
@@ -300,11 +302,12 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     are documents of their own here, so their copies link. Rows without words stay.
     Only rows of repeated documents move for that, reduced in each task first.
     """
-    keyed = docs.withColumn("__node", _node(F.col("doc_id"), F.col("text")))
-    found = near_duplicates(keyed.select(F.col("__node").alias("doc_id"), "text"))
-    marks = found.groupBy(F.col("doc_id").alias("__node")).agg(F.bool_and("kept").alias("__kept"), F.count_if(F.col("n_shingles") > 0).alias("__n")).where("not __kept or __n > 1")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))  # as one, so that no name can clash
+    keyed = docs.select(_node(F.col("doc_id"), F.col("text")).alias("node"), row.alias("row"))
+    found = near_duplicates(keyed.select(F.col("node").alias("doc_id"), "row.text"))
+    marks = found.groupBy(F.col("doc_id").alias("node")).agg(F.bool_and("kept").alias("kept"), F.count_if(F.col("n_shingles") > 0).alias("n")).where("not kept or n > 1")
     marks = materialize(marks, "marks")
-    single = keyed.join(marks, "__node", "left_anti").select(docs.columns)
-    again = keyed.join(marks.where("__kept").select("__node"), "__node", "left_semi").withColumn("__words", _words(F.col("text")))
-    one = again.where("__words is not null").dropDuplicates(["__node", "__words"])
-    return single.unionByName(one.select(docs.columns)).unionByName(again.where("__words is null").select(docs.columns))
+    single = keyed.join(marks, "node", "left_anti").select("row.*")
+    again = keyed.join(marks.where("kept").select("node"), "node", "left_semi").select("node", "row", _words(F.col("row.text")).alias("words"))
+    one = again.where("words is not null").dropDuplicates(["node", "words"])
+    return single.unionAll(one.select("row.*")).unionAll(again.where("words is null").select("row.*"))

@@ -68,7 +68,7 @@ def crowd_rows(rng, n, linked=6):
 
 def test_crowds_meet_by_rare_shingles_only(spark, monkeypatch):
     """Buckets that a shared passage fills: as many candidates as links, not as pairs."""
-    monkeypatch.setattr(neardup, "MOST_COMPONENTS", 20)
+    monkeypatch.setattr(neardup, "MOST_COMPARISONS", 50)
     rng = np.random.default_rng(4)
     rows = crowd_rows(rng, 400)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
