@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+# Patterns of markup and addresses.
 HTML = r"<[^>\n]{1,200}>"
 URL = r"(?:https?://|www\.)"
 
@@ -19,6 +20,7 @@ class Policy:
     known: tuple[str, ...]
     id_format: str
     id_pattern: str
+    # Thresholds and ASCII classes of the rules, from here on.
     min_length: int = 8
     note_length: int = 500
     review_length: int = 1000
