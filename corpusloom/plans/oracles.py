@@ -286,9 +286,11 @@ def stats() -> str:
 
 
 def windows_sql() -> str:
-    return with_(R, streams()) + (
-        f"select split, start, {digest(f's[start + 1 : start + {BLOCK}]')} x, {digest(f's[start + 2 : start + {BLOCK} + 1]')} y "
-        f"from (select split, s, unnest(range(0, cast(n as bigint) - {BLOCK}, {STRIDE})) start from streams where n > {BLOCK})"
+    """Windows tile the stream, so x and y are its stretches of BLOCK tokens, from 0 and from 1 on."""
+    stretch = lambda first, name: f"select split, (pos - {first}) // {BLOCK} k, count(*) c, sha256(string_agg(cast(token as varchar), ',' order by pos)) {name} from flat where pos >= {first} group by 1, 2"
+    assert STRIDE == BLOCK
+    return with_(R, streams(), "flat as (select split, unnest(toks) token, cast(tok_start as bigint) + generate_subscripts(toks, 1) - 1 pos from placed_tokens)") + (
+        f"select split, cast(k * {BLOCK} as bigint) start, x, y from ({stretch(0, 'x')}) join (select split, k, y from ({stretch(1, 'y')}) where c = {BLOCK}) using (split, k)"
     )
 
 

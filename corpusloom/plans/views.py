@@ -8,6 +8,9 @@ replace all matches.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
 
 _FIRST = "substring(split_part(text,chr(10),1),1,40)"
 _TITLE = f"case when doc_id%4=0 then {_FIRST}||' '||source else {_FIRST} end"
@@ -31,7 +34,7 @@ _HAN = f"translate(lower(substring(regexp_replace(text,'[^A-Za-z]',''{{G}}),1,64
 
 
 def _verse(clauses: int, width: int, marks: str = "，。", first: str | None = None) -> str:
-    parts = [f"substring({_HAN},{i * width + 1},{width})||'{marks[i % 2]}'" for i in range(clauses)]
+    parts = [f"substring(han,{i * width + 1},{width})||'{marks[i % 2]}'" for i in range(clauses)]
     if first:
         parts[0] = f"{first}||'{marks[0]}'"
     return "||".join(parts)
@@ -75,7 +78,7 @@ VIEWS: dict[str, dict[str, str]] = {
         "split": _SPLIT,
         "wanted": "case doc_id%4 when 0 then '五言绝句' when 1 then '七言绝句' when 2 then '五言律诗' else '七言律诗' end",
         "text": f"case doc_id%8 when 0 then {_verse(4, 5)} when 1 then {_verse(4, 7)} when 2 then {_verse(8, 5)} when 3 then {_verse(8, 7)} when 4 then {_verse(4, 5, '。。')} "
-        f"when 5 then {_verse(4, 5)}||chr(10) when 6 then {_verse(4, 5, first=f'substring({_HAN},1,6)')} else {_verse(4, 5, first=f'chr(97)||substring({_HAN},2,4)')} end",
+        f"when 5 then {_verse(4, 5)}||chr(10) when 6 then {_verse(4, 5, first='substring(han,1,6)')} else {_verse(4, 5, first='chr(97)||substring(han,2,4)')} end",
     },
     "v_requests": {
         "form": "case when doc_id%9=0 then '自由诗' else '五言绝句' end",
@@ -92,11 +95,18 @@ VIEWS: dict[str, dict[str, str]] = {
 }
 
 
+#: What the columns of a view use often and is computed first.
+FIRST = {"v_poems": {"han": _HAN}}
+
+
 def view(documents: DataFrame, name: str) -> DataFrame:
+    first = {c: F.expr(e.replace("{G}", "")) for c, e in FIRST.get(name, {}).items()}
+    documents = T.bind(documents, **first) if first else documents
     return documents.selectExpr(*(f"{e.replace('{G}', '')} as {c}" for c, e in VIEWS[name].items()))
 
 
 def view_sql(name: str) -> str:
     """The view as a common table expression for DuckDB."""
     columns = ", ".join(f"{e.replace('{G}', chr(44) + chr(39) + 'g' + chr(39))} as {c}" for c, e in VIEWS[name].items())
-    return f"{name} as (select {columns} from documents)"
+    first = "".join(f", {e.replace('{G}', chr(44) + chr(39) + 'g' + chr(39))} as {c}" for c, e in FIRST.get(name, {}).items())
+    return f"{name} as (select {columns} from (select *{first} from documents))"
