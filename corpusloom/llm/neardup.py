@@ -144,17 +144,20 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["u", "v"])
 
 
-def confirm_links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm_links(pairs: DataFrame, docs: DataFrame, many: bool = False) -> DataFrame:
     """Those of the pairs (u, v) whose full shingle sets reach the threshold.
 
     u is the centre of a star. A text goes once to each star that it is in; the
-    centre's goes once to each STAR of its members, which is a task's share.
+    centre's goes once to each STAR of its members, which is a task's share. Where
+    ``many`` pairs are in store, in proportion to the documents, texts meet them by a
+    merge join at any size; few may be broadcast.
     """
     parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
     members = pairs.join(parts, "u").select("u", F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part"), "v", F.col("v").alias("id"))
     centres = parts.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("v"), F.col("u").alias("id"))
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    rows = members.unionByName(centres).join(texts, "id").select("u", "part", "v", "text")
+    wanted = members.unionByName(centres)
+    rows = (wanted.hint("merge") if many else wanted).join(texts, "id").select("u", "part", "v", "text")
     return rows.repartition("u", "part").sortWithinPartitions("u", "part", F.asc_nulls_first("v")).mapInArrow(_confirm, "u long, v long")
 
 
@@ -271,7 +274,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same_id = nodes.join(sets, "digest").groupBy(F.col("doc_id").alias("u")).agg(F.min("id").alias("v"), F.max("id").alias("w")).where("v <> w")
     sketched = nodes.dropDuplicates(["doc_id", "digest"])
     known = materialize(_allowed(_first_stars(members), sketched), "pairs")
-    links = materialize(confirm_links(known, docs).unionAll(same_id.select(F.col("v").alias("u"), F.col("w").alias("v"))), "links")
+    links = materialize(confirm_links(known, docs, many=True).unionAll(same_id.select(F.col("v").alias("u"), F.col("w").alias("v"))), "links")
     components = connected_components(links)
     either = known.unionAll(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
     more = materialize(_further_stars(members, components, sketched, docs).join(either, ["u", "v"], "left_anti"), "pairs")
