@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm._shared import new_path
+from corpusloom.llm.best_fit import pack_best_fit
 from corpusloom.llm.bpe import encoding_digests
 from corpusloom.llm.chat import format_turns, read_back
+from corpusloom.llm.clusters import cluster_vectors
 from corpusloom.llm.media import read_media, store_payloads
+from corpusloom.llm.merkle import manifest_digests
 from corpusloom.llm.neardup import near_duplicates
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.quality import classify_quality
@@ -84,6 +87,18 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, added=True)
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_minhash_neardup, op2_quality_classifier, op3_byte_level_bpe, op4_progressive_jpeg, op5_token_files, op6_suffix_array_dedup, op7_chat_formatting, op8_exact_top_k, op9_packing, op10_secret_scans)
+    found = (op1_minhash_neardup, op2_quality_classifier, op3_byte_level_bpe, op4_progressive_jpeg, op5_token_files, op6_suffix_array_dedup, op7_chat_formatting, op8_exact_top_k, op9_packing, op10_secret_scans, op11_merkle_manifest, op12_centroid_clustering, op13_best_fit_packing)
     return {f.__name__: f for f in found}
