@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from corpusloom.functions import unicode_classes as U
 
 
+def named(column: str) -> str:
+    """A reference to a column, whatever characters its name holds."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -22,7 +27,7 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
     Plain projections are written into each other where they meet, so an expression
     that later ones use often is evaluated as often; a generated row is not.
     """
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    kept = [F.col(named(c)) for c in df.columns if c not in columns]
     return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators.index import hash_bucket, prefix_sum
 from corpusloom.operators.profile import char_frequency
 from corpusloom.policy import Policy
-from corpusloom.sources.shared import materialize
+from corpusloom.sources.shared import bounded_batches, materialize
 
 # The special tokens, in the order of their ids.
 SPECIALS = ("<pad>", "<bos>", "<eos>", "<unk>")
@@ -61,15 +63,23 @@ def encode(df: DataFrame, vocab: DataFrame, text: str = "formatted", out: str =
     for r in rows:
         table[ord(r.token)] = r.id
     shared = df.sparkSession.sparkContext.broadcast(table)
-    head, tail = [BOS] * bos, [EOS] * eos
+    bounded_batches(df.sparkSession)
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            codes = (np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), "<u4") for t in batch)
-            yield pd.Series([np.concatenate((head, shared.value[c], tail)).astype(np.int32) for c in codes])
+            texts = pc.fill_null(batch, "")
+            codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4")
+            ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False) + (bos + eos), dtype=np.int64)
+            at = np.concatenate(([0], ends))
+            out, inner = np.empty(at[-1], np.int32), np.ones(at[-1], bool)
+            for some, place, special in ((bos, at[:-1], BOS), (eos, at[1:] - 1, EOS)):
+                if some:
+                    out[place], inner[place] = special, False
+            out[inner] = shared.value[codes]
+            yield pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(out))
 
-    return df.withColumn(out, ids(F.col(text)))
+    return df.withColumn(out, ids(F.col(text).cast("string")))
 
 
 def encode_by_join(df: DataFrame, vocab: DataFrame, key: str = "id", text: str = "formatted") -> DataFrame:
@@ -94,34 +104,54 @@ def decode(encoded: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: st
     return encoded.crossJoin(F.broadcast(ordered)).withColumn(out, text).drop("__vocab")  # one row
 
 
-def token_offsets(encoded: DataFrame, key: str = "id", seed: int = 42) -> DataFrame:
-    """``encoded`` with tok_start: where each record begins in its split's stream, in seeded order.
+def token_offsets(records: DataFrame, key: str = "id", seed: int = 42, size: Column | None = None, among: str = "tokens") -> DataFrame:
+    """``records`` with tok_start: where each record begins in its split's stream, in seeded order.
 
-    Keys and sizes are numbered; the tokens meet their place by a join. ``encoded``
-    is written first, as both need it. Records of one split and key are numbered as
-    one and follow each other by tokens.
+    Keys and sizes are numbered; records meet their place by a join. ``size`` says how
+    many ids a record has, by default those in ``tokens``. A table of tokens is written
+    first, as both sides need it; given a ``size``, records are read as they are, and
+    may be encoded after they were placed. Records of one split and key are numbered
+    as one and follow each other by ``among``.
     """
-    encoded = materialize(encoded, "encoded")
+    if size is None:
+        records, size = materialize(records, "encoded"), F.size("tokens")
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"), 256)
-    sizes = encoded.groupBy("split", key).agg(F.sum(F.size("tokens")).alias("__size"), F.count("*").alias("__k"))
+    sizes = records.groupBy("split", key).agg(F.sum(size).alias("__size"), F.count("*").alias("__k"))
     sizes = materialize(T.bind(sizes, __order=order), "sizes")
     placed = prefix_sum(sizes, ["__order", key], F.col("__size"), "__first", by=["split"], bucket=hash_bucket(F.col("__order"), sizes.count()))
-    met = encoded.join(placed.select("split", key, "__first", "__k"), ["split", key])
+    met = records.join(placed.select("split", key, "__first", "__k"), ["split", key])
+    columns = [*map(T.named, records.columns), "tok_start"]
+    single = met.withColumn("tok_start", F.col("__first")).where("__k = 1").select(*columns)
+    if not sizes.where("__k > 1").head(1):
+        return single
     # Only keys that repeat are ordered among themselves.
-    again = Window.partitionBy("split", key).orderBy("tokens").rowsBetween(Window.unboundedPreceding, -1)
-    single = met.where("__k = 1").withColumn("tok_start", F.col("__first"))
-    several = met.where("__k > 1").withColumn("tok_start", F.col("__first") + F.coalesce(F.sum(F.size("tokens")).over(again), F.lit(0)))
-    return single.unionByName(several).select(*encoded.columns, "tok_start")
+    again = Window.partitionBy("split", key).orderBy(among).rowsBetween(Window.unboundedPreceding, -1)
+    several = met.where("__k > 1").withColumn("tok_start", F.col("__first") + F.coalesce(F.sum(size).over(again), F.lit(0)))
+    return single.unionByName(several.select(*columns))
 
 
-def _characters_of(vocab: DataFrame) -> DataFrame:
-    return vocab.where(F.col("id") >= len(SPECIALS)).agg(F.collect_set("token").alias("__known"))
+def known_characters(vocab: DataFrame) -> np.ndarray:
+    """A bit for each code point: at most all of Unicode, 139 kB."""
+    known = np.zeros(0x110000, bool)
+    known[[ord(r.token) for r in vocab.where(F.col("id") >= len(SPECIALS)).select("token").collect()]] = True
+    return np.packbits(known)
 
 
 def unknown_characters(df: DataFrame, vocab: DataFrame, text: Column, out: str = "unsupported") -> DataFrame:
-    """``df`` with the sorted distinct characters of ``text`` that the vocabulary lacks."""
-    found = F.array_sort(F.array_except(F.array_distinct(T.characters(text)), F.col("__known")))
-    return df.crossJoin(F.broadcast(_characters_of(vocab))).withColumn(out, found).drop("__known")  # one row
+    """``df`` with the sorted distinct characters of ``text`` that the vocabulary lacks; a null text has a null list.
+
+    Every character looks up its bit, so the time does not depend on the vocabulary.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(known_characters(vocab))
+
+    @F.pandas_udf("array<string>")
+    def missing(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            codes = (None if t is None else np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in batch)
+            yield pd.Series([None if c is None else [chr(x) for x in np.unique(c[~known[c]])] for c in codes], dtype=object)
+
+    return df.withColumn(out, missing(text))
 
 
 def oov_report(df: DataFrame, vocab: DataFrame, text: str = "text") -> DataFrame:

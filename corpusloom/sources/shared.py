@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 8 << 20
+
 _local: dict[str, str] = {}
 
 
@@ -42,3 +44,14 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     path = new_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end at 8 MB too, so that long rows don't fill a Python worker.
+
+    Results are lazy, so the setting stays on the session; a smaller one is kept.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))

@@ -14,11 +14,17 @@ def read_text_blocks(spark: SparkSession, path: str, line_sep: str = "\n\n") ->
     """file_path, block_start, pos, block, block_number of blocks that hold more than white space.
 
     Blocks are numbered from 1 in the order of file, split and position. Spark cuts
-    the files at ``line_sep``; a file's last line break stays on its last block. The
-    splits are few and are ranked first, so numbering needs no global sort.
+    the files at ``line_sep``; a file's last line break stays on its last block. A
+    task reads a split in order and counts its blocks as they come, so all that is
+    summed are the splits' counts, a few numbers each, and no block is sorted or moved.
     """
-    rows = _pieces(spark, path, line_sep).withColumnRenamed("value", "block").where(~T.is_blank(F.col("block")))
-    return global_index(_in_splits(rows), ["__split", "pos"], "block_number", bucket=F.col("__split")).drop("__split")
+    rows = _pieces(spark, path, line_sep).where(~T.is_blank(F.col("value"))).withColumnRenamed("value", "block").withColumn("pos", F.monotonically_increasing_id())
+    rows = rows.withColumn("__split", F.xxhash64("file_path", "block_start"))
+    splits = rows.groupBy("__split", "file_path", "block_start").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("file_path", "block_start").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    starts = splits.select("__split", (before + 1 - F.col("first")).alias("__start"))
+    placed = rows.join(F.broadcast(starts), "__split")  # two numbers for each split of the files
+    return placed.select("file_path", "block_start", "pos", "block", (F.col("pos") + F.col("__start")).alias("block_number"))
 
 
 def _pieces(spark: SparkSession, path: str, line_sep: str | None = None) -> DataFrame:
