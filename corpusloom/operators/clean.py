@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.policy import Policy
+from corpusloom.policy import Policies, Policy, by_kind
 
 
 def hard_reasons(policy: Policy, title: Column, category: Column, author: Column, text: Column) -> Column:
@@ -74,13 +74,16 @@ def review_reasons(policy: Policy, title: Column, text: Column, shape: Column) -
     return T.reasons(rules)
 
 
-def route_by_quality(df: DataFrame, policy: Policy, title: str = "title", category: str = "dynasty", author: str = "author", text: str = "text") -> DataFrame:
+def route_by_quality(df: DataFrame, policy: Policies, title: str = "title", category: str = "dynasty", author: str = "author", text: str = "text", kind: str | None = None) -> DataFrame:
     """``df`` with status, reasons (hard before review), hard and review; records unchanged.
 
-    Nulls in the four fields count as empty. Statuses partition the input.
+    Nulls in the four fields count as empty. Statuses partition the input. With
+    several policies, ``kind`` is the column that names each record's.
     """
     t, c, a, b = (F.coalesce(F.col(x), F.lit("")) for x in (title, category, author, text))
-    marked = T.bind(T.bind(df, __shape=clause_shape(policy, b)), hard=hard_reasons(policy, t, c, a, b), review=review_reasons(policy, t, b, F.col("__shape"))).drop("__shape")
+    each = lambda body: by_kind(policy, F.col(kind) if kind else None, body)
+    shaped = T.bind(df, __shape=each(lambda p: clause_shape(p, b)))
+    marked = T.bind(shaped, hard=each(lambda p: hard_reasons(p, t, c, a, b)), review=each(lambda p: review_reasons(p, t, b, F.col("__shape")))).drop("__shape")
     status = F.when(F.size("hard") > 0, "quarantine").when(F.size("review") > 0, "review").otherwise("clean")
     return marked.withColumn("status", status).withColumn("reasons", F.concat("hard", "review"))
 

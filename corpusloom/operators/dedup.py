@@ -34,7 +34,7 @@ def duplicate_audit(df: DataFrame, key: str, order: str = "source_block", compar
     kept = kept.select(key, F.col(id_col).alias("kept_id"), F.col(order).alias("kept_source_block"), *(F.col(c).alias(f"__kept_{c}") for c in compare))
     pairs = df.join(kept, key).where(F.col(order) > F.col("kept_source_block"))
     conflicts = T.reasons((c, ~F.col(c).eqNullSafe(F.col(f"__kept_{c}"))) for c in compare)
-    record = F.struct(*(c for c in df.columns if c != key))
+    record = F.struct(*(T.named(c) for c in df.columns if c != key))
     return pairs.select(F.col(key).alias("fingerprint"), "kept_id", "kept_source_block", F.col(id_col).alias("removed_id"), F.col(order).alias("removed_source_block"), conflicts.alias("metadata_conflicts"), record.alias("removed_record"))
 
 

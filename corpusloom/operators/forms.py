@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import unicode_classes as U
-from corpusloom.policy import Policy
+from corpusloom.policy import Policies, Policy, by_kind
 
 
 def form_pattern(clauses: int, width: int, policy: Policy) -> str:
@@ -14,9 +14,10 @@ def form_pattern(clauses: int, width: int, policy: Policy) -> str:
     return rf"\A(?:{half}{policy.form_comma}{half}[{policy.form_stops}]){{{clauses // 2}}}\z"
 
 
-def label_form(text: Column, policy: Policy) -> Column:
-    """The form's name, or null for anything else."""
-    return F.coalesce(*(F.when(text.rlike(form_pattern(n, w, policy)), F.lit(name)) for n, w, name in policy.forms))
+def label_form(text: Column, policy: Policies, kind: Column | None = None) -> Column:
+    """The form's name, or null for anything else, as under a policy without forms."""
+    none = F.lit(None).cast("string")
+    return by_kind(policy, kind, lambda p: F.coalesce(*(F.when(text.rlike(form_pattern(n, w, p)), F.lit(name)) for n, w, name in p.forms), none))
 
 
 def keep_labelled(df: DataFrame, policy: Policy, text: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 from corpusloom.functions import text as T
 from corpusloom.functions import unicode_classes as U
-from corpusloom.policy import Policy
+from corpusloom.policy import Policies, Policy, by_kind
 
 BOM, NUL = "﻿", "\x00"
 
@@ -39,12 +39,13 @@ def _stripped_lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), lambda line: T.let(T.strip(line), lambda bare: F.when(bare == "", line).otherwise(bare)))
 
 
-def normalize_text(text: Column, policy: Policy) -> Column:
+def normalize_text(text: Column, policy: Policies, kind: Column | None = None) -> Column:
     """Line feeds, NFC, no BOM or NUL, mapped punctuation, stripped lines, at most one empty line, stripped ends.
 
     Lines of white space only stay as they are: they are empty fields, not separators.
     """
-    lines = F.array_join(_stripped_lines(_mapped(nfc(line_feeds(text)), policy)), "\n")
+    composed = nfc(line_feeds(text))
+    lines = F.array_join(_stripped_lines(by_kind(policy, kind, lambda p: _mapped(composed, p))), "\n")
     return T.strip(F.regexp_replace(lines, "\n{3,}", "\n\n"))
 
 
@@ -84,6 +85,6 @@ def normalization_stats(df: DataFrame, policy: Policy, text: str = "text") -> Da
 
 def separated_blocks(df: DataFrame, text: str = "text") -> DataFrame:
     """One row for each block of a normalised text, in order: deleting a BOM line can make a new separator."""
-    rest = [c for c in df.columns if c != text]
+    rest = [F.col(T.named(c)) for c in df.columns if c != text]
     parts = df.select(*rest, F.posexplode(F.split(text, "\n{2,}", -1)).alias("part", "block"))
     return parts.where(~T.is_blank(F.col("block")))

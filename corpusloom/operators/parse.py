@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.policy import Policy
+from corpusloom.policy import Policies, by_kind
 
 
-def parse_blocks(blocks: DataFrame, policy: Policy, block: str = "block", number: str = "block_number") -> DataFrame:
+def parse_blocks(blocks: DataFrame, policy: Policies, block: str = "block", number: str = "block_number", kind: str | None = None) -> DataFrame:
     """One row for each block with ``status`` accepted or rejected; see ``accepted`` and ``rejected``.
 
     A block has title, category with a closing bracket, author and text on four
-    physical lines. One trailing bracket goes; category and author may be empty.
+    physical lines. One trailing bracket goes; category and author may be empty. With
+    several policies, ``kind`` is the column that names each block's and passes.
     """
-    split = T.bind(blocks.select(F.col(number).cast("long").alias("source_block"), F.col(block).alias("__block")), raw_lines=T.physical_lines(F.col("__block"))).drop("__block")
+    split = T.bind(blocks.select(F.col(number).cast("long").alias("source_block"), F.col(block).alias("__block"), *[kind] * bool(kind)), raw_lines=T.physical_lines(F.col("__block"))).drop("__block")
     four = F.size("raw_lines") == 4
     field = lambda i: F.when(four, T.strip(F.get("raw_lines", F.lit(i))))
     fields = T.bind(split, title=field(0), marked=field(1), author=field(2), text=field(3))
@@ -24,7 +25,7 @@ def parse_blocks(blocks: DataFrame, policy: Policy, block: str = "block", number
     category = T.strip(F.when(bracketed, F.expr("left(marked, length(marked) - 1)")).otherwise(F.col("marked")))
     out = T.bind(fields, reason=reason, category=category).withColumn("unbracketed", ~bracketed)
     out = out.withColumn("status", F.when(F.col("reason") == "", "accepted").otherwise("rejected"))
-    return out.withColumn("id", F.format_string(policy.id_format, "source_block")).withColumn("physical_line_count", F.size("raw_lines").cast("long"))
+    return out.withColumn("id", by_kind(policy, F.col(kind) if kind else None, lambda p: F.format_string(p.id_format, "source_block"))).withColumn("physical_line_count", F.size("raw_lines").cast("long"))
 
 
 def accepted_columns() -> list[Column | str]:

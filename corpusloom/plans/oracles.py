@@ -196,17 +196,17 @@ STATS_STEPS = (
 RAW = view_sql("v_raw")
 
 
-def normal_blocks() -> str:
+def normal_blocks(source: str = "v_blocks", keep: str = "block_number") -> str:
     """Tables parts (block_number, block) of normalised v_blocks."""
     steps = f"replace(replace(translate(nfc_normalize(regexp_replace(block, '\\r\\n?', chr(10), 'g')), {q(''.join(LATIN_SCRIPT.punctuation))}, {q(''.join(LATIN_SCRIPT.punctuation.values()))}), chr(65279), ''), chr(0), '')"
     stripped = f"array_to_string(list_transform(string_split({steps}, chr(10)), lambda z: case when {BLANK('z')} then z else {strip('z')} end), chr(10))"
-    return f"parts as (select block_number, block from (select block_number, unnest(string_split_regex({strip(f'''regexp_replace({stripped}, '\\n{{3,}}', chr(10) || chr(10), 'g')''')}, '\\n{{2,}}')) block from v_blocks) where {like('block', U.NOT_WS)})"
+    return f"parts as (select {keep}, block from (select {keep}, unnest(string_split_regex({strip(f'''regexp_replace({stripped}, '\\n{{3,}}', chr(10) || chr(10), 'g')''')}, '\\n{{2,}}')) block from {source}) where {like('block', U.NOT_WS)})"
 
 
 def parsed(source: str) -> str:
     """A table parsed with status and fields."""
     return (
-        f"cut as (select block_number source_block, {lines('block')} raw from {source}), "
+        f"cut as (select * exclude (block, block_number), block_number source_block, {lines('block')} raw from {source}), "
         f"cut2 as (select *, list_transform(raw, lambda z: {strip('z')}) l, len(raw) n from cut), "
         "fields as (select *, case when n = 4 then l[1] end title, case when n = 4 then l[2] end marked, case when n = 4 then l[3] end author, case when n = 4 then l[4] end text from cut2), "
         f"parsed as (select *, 'poem-' || lpad(cast(source_block as varchar), 7, '0') id, {strip(sub('marked', chr(92) + ']' + chr(92) + 'z', every=False))} dynasty, "
@@ -332,6 +332,35 @@ def shards_sql() -> str:
     )
 
 
+def prepared_sql() -> str:
+    """Both kinds of blocks parsed and deduplicated together, routed by the rules of their own, poems labelled."""
+    fields = "id, title, dynasty, author, text, source_block, kind"
+    classical = routed(CLASSICAL, "classical").replace("shaped", "shaped_classical").replace("routed as", "routed_classical as")
+    whens = " ".join(f"when {like('text', form_pattern(n, w, CLASSICAL))} then {q(name)}" for n, w, name in CLASSICAL.forms)
+    return with_(
+        view_sql("v_corpus"), normal_blocks("v_corpus", "block_number, kind"), parsed("parts"), f"recs as (select {fields} from parsed where reason = '')",
+        f"uniq as (select *, {FINGERPRINT} fingerprint from recs qualify row_number() over (partition by fingerprint order by source_block) = 1)",
+        "latin as (select * from uniq where kind = 'latin')", "classical as (select * from uniq where kind = 'classical')", routed(LATIN_SCRIPT, "latin"), classical,
+        f"ok as (select {fields} from routed where status = 'clean' union all select {fields} from routed_classical where status = 'clean')",
+        f"named as (select *, case {whens} end form from ok where kind = 'classical')",
+    ) + funnel([("parse", "parts", "recs"), ("dedup", "recs", "uniq"), ("route", "uniq", "ok"), ("split", "ok", "ok"), ("label", "ok", "named where form is not null")])
+
+
+def verdict_sql() -> str:
+    """Counts of the splits as made and of the broken ones."""
+    rows = []
+    for name, table in (("made", "splits"), ("broken", "broken")):
+        shared = {k: " + ".join(f"(select count(*) from (select {k} from {table} where split = '{a}' intersect select {k} from {table} where split = '{b}'))" for a, b in (("train", "validation"), ("train", "test"), ("validation", "test"))) for k in ("id", "body_fingerprint", "source_block")}
+        b = f"(select id, min(title || chr(1) || text) x from {table} group by 1)"
+        counts = {f"shared_{k}": v for k, v in shared.items()} | {
+            "missing": f"(select count(*) from s where id not in (select id from {table}))", "extra": f"(select count(*) from {b} where id not in (select id from s))",
+            "changed": f"(select count(*) from s join {b} b using (id) where s.x <> b.x)", "repeated": f"(select coalesce(cast(sum(n - 1) as bigint), 0) from (select count(*) n from {table} group by split, id))",
+        }
+        columns = ", ".join(f"cast({v} as bigint) {k}" for k, v in counts.items())
+        rows.append(f"select '{name}' splits, case when {' + '.join(counts)} = 0 then 'PASS' else 'FAIL' end verdict, * from (select {columns})")
+    return with_(R, broken(), "s as (select id, title || chr(1) || text x from v_records)") + " union all ".join(rows)
+
+
 def oracle_sql() -> dict[str, str]:
     labelled = with_(P, label())
     dirty_routes = with_(D, routed(LATIN_SCRIPT, "v_dirty"))
@@ -387,13 +416,14 @@ def oracle_sql() -> dict[str, str]:
         "split_overlaps": overlaps(),
         "split_accounting": with_(R, broken(), "b as (select id, min(title || chr(1) || text) x from broken group by 1), s as (select id, title || chr(1) || text x from v_records)")
         + "select (select count(*) from s where id not in (select id from b)) missing, (select count(*) from b where id not in (select id from s)) extra, (select count(*) from s join b using (id) where s.x <> b.x) changed, (select cast(sum(n - 1) as bigint) from (select count(*) n from broken group by split, id)) repeated",
+        "split_verdict": verdict_sql(),
         "sample_per_group": with_(R, splits())
         + f"select id, split, cast(length(text) as bigint) body_length from splits qualify row_number() over (partition by split order by sha256('{SEED}:' || id), id) <= case split {' '.join(f'when {q(k)} then {n}' for k, n in SAMPLE_SIZES.items())} end",
         "label_form": labelled + "select id, form from labelled",
         "keep_labelled": labelled + "select id, text, form from labelled where form is not null",
         "form_counts": labelled + "select coalesce(split, '<ALL>') split, coalesce(form, '<ALL>') form, count(*) n from labelled where form is not null group by rollup (split, form)",
         "verify_form": labelled + "select wanted, count(*) texts, count(*) filter (form = wanted) passed from labelled group by 1",
-        "format_record": labelled + f"select id, {formatted(CLASSICAL, 'form')} formatted from labelled",
+        "format_record": with_(view_sql("v_formed")) + f"select id, {formatted(CLASSICAL, 'form')} formatted from v_formed",
         "build_vocab": with_(R, encoded()) + "select token, cast(id as bigint) id, cast(count as bigint) as count from vocab",
         "vocab_summary": with_(R, encoded())
         + f"select (select count(*) from splits where split = 'train') records, {total('case when id > 3 then count end')} as characters, count(*) filter (id > 3) regular, count(*) filter (id <= 3) special, count(*) size, count(*) filter (id > 3 and count = 1) seen_once from vocab",
@@ -407,8 +437,5 @@ def oracle_sql() -> dict[str, str]:
         + f"select id, array_to_string(u, ',') unsupported, len(u) = 0 accepted from (select id, list_sort(list_filter(list_distinct({characters('text')}), lambda z: not list_contains(k, z))) u from v_dirty, known)",
         "screen_prompts": screen_sql(),
         "stage_funnel": dirty_routes + funnel([(s, "routed", f"routed where status = '{s}'") for s in ("clean", "review", "quarantine")]),
-        "prepare_corpus": with_(
-            B, normal_blocks(), parsed("parts"), "recs as (select id, title, dynasty, author, text, source_block from parsed where reason = '')",
-            f"uniq as (select *, {FINGERPRINT} fingerprint from recs qualify row_number() over (partition by fingerprint order by source_block) = 1)", routed(LATIN_SCRIPT, "uniq"), "ok as (select * from routed where status = 'clean')",
-        ) + funnel([("parse", "parts", "recs"), ("dedup", "recs", "uniq"), ("route", "uniq", "ok"), ("split", "ok", "ok"), ("label", "ok", "ok where false")]),
+        "prepare_corpus": prepared_sql(),
     }

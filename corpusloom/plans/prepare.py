@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import clean, dedup, forms, parse, split
 from corpusloom.operators.normalize import normalize_text, separated_blocks
-from corpusloom.policy import Policy
+from corpusloom.policy import Policies
 from corpusloom.sources.shared import materialize
 
 
@@ -27,29 +27,33 @@ class Prepared:
     labelled: DataFrame
 
 
-def prepare_corpus(blocks: DataFrame, policy: Policy, seed: int = 42) -> Prepared:
+def prepare_corpus(blocks: DataFrame, policy: Policies, seed: int = 42, kind: str | None = None) -> Prepared:
     """``blocks`` holds block_number and block, in the order of block_number.
 
     A block that falls apart in normalisation keeps its number for its first part
     only; parts after it have no place of their own in the numbering and are numbered
     after all others by (block_number, part).
 
+    With several policies, the column ``kind`` of ``blocks`` names each block's; its
+    rules parse, route and label what comes of the block, all kinds in one pass.
+
     Two passes read and write texts: blocks become parsed records with fingerprints,
     and the first of each fingerprint become routed records with their form. What
     lies between compares keys only.
     """
-    normal = separated_blocks(blocks.select("block_number", normalize_text(F.col("block"), policy).alias("block")), "block")
+    named, of = [kind] * bool(kind), F.col(kind) if kind else None
+    normal = separated_blocks(blocks.select("block_number", *named, normalize_text(F.col("block"), policy, of).alias("block")), "block")
     title, text = F.col("title"), F.col("text")
-    parsed = T.bind(parse.parse_blocks(normal, policy), fingerprint=dedup.fingerprint(title, text), body_fingerprint=dedup.body_fingerprint(text))
+    parsed = T.bind(parse.parse_blocks(normal, policy, kind=kind), fingerprint=dedup.fingerprint(title, text), body_fingerprint=dedup.body_fingerprint(text))
     parsed = materialize(parsed, "parsed")
     records = parse.accepted(parsed)
-    keyed = parsed.where("status = 'accepted'").select(*parse.accepted_columns(), "fingerprint", "body_fingerprint")
+    keyed = parsed.where("status = 'accepted'").select(*parse.accepted_columns(), "fingerprint", "body_fingerprint", *named)
     unique = dedup.dedup_keep_first(keyed, "fingerprint").drop("fingerprint")
-    form = forms.label_form(text, policy) if policy.forms else F.lit(None).cast("string")
-    marked = materialize(T.bind(clean.route_by_quality(unique, policy), form=form), "routed")
+    routed = clean.route_by_quality(unique, policy, kind=kind)
+    marked = materialize(T.bind(routed, form=forms.label_form(text, policy, of)).drop(*named), "routed")
     clean_ones = marked.where("status = 'clean'")
     splits = split.group_split(clean_ones.select(*records.columns, "body_fingerprint", "form"), "body_fingerprint", seed=seed)
-    return Prepared(parsed, records, unique.drop("body_fingerprint"), marked.drop("body_fingerprint", "form"), clean_ones.select(records.columns), splits.drop("form"), splits)
+    return Prepared(parsed, records, unique.drop("body_fingerprint", *named), marked.drop("body_fingerprint", "form"), clean_ones.select(records.columns), splits.drop("form"), splits)
 
 
 def stage_funnel(stages: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:

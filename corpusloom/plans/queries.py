@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import clean, dedup, forms, index, normalize, parse, profile, split, tokens, validate, windows
@@ -13,7 +13,7 @@ from corpusloom.plans.views import view
 from corpusloom.policy import CLASSICAL, LATIN_SCRIPT
 from corpusloom.sources import records as record_files
 from corpusloom.sources import text as text_files
-from corpusloom.sources.shared import new_path
+from corpusloom.sources.shared import materialize, new_path
 from corpusloom.sources.tables import read_spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,7 +60,8 @@ def _mixed(records: DataFrame) -> DataFrame:
 
 
 def _split(records: DataFrame) -> DataFrame:
-    return split.group_split(split.with_keys(records), "body_fingerprint")
+    """Records with their fingerprints, written once, and their splits."""
+    return split.group_split(materialize(split.with_keys(records), "keyed"), "body_fingerprint")
 
 
 def _broken(records: DataFrame) -> DataFrame:
@@ -71,6 +72,12 @@ def _broken(records: DataFrame) -> DataFrame:
     return changed.where("source_block % 90 <> 0").unionByName(again)
 
 
+def _verdicts(records: DataFrame) -> DataFrame:
+    """Of the splits as they are made, and with the planted faults."""
+    good, bad = split.split_verdict(records, _split(records)), split.split_verdict(records, _broken(records))
+    return good.withColumn("splits", F.lit("made")).unionByName(bad.withColumn("splits", F.lit("broken")))
+
+
 def _formatted(records: DataFrame) -> DataFrame:
     return _split(records).withColumn("formatted", tokens.format_record(LATIN_SCRIPT, F.lit(""), F.col("dynasty"), F.col("author"), F.col("title"), F.col("text")))
 
@@ -79,13 +86,36 @@ def _vocab(formatted: DataFrame) -> DataFrame:
     return tokens.build_vocab(formatted.where("split = 'train'"))
 
 
+def _vocab_summary(records: DataFrame) -> DataFrame:
+    formatted = _formatted(records)
+    return tokens.vocab_summary(formatted.where("split = 'train'"), _vocab(formatted))
+
+
 def _encoded(records: DataFrame) -> DataFrame:
     formatted = _formatted(records)
     return tokens.encode(formatted, _vocab(formatted))
 
 
 def _offsets(records: DataFrame) -> DataFrame:
-    return tokens.token_offsets(_encoded(records).select("id", "split", "tokens"))
+    formatted = _formatted(records).select("id", "split", "formatted")
+    return _placed(formatted, _vocab(formatted))
+
+
+def _size() -> Column:
+    """Ids of a formatted record: its characters and the two specials around them."""
+    return F.length("formatted") + 2
+
+
+def _placed(formatted: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Records placed in their streams by their lengths and then encoded, so that no ids are written."""
+    placed = tokens.token_offsets(formatted, size=_size(), among="formatted")
+    return tokens.encode(placed, vocab).drop("formatted")
+
+
+def _sampled(records: DataFrame) -> DataFrame:
+    formatted = _formatted(records).select("id", "split", "formatted")
+    lengths = {r.split: r.n for r in formatted.groupBy("split").agg(F.sum(_size()).alias("n")).collect()}
+    return windows.sample_windows(_placed(formatted, _vocab(formatted)), SAMPLES, BLOCK, tokens=lengths)
 
 
 def _decoded(records: DataFrame) -> DataFrame:
@@ -117,6 +147,11 @@ def _content(records: DataFrame, policy) -> DataFrame:
     return records.select("id", validate.content_reasons(policy, *(F.col(c) for c in ("title", "dynasty", "author", "text"))).alias("reasons"))
 
 
+def _key_flags(lines: DataFrame) -> DataFrame:
+    keys = materialize(validate.validate_structure(lines).select("line_number", "id", "source_block"), "keys")
+    return validate.duplicate_key_flags(keys, LATIN_SCRIPT).select("line_number", "key_reasons")
+
+
 def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     vocab = tokens.build_vocab(docs.select(F.concat("text", F.lit("体裁五言绝句朝代作者题目正文：\n自由诗")).alias("formatted")))
@@ -131,8 +166,9 @@ def _unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = view(_docs(spark, sf_dir), "v_blocks")
-    return _tidy(prepare.funnel(prepare.prepare_corpus(blocks, LATIN_SCRIPT)))
+    """Latin and classical blocks in one job, each by its own rules."""
+    blocks = view(_docs(spark, sf_dir), "v_corpus")
+    return _tidy(prepare.funnel(prepare.prepare_corpus(blocks, {"latin": LATIN_SCRIPT, "classical": CLASSICAL}, kind="kind")))
 
 
 def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,10 +222,9 @@ def _written_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    formatted = _formatted(view(_docs(spark, sf_dir), "v_records"))
-    vocab = _vocab(formatted)
-    placed = tokens.token_offsets(tokens.encode(formatted, vocab).select("id", "split", "tokens"))
-    return _tidy(record_files.write_token_shards(placed, new_path(spark, "shards"), vocab.count(), SHARD_TOKENS))
+    formatted = _formatted(view(_docs(spark, sf_dir), "v_records")).select("id", "split", "formatted")
+    vocab = materialize(_vocab(formatted), "vocab")
+    return _tidy(record_files.write_token_shards(_placed(formatted, vocab), new_path(spark, "shards"), vocab.count(), SHARD_TOKENS))
 
 
 def _kept_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +266,7 @@ def queries() -> dict[str, Query]:
         "parse_rejected": _over("v_blocks", lambda v: parse.rejected(parse.parse_blocks(v, LATIN_SCRIPT))),
         "parse_summary": _over("v_blocks", lambda v: parse.parse_summary(parse.parse_blocks(v, LATIN_SCRIPT))),
         "validate_structure": _over("v_jsonl", lambda v: validate.validate_structure(v).select("line_number", "reasons", "error", "raw_excerpt")),
-        "duplicate_key_flags": _over("v_jsonl", lambda v: validate.duplicate_key_flags(validate.validate_structure(v), LATIN_SCRIPT).select("line_number", "key_reasons")),
+        "duplicate_key_flags": _over("v_jsonl", _key_flags),
         "content_reasons": _over("v_dirty", lambda v: _content(v, LATIN_SCRIPT)),
         "content_reasons_classical": _over("v_latin_mix", lambda v: _content(v, CLASSICAL)),
         "suspicious_records": _over("v_jsonl", lambda v: validate.suspicious_records(validate.validate(v, LATIN_SCRIPT)).select("line_number", "reasons", "id", "dynasty")),
@@ -250,20 +285,21 @@ def queries() -> dict[str, Query]:
         "split_summary": _over("v_records", lambda v: split.split_summary(_split(v), "body_fingerprint")),
         "split_overlaps": _over("v_records", lambda v: split.split_overlaps(_broken(v))),
         "split_accounting": _over("v_records", lambda v: split.split_accounting(v, _broken(v))),
+        "split_verdict": _over("v_records", _verdicts),
         "sample_per_group": _over("v_records", lambda v: split.sample_per_group(_split(v), "split", SAMPLE_SIZES).select("id", "split", F.length("text").alias("body_length"))),
         "label_form": _over("v_poems", lambda v: _labelled(v).select("id", "form")),
         "keep_labelled": _over("v_poems", lambda v: forms.keep_labelled(v, CLASSICAL).select("id", "text", "form")),
         "form_counts": _over("v_poems", lambda v: forms.form_counts(forms.keep_labelled(v, CLASSICAL))),
         "verify_form": _over("v_poems", lambda v: forms.verify_form(v, CLASSICAL, form="wanted")),
-        "format_record": _over("v_poems", lambda v: _labelled(v).select("id", tokens.format_record(CLASSICAL, F.col("form"), F.col("dynasty"), F.col("author"), F.col("title"), F.col("text")).alias("formatted"))),
+        "format_record": _over("v_formed", lambda v: v.select("id", tokens.format_record(CLASSICAL, F.col("form"), F.col("dynasty"), F.col("author"), F.col("title"), F.col("text")).alias("formatted"))),
         "build_vocab": _over("v_records", lambda v: _vocab(_formatted(v))),
-        "vocab_summary": _over("v_records", lambda v: tokens.vocab_summary(_formatted(v).where("split = 'train'"), _vocab(_formatted(v)))),
+        "vocab_summary": _over("v_records", _vocab_summary),
         "encode": _over("v_records", lambda v: _digest(_encoded(v).select("id", F.size("tokens").alias("n"), "tokens"), "tokens")),
         "token_summary": _over("v_records", lambda v: tokens.token_summary(_encoded(v))),
         "decode": _over("v_records", _decoded),
         "token_offsets": _over("v_records", lambda v: _offsets(v).select("id", "split", F.size("tokens").alias("n"), "tok_start")),
         "next_token_windows": _over("v_records", lambda v: _digest(windows.next_token_windows(_offsets(v), BLOCK, STRIDE), "x", "y")),
-        "sample_windows": _over("v_records", lambda v: _digest(windows.sample_windows(_offsets(v), SAMPLES, BLOCK), "x", "y")),
+        "sample_windows": _over("v_records", lambda v: _digest(_sampled(v), "x", "y")),
         "oov_report": _unknown,
         "screen_prompts": _screened,
         "stage_funnel": _routes,

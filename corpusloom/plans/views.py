@@ -55,6 +55,12 @@ VIEWS: dict[str, dict[str, str]] = {
         f"when doc_id%17=0 then {_PLAIN}||chr(10)||{_TITLE}||chr(10)||lang||']'||chr(10)||source when doc_id%19=0 then {_HEAD}||chr(10)||source||chr(10)||{_BODY} "
         f"when doc_id%23=0 then ' '||chr(10)||lang||']'||chr(10)||source||chr(10)||{_BODY} else {_PLAIN} end",
     },
+    "v_corpus": {
+        "block_number": "doc_id+1",
+        "kind": "case when doc_id%3=0 then 'classical' else 'latin' end",
+        "block": "",
+    },
+    "v_formed": {"id": _ID, "title": _TITLE, "dynasty": "lang", "author": "source", "text": "text", "form": "case doc_id%5 when 0 then '五言绝句' when 1 then '七言律诗' when 2 then '' end"},
     "v_spaced": {"text": "case when doc_id%3=0 then replace(text,' the ',chr(10)||chr(10)) when doc_id%7=0 then replace(text,chr(10),chr(10)||chr(10)||' ') else text end"},
     "v_jsonl": {
         "line_number": "doc_id+1",
@@ -95,8 +101,10 @@ VIEWS: dict[str, dict[str, str]] = {
 }
 
 
+VIEWS["v_corpus"]["block"] = f"case when doc_id%3=0 then '诗'||chr(10)||'唐朝]'||chr(10)||'佚名'||chr(10)||({VIEWS['v_poems']['text']}) else ({VIEWS['v_blocks']['block']}) end"
+
 #: What the columns of a view use often and is computed first.
-FIRST = {"v_poems": {"han": _HAN}}
+FIRST = {"v_poems": {"han": _HAN}, "v_corpus": {"han": _HAN}}
 
 
 def view(documents: DataFrame, name: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Patterns of markup and addresses.
 HTML = r"<[^>\n]{1,200}>"
 URL = r"(?:https?://|www\.)"
@@ -108,3 +112,17 @@ LATIN_SCRIPT = Policy(
     latin_rules=False,
     punctuation=CLASSICAL.punctuation,
 )
+
+#: One policy for all rows, or one for each value of a column.
+Policies = Policy | Mapping[str, Policy]
+
+
+def by_kind(policies: Policies, kind: Column | None, body: Callable[[Policy], Column]) -> Column:
+    """``body`` of the policy that ``kind`` names, so that one pass serves several; a kind without a policy fails the job."""
+    if isinstance(policies, Policy):
+        return body(policies)
+    unknown = F.raise_error(F.concat(F.lit("no policy for "), F.coalesce(kind, F.lit("null"))))
+    chosen = None
+    for name, policy in policies.items():
+        chosen = F.when(kind == name, body(policy)) if chosen is None else chosen.when(kind == name, body(policy))
+    return chosen.otherwise(unknown)
