@@ -89,8 +89,18 @@ def _in_order(table: pa.Table) -> dict[str, list]:
     return table.sort_by("pos").to_pydict()
 
 
+def _block(number: Column) -> Column:
+    """A block's name. One column, so that blocks of one tree are dealt out even where its rows lie together."""
+    return F.concat(number.cast("string"), F.lit(":"), F.col("tree"))
+
+
 def _by_block(nodes: DataFrame):
-    return nodes.withColumn("block", F.shiftright("pos", 3 * LEVELS)).groupBy("tree", "block")
+    return nodes.withColumn("block", _block(F.shiftright("pos", 3 * LEVELS))).groupBy("block")
+
+
+def _by_root(above: DataFrame):
+    """Paths above blocks, each with the name of its block."""
+    return above.withColumn("block", _block(F.col("pos"))).groupBy("block")
 
 
 def _raise(level: int):
@@ -174,7 +184,7 @@ def _paths_above(passes: list[DataFrame], roots: DataFrame) -> list[DataFrame]:
         above[p] = own if below is None else own.unionByName(below)
         if p:
             entries = passes[p - 1].where((F.col("level") == p * LEVELS) & (F.col("n") > 1)).select("tree", "pos", "n", "hash")
-            below = materialize(_by_block(entries).cogroup(above[p].withColumn("block", F.col("pos")).groupBy("tree", "block")).applyInArrow(_descend_keyed, _PATHS), "paths")
+            below = materialize(_by_block(entries).cogroup(_by_root(above[p])).applyInArrow(_descend_keyed, _PATHS), "paths")
     return above
 
 
@@ -235,13 +245,14 @@ def build_manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, tampered: di
         nodes = made if nodes is None else nodes.unionByName(made)
     root = root.withColumnRenamed("hash", "root")
 
-    crown = over.select("tree", "n").limit(1).withColumns({"subroot": F.lit(""), "path": F.array().cast(_PATH)})
-    above = _paths_above(upper, crown)[0].withColumn("block", F.col("pos"))
-    ways = _by_block(over).cogroup(above.groupBy("tree", "block")).applyInArrow(_descend_keyed, _PATHS)
+    n_trees = over.count()
+    crown = docs.sparkSession.createDataFrame([("", n_trees, "", [])] * (n_trees > 0), f"tree string, n long, subroot string, path {_PATH}")
+    above = _paths_above(upper, crown)[0]
+    ways = _by_block(over).cogroup(_by_root(above)).applyInArrow(_descend_keyed, _PATHS)
     roots = tops.select("pos", F.col("tree").alias("name"), "leaves", "hash").join(ways.select("pos", "path"), "pos")
     roots = materialize(roots.select(F.col("name").alias("tree"), F.col("leaves").alias("n"), F.col("hash").alias("subroot"), "path"), "roots")
-    above = _paths_above(passes, roots)[0].withColumn("block", F.col("pos"))
-    proofs = _by_block(placed).cogroup(above.groupBy("tree", "block")).applyInArrow(_prove_keyed, _PROOFS)
+    above = _paths_above(passes, roots)[0]
+    proofs = _by_block(placed).cogroup(_by_root(above)).applyInArrow(_prove_keyed, _PROOFS)
     nodes = nodes if nodes is not None else docs.sparkSession.createDataFrame([], _NODES)
     return Manifest(placed, nodes, root, proofs)
 
