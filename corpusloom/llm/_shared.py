@@ -1,22 +1,7 @@
-"""Intermediate tables and bounded Arrow batches."""
+"""Intermediate tables and bounded Arrow batches, as the rest of the library has them."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-
-from corpusloom.sources.shared import materialize, new_path, shared_dir
+from corpusloom.sources.shared import BATCH_BYTES, bounded_batches, materialize, new_path, shared_dir
 
 __all__ = ["BATCH_BYTES", "bounded_batches", "materialize", "new_path", "shared_dir"]
-
-BATCH_BYTES = 8 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Let Arrow batches end at 8 MB too, so that long texts don't fill a Python worker.
-
-    Results are lazy, so the setting stays on the session; a smaller one is kept.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key).lower().rstrip("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))

@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
+from corpusloom.functions.text import named
 from corpusloom.llm import _bytes as B
 from corpusloom.llm._shared import bounded_batches
 from corpusloom.llm.pretokens import pretoken_starts
@@ -210,8 +212,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, text_col: str = "text", o
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(rest))), lists], names=[*rest, out])
 
-    source = docs.select(*rest, F.col(text_col).cast("string"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[: len(rest)]), f"`{out}` array<int>"])
+    source = docs.select(*map(named, rest), F.col(named(text_col)).cast("string"))
+    schema = StructType([*source.schema[: len(rest)], StructField(out, ArrayType(IntegerType()))])
     return source.mapInArrow(run, schema)
 
 
@@ -238,9 +240,8 @@ def decode_documents(encoded: DataFrame, ranks_path: str, ids_col: str = "ids",
                 binary = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(rest))), binary], names=[*rest, out])
 
-    source = encoded.select(*rest)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), f"`{out}` binary"])
-    return source.mapInArrow(run, schema)
+    source = encoded.select(*map(named, rest))
+    return source.mapInArrow(run, StructType([*source.schema, StructField(out, BinaryType())]))
 
 
 def encoding_digests(docs: DataFrame, ranks_path: str) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import named
 from corpusloom.llm import _bytes as B
 from corpusloom.llm._shared import bounded_batches, materialize
 from corpusloom.llm.components import connected_components
@@ -305,7 +306,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     are documents of their own here, so their copies link. Rows without words stay.
     Only rows of repeated documents move for that, reduced in each task first.
     """
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))  # as one, so that no name can clash
+    row = F.struct(*(F.col(named(c)) for c in docs.columns))  # as one, so that no name can clash
     keyed = docs.select(_node(F.col("doc_id"), F.col("text")).alias("node"), row.alias("row"))
     found = near_duplicates(keyed.select(F.col("node").alias("doc_id"), "row.text"))
     marks = found.groupBy(F.col("doc_id").alias("node")).agg(F.bool_and("kept").alias("kept"), F.count_if(F.col("n_shingles") > 0).alias("n")).where("not kept or n > 1")

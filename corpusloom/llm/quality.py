@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import named
 from corpusloom.llm import _bytes as B
 from corpusloom.llm._shared import bounded_batches, materialize
 from corpusloom.llm.shingles import word_spans
@@ -282,4 +283,4 @@ def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, columns unchanged; rows without a doc_id stay."""
     rejected = classify_quality(docs, labels).where("not keep").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(rejected, "doc_id", "left_anti").select(*map(named, docs.columns))

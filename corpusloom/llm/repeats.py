@@ -27,7 +27,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from corpusloom.functions.text import named
 from corpusloom.llm import _bytes as B
 from corpusloom.llm._shared import BATCH_BYTES, bounded_batches, materialize
 from corpusloom.llm.shingles import word_spans
@@ -489,7 +491,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, unit: str = "bytes",
 
     # Other columns travel as one, so that their names can't clash with those of the join.
     did, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(did.alias("did"), F.xxhash64(text).alias("th"), "text", F.struct(*(F.col(f"`{c}`") for c in names)).alias("rest"))
+    keyed = docs.select(did.alias("did"), F.xxhash64(text).alias("th"), "text", F.struct(*map(named, names)).alias("rest"))
     joined = keyed.join(spans, ["did", "th"], "left").select("text", "spans", "rest")
-    fields = ["text string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")]
-    return joined.mapInArrow(run, ", ".join(fields)).select(docs.columns)
+    fields = [StructField("text", StringType()), *(f for f in docs.schema if f.name != "text")]
+    return joined.mapInArrow(run, StructType(fields)).select(*map(named, docs.columns))

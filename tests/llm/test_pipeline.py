@@ -76,3 +76,16 @@ def test_stages_pass_further_columns_of_any_name(spark, tmp_path):
         assert out.columns == docs.columns and out.count() == 12, name
         docs = out
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).select("doc_id").distinct().count() == 12
+
+
+def test_names_with_dots_and_backticks_pass_every_stage(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, words(rng, rng.randint(40, 90)) + (" token=abcdefgh1" if i % 5 == 0 else ""), "en", "s", 1) for i in range(30)] + [(90, words(random.Random(6), 60), None, None, None)]
+    folder = documents(spark, tmp_path / "odd", rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({"a.b": F.lit(1), "a`b": F.lit("x"), "row": F.lit(2)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = materialize(stage(spark, docs, folder), name)
+        assert out.columns == docs.columns and out.count() <= docs.count()
+        docs = out
+    assert docs.count() > 20 and {tuple(r) for r in docs.select("`a.b`", "`a``b`", "row").distinct().collect()} == {(1, "x", 2)}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() > 20
