@@ -22,6 +22,9 @@ ZIGZAG = np.array(
 )
 _DCT = np.array([[np.sqrt((1 if u == 0 else 2) / 8) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)], np.float32)
 
+#: Blocks that are decoded, transformed or put together at a time.
+STRIPE_BLOCKS = 1 << 14
+
 
 class JpegError(ValueError):
     """The bytes are no progressive JPEG that this decoder reads."""
@@ -379,6 +382,12 @@ def _scan_group(data: np.ndarray, offsets: np.ndarray, resets: np.ndarray, image
         done += len(order)
     order, begin, count = np.concatenate(orders), np.concatenate(begins), np.concatenate(counts)
     low, high = np.concatenate(lows), np.concatenate(highs)
+    # Segments stand alone, so a few at a time are decoded; what is held besides the coefficients stays small.
+    for some, a, b in B.stretches(begin, begin + count, STRIPE_BLOCKS):
+        _segments_of(data, lead, [images[group[0][0]].factors[p[0]] for p in lead.parts], coefs, order[a:b], begin[some] - a, count[some], low[some], high[some])
+
+
+def _segments_of(data: np.ndarray, lead: Scan, factors: list, coefs: np.ndarray, order: np.ndarray, begin: np.ndarray, count: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
     source = B.ranges(low, high - low)
     raw = data[source]
     stuffed = np.zeros(len(raw), bool)
@@ -393,7 +402,6 @@ def _scan_group(data: np.ndarray, offsets: np.ndarray, resets: np.ndarray, image
         if lead.ah:
             _dc_refine(bits, coefs, at, order, begin, count, lead.al)
             return
-        factors = [images[group[0][0]].factors[p[0]] for p in lead.parts]
         part_of = [c for c, (h, v) in enumerate(factors) for _ in range(h * v if len(factors) > 1 else 1)]
         _dc_first(bits, coefs, at, order, begin, count, part_of, [huffman(lead.parts[c][1]) for c in part_of], lead.al)
         return
@@ -403,39 +411,59 @@ def _scan_group(data: np.ndarray, offsets: np.ndarray, resets: np.ndarray, image
     step(bits, coefs.reshape(-1), at, place, begin, count, band, huffman(lead.parts[0][2]), lead.al)
 
 
-def render(images: list[Image | None], coefs: np.ndarray, first: np.ndarray) -> list[np.ndarray | None]:
-    """Full-resolution RGB tensors, height by width by 3."""
+def _samples(coefs: np.ndarray, quant: np.ndarray) -> np.ndarray:
+    """Blocks of 8 by 8 samples; ``quant`` is one table or one for each block."""
     natural = np.zeros((len(coefs), 64), np.float32)
-    scale = np.ones((len(coefs), 64), np.float32)
-    for k, image in enumerate(images):
-        if image:
-            at = first[k]
-            for c, n in enumerate(image.blocks()):
-                scale[at : at + n] = image.quant[c]
-                at += n
-    natural[:, ZIGZAG] = coefs * scale
+    natural[:, ZIGZAG] = coefs * np.asarray(quant, np.float32)
     half = natural.reshape(-1, 8) @ _DCT
     samples = half.reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 8) @ _DCT
-    samples = np.clip(np.rint(samples.reshape(-1, 8, 8).transpose(0, 2, 1) + 128), 0, 255).astype(np.float32)
-    out: list[np.ndarray | None] = []
-    for k, image in enumerate(images):
-        if not image:
-            out.append(None)
-            continue
-        cols, rows = image.mcus
-        most_h, most_v = image.most
-        at, planes = first[k], []
-        for (h, v), n in zip(image.factors, image.blocks(), strict=True):
-            plane = samples[at : at + n].reshape(rows * v, cols * h, 8, 8).transpose(0, 2, 1, 3).reshape(rows * v * 8, cols * h * 8)
-            if (most_h, most_v) != (h, v):
-                plane = plane.repeat(most_v // v, axis=0).repeat(most_h // h, axis=1)
-            planes.append(plane[: image.height, : image.width])
+    return np.clip(np.rint(samples.reshape(-1, 8, 8).transpose(0, 2, 1) + 128), 0, 255).astype(np.float32)
+
+
+def _colours(image: Image, parts: list[np.ndarray], rows: int) -> np.ndarray:
+    """RGB of so many rows of units from the samples of each component, chroma upsampled."""
+    cols, (most_h, most_v) = image.mcus[0], image.most
+    planes = []
+    for (h, v), own in zip(image.factors, parts, strict=True):
+        plane = own.reshape(rows * v, cols * h, 8, 8).transpose(0, 2, 1, 3).reshape(rows * v * 8, cols * h * 8)
+        if (most_h, most_v) != (h, v):
+            plane = plane.repeat(most_v // v, axis=0).repeat(most_h // h, axis=1)
+        planes.append(plane[:, : image.width])
+    if len(planes) == 1:
+        return np.clip(np.rint(np.stack(planes * 3, axis=2)), 0, 255).astype(np.uint8)
+    y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
+    return np.clip(np.rint(np.stack((y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb), axis=2)), 0, 255).astype(np.uint8)
+
+
+def _by_stripes(image: Image, coefs: np.ndarray) -> np.ndarray:
+    """A large image, some rows of units at a time."""
+    cols, rows = image.mcus
+    tall = 8 * image.most[1]
+    out = np.empty((image.height, image.width, 3), np.uint8)
+    step = max(1, STRIPE_BLOCKS // (cols * sum(h * v for h, v in image.factors)))
+    starts = np.concatenate(([0], np.cumsum(image.blocks())))
+    for r in range(0, rows, step):
+        n = min(step, rows - r)
+        parts = [_samples(coefs[at + r * v * cols * h : at + (r + n) * v * cols * h], image.quant[c]) for c, ((h, v), at) in enumerate(zip(image.factors, starts, strict=False))]
+        stripe = out[r * tall : (r + n) * tall]
+        stripe[:] = _colours(image, parts, n)[: len(stripe)]
+    return out
+
+
+def render(images: list[Image | None], coefs: np.ndarray, first: np.ndarray) -> list[np.ndarray | None]:
+    """Full-resolution RGB tensors, height by width by 3; small images are transformed together, large ones by stripes."""
+    small = [k for k, image in enumerate(images) if image and sum(image.blocks()) <= STRIPE_BLOCKS]
+    held = np.concatenate([coefs[first[k] : first[k + 1]] for k in small] or [coefs[:0]]) if len(small) < len(images) else coefs
+    scale = np.concatenate([np.repeat(np.asarray(images[k].quant[c], np.float32)[None], n, axis=0) for k in small for c, n in enumerate(images[k].blocks())] or [np.ones((0, 64), np.float32)])
+    samples, at = _samples(held, scale), 0
+    out: list[np.ndarray | None] = [None] * len(images)
+    for k in small:
+        image, parts = images[k], []
+        for n in image.blocks():
+            parts.append(samples[at : at + n])
             at += n
-        if len(planes) == 1:
-            planes *= 3
-            rgb = np.stack(planes, axis=2)
-        else:
-            y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
-            rgb = np.stack((y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb), axis=2)
-        out.append(np.clip(np.rint(rgb), 0, 255).astype(np.uint8))
+        out[k] = _colours(image, parts, image.mcus[1])[: image.height]
+    for k, image in enumerate(images):
+        if image and out[k] is None:
+            out[k] = _by_stripes(image, coefs[first[k] : first[k + 1]])
     return out

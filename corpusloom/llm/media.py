@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import _bytes as B
 from corpusloom.llm._shared import bounded_batches
-from corpusloom.llm.jpeg import decode_coefficients, render
+from corpusloom.llm.jpeg import STRIPE_BLOCKS, decode_coefficients, render
 
 UNIT = 64
 RESTART = 8
@@ -33,6 +33,12 @@ _FIRST_TABLE = bytes([1] + [0] * 15 + [0x07])
 _REFINE_TABLE = bytes([0, 0, 0, 0, 1, 1, 1, 1] + [0] * 8 + [0x30, 0x20, 0x10, 0x00])
 
 
+# What each payload byte becomes: its coefficient; the seven bits after the one-bit code 0; the last bit.
+_COEFFICIENT = np.array([b + 128 if b < 128 else -b for b in range(256)], np.int64)
+_SEVEN = np.where(_COEFFICIENT < 0, 127 - (-_COEFFICIENT >> 1), _COEFFICIENT >> 1).astype(np.uint8)
+_LOW = (np.abs(_COEFFICIENT) & 1).astype(np.uint8)
+
+
 def _segment(kind: int, body: bytes) -> bytes:
     return bytes([0xFF, kind]) + (len(body) + 2).to_bytes(2, "big") + body
 
@@ -57,6 +63,13 @@ def grid(n_blocks: int) -> tuple[int, int]:
 
 def _lay(raw: np.ndarray, size: np.ndarray, ordinal: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stuff the bytes of segments and put a restart marker after each that is not ``last``; the new ends."""
+    ends = np.cumsum(size)
+    laid = [_lay_some(raw[a:b], size[some], ordinal[some], last[some]) for some, a, b in B.stretches(ends - size, ends)]
+    return np.concatenate([out for out, _ in laid]), np.cumsum(np.concatenate([width for _, width in laid]))
+
+
+def _lay_some(raw: np.ndarray, size: np.ndarray, ordinal: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a few segments; the new sizes."""
     full = raw == 0xFF
     owner = np.repeat(np.arange(len(size)), size)
     extra = np.bincount(owner[full], minlength=len(size))
@@ -70,7 +83,7 @@ def _lay(raw: np.ndarray, size: np.ndarray, ordinal: np.ndarray, last: np.ndarra
     at = (begin + size + extra)[~last]
     out[at] = 0xFF
     out[at + 1] = 0xD0 + ordinal[~last] % 8
-    return out, np.cumsum(width)
+    return out, width
 
 
 def _segments(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,9 +118,9 @@ def encode_payloads(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     units = shape[:, 0] * shape[:, 1]
     first = np.concatenate(([0], np.cumsum(6 * units)))
     payload = np.zeros((int(first[-1]), UNIT), np.uint8)
-    payload.ravel()[B.ranges(first[:-1] * UNIT, n_bytes)] = data
-    coefs = payload.astype(np.int16)
-    coefs = np.where(coefs < 128, coefs + 128, -coefs)
+    flat = payload.ravel()
+    for at, a, b in zip((first[:-1] * UNIT).tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        flat[at : at + b - a] = data[a:b]
 
     parts: list[tuple[bytes, np.ndarray, np.ndarray]] = []  # head, bytes, end of each document's
 
@@ -125,7 +138,8 @@ def encode_payloads(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     order = np.stack((top, top + 1, top + 2 * cols, top + 2 * cols + 1, chroma, chroma + units[doc]), axis=1)
     count, ordinal, last, n = _segments(units)
     owner = np.repeat(np.arange(len(count)), count)
-    upper = (coefs[order, 0] >> 1).astype(np.int64)
+    first_ones = _COEFFICIENT[payload[order, 0]]
+    upper = first_ones >> 1
     start = np.zeros(len(unit), bool)
     start[np.cumsum(count) - count] = True
     before = np.empty_like(upper)
@@ -137,19 +151,16 @@ def encode_payloads(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     raw = np.where(gap < 0, gap + (1 << size) - 1, gap)
     packed, bytes_of = _pack_bits(size << size | raw, _DC_BITS + size, np.repeat(owner, 6), len(count))
     add(_scan_head([0, 1, 2], 0x00, 0, 0, 0, 1), packed, bytes_of, ordinal, last, n)
-    low_dc = (coefs[order, 0] & 1).ravel().astype(np.int64)
+    low_dc = (first_ones & 1).ravel()
     dc_refine = _pack_bits(low_dc, np.ones(len(low_dc), np.int64), np.repeat(owner, 6), len(count)), (ordinal, last, n)
 
-    negative, magnitude = coefs < 0, np.abs(coefs)
-    seven = np.where(negative, 127 - (magnitude >> 1), magnitude >> 1).astype(np.uint8)  # after the one-bit code 0
-    low = (magnitude & 1).astype(np.uint8)
     planes = []
     for c in range(3):
         mine = (4 if c == 0 else 1) * units
         planes.append((c, B.ranges(first[:-1] + (0, 4, 5)[c] * units, mine), *_segments(mine)))
     for ss, se in BANDS:
         for c, blocks, count, ordinal, last, n in planes:
-            add(_scan_head([c], 0x00, ss, se, 0, 1), seven[blocks, ss : se + 1].ravel(), count * (se - ss + 1), ordinal, last, n)
+            add(_scan_head([c], 0x00, ss, se, 0, 1), _SEVEN[payload[blocks, ss : se + 1]].ravel(), count * (se - ss + 1), ordinal, last, n)
     (packed, bytes_of), (ordinal, last, n) = dc_refine
     add(_scan_head([0, 1, 2], 0x00, 0, 0, 1, 0), packed, bytes_of, ordinal, last, n)
     for c, blocks, count, ordinal, last, n in planes:
@@ -159,7 +170,7 @@ def encode_payloads(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         code = np.array([0b00001110, 0b0000110, 0b000010, 0b00000])[power] << power | count - (1 << power)
         rows[:, :8] = code[:, None] >> np.arange(7, -1, -1) & 1
         inside = np.arange(RESTART)[None, :] < count[:, None]
-        rows[:, 8:].reshape(len(count), RESTART, 63)[inside] = low[blocks, 1:]
+        rows[:, 8:].reshape(len(count), RESTART, 63)[inside] = _LOW[payload[blocks, 1:]]
         packed = np.packbits(rows, axis=1)
         bytes_of = 1 + -(-63 * count // 8)
         add(_scan_head([c], 0x01, 1, 63, 1, 0), packed[np.arange(packed.shape[1])[None, :] < bytes_of[:, None]], bytes_of, ordinal, last, n)
@@ -176,7 +187,11 @@ def encode_payloads(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
 
 def payloads_of(coefs: np.ndarray) -> np.ndarray:
     """The payload bytes that coefficients stand for."""
-    return np.where(coefs > 0, coefs - 128, -coefs).astype(np.uint8)
+    out = np.empty(coefs.shape, np.uint8)
+    for at in range(0, len(coefs), STRIPE_BLOCKS):
+        some = coefs[at : at + STRIPE_BLOCKS]
+        out[at : at + STRIPE_BLOCKS] = np.where(some > 0, some - 128, -some)
+    return out
 
 
 def _note(media: bytes) -> tuple[int, int] | None:

@@ -30,6 +30,24 @@ def test_damaged_and_foreign_media_give_nulls(spark):
     assert got[1].payload[:5] == b"hello" and all(got[i].feature is None and got[i].rgb is None for i in range(2, 7))
 
 
+def test_large_images_by_stripes_are_the_same(monkeypatch):
+    """Any number of blocks at a time gives the same media, coefficients and tensors."""
+    rng = np.random.default_rng(3)
+    raw = rng.integers(0, 256, 3_000_000).astype(np.uint8)
+    offsets = np.array([0, 5, 5, 1_500_000, 3_000_000])
+    whole = {}
+    for blocks in (1 << 30, 1 << 14, 3000):
+        monkeypatch.setattr(jpeg, "STRIPE_BLOCKS", blocks)
+        monkeypatch.setattr(media, "STRIPE_BLOCKS", blocks)
+        stored = media.encode_payloads(raw, offsets)
+        images, coefs, first = jpeg.decode_coefficients(np.frombuffer(b"".join(stored), np.uint8), np.concatenate(([0], np.cumsum([len(m) for m in stored]))))
+        tensors = jpeg.render(images, coefs, first)
+        found = stored, [media.payloads_of(coefs[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])], [t.tobytes() for t in tensors]
+        assert found[1][3][:1_500_000] == raw[1_500_000:].tobytes()
+        whole = whole or found
+        assert found == whole
+
+
 def decoded(data):
     images, coefs, first = jpeg.decode_coefficients(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
     return jpeg.render(images, coefs, first)[0]
