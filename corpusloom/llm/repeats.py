@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -377,17 +377,46 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, unit: str = "bytes", a
     return _found(docs, length, unit, across, groups=False).select("did", "th", "s", "e")
 
 
-def repeat_groups(docs: DataFrame, length: int = LENGTH, unit: str = "bytes", across: bool = False) -> DataFrame:
-    """grp, length, doc_id, start: maximal repeats with all their occurrences, a row for each.
+def _joined(occurrences: DataFrame) -> DataFrame:
+    """grp, length, did, th, start: groups of all files joined where they are pieces of one repeat.
+
+    A group is told by its first occurrence and by how far all others lie from it,
+    as two hashes of that set. Groups alike in this are stretches of one string at
+    the same places, so those that touch are one longer repeat. Only hashes and
+    places move, a row for each group; occurrences meet their group by a join.
+    """
+    first = occurrences.groupBy("grp", "length").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "start")).alias("at"))
+    apart = F.col("start") - F.col("at.start")
+    sets = [F.bit_xor(F.xxhash64(F.lit(seed), "did", "th", apart)).alias(f"set{seed}") for seed in (1, 2)]
+    alike = ["did", "th", "n", "set1", "set2"]
+    told = occurrences.join(first, ["grp", "length"]).groupBy("grp", "length", "n", "at").agg(*sets).select("grp", "length", "n", "set1", "set2", F.col("at.did").alias("did"), F.col("at.th").alias("th"), F.col("at.start").alias("begin"))
+    told = materialize(told, "groups")
+    order = Window.partitionBy(*alike).orderBy("begin", "length")
+    reach = F.max(F.col("begin") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = told.withColumn("opens", F.coalesce((F.col("begin") > reach).cast("int"), F.lit(1)))
+    placed = opened.withColumn("piece", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lead = F.min_by(F.struct("grp", "length"), F.struct("begin", "length")).alias("lead")
+    whole = placed.groupBy(*alike, "piece").agg(F.count("*").alias("pieces"), F.min("begin").alias("begin"), F.max(F.col("begin") + F.col("length")).alias("end"), lead)
+    size = (F.col("end") - F.col("begin")).alias("size")
+    name = F.when(F.col("pieces") == 1, F.col("lead.grp")).otherwise(F.xxhash64("lead.grp", F.col("end") - F.col("begin"))).alias("name")
+    longer = whole.select(F.col("lead.grp").alias("grp"), F.col("lead.length").alias("length"), name, size)
+    return occurrences.join(longer, ["grp", "length"]).select(F.col("name").alias("grp"), F.col("size").alias("length"), "did", "th", "start")
 
-    A group is a string, named by its hash. It is maximal among the windows of one
-    file: a repeat that reaches over several files is put out as one group for each,
-    which overlap, and windows of a very large file are groups of their own. A null
-    doc_id stays null.
+
+def repeat_groups(docs: DataFrame, length: int = LENGTH, unit: str = "bytes", across: bool = False) -> DataFrame:
+    """grp, length, doc_id, start: repeats with all their occurrences, a row for each.
+
+    A group is a string, named by a hash, that stands at all the places listed and
+    nowhere else. Groups of several files that lie at the same places one after
+    another are joined to one, so a passage that some documents share is one group,
+    however long. Where a part of a passage stands in further documents too, that part
+    is a group of its own, with all its places, and the passage is put out in pieces
+    around it. A null doc_id stays null.
     """
     found = _found(docs, length, unit, across, groups=True)
+    occurrences = materialize(found.select("grp", (F.col("e") - F.col("s")).alias("length"), "did", "th", F.col("s").alias("start")).distinct(), "occurrences")
     did = F.when(F.col("did") != _NO_ID, F.col("did"))
-    return found.select("grp", (F.col("e") - F.col("s")).alias("length"), "did", "th", F.col("s").alias("start")).distinct().select("grp", "length", did.alias("doc_id"), "start")
+    return _joined(occurrences).select("grp", "length", did.alias("doc_id"), "start")
 
 
 def _by_document(spans: DataFrame, name: str) -> DataFrame:

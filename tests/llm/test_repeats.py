@@ -68,6 +68,19 @@ def test_groups_hold_all_occurrences(shared, largest, monkeypatch):
     assert all(sum(c) == removed[str(i)] for i, c in covered.items())
 
 
+@pytest.mark.parametrize("largest", [repeats.LARGEST_FILE, 1, 0])
+def test_a_passage_is_one_group_however_it_was_filed(spark, largest, monkeypatch):
+    monkeypatch.setattr(repeats, "LARGEST_FILE", largest)
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    long, other = letters(5000), letters(1200)
+    rows = [(1, "q" + long + "r" + letters(300)), (2, letters(77) + "s" + long + "t"), (3, "u" + other + "v" + letters(40)), (4, letters(9) + "w" + other), (5, other + "x" + letters(50) + "y" + long[:399]), (6, letters(900))]
+    found = {}
+    for r in repeats.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        found.setdefault((r.grp, r.length), set()).add((r.doc_id, r.start))
+    assert sorted((n, sorted(places)) for (_, n), places in found.items()) == [(1200, [(3, 1), (4, 10), (5, 0)]), (5000, [(1, 1), (2, 78)])]
+
+
 def brute_words(rows, length):
     """Words of each row in a stretch of ``length`` words that another (doc_id, text) holds too."""
     split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
