@@ -9,11 +9,9 @@ candidate is compared by parity sketches, then confirmed on the full shingle set
 each shingle turns one of ``BITS`` bits over, so two sketches differ in at most as
 many bits as the sets differ in shingles, and a link is never left out.
 
-Buckets whose members still lie in different components get further centres,
-namely every member outside the bucket's largest component, so a link that the
-first star missed is found then. In a bucket of very many components, as a passage
-makes that countless documents share, that would be nearly all pairs; there the
-candidates are those that share a rare shingle, as every link must.
+Members of a bucket that still lie in different components may have links that the
+first star missed. Their candidates are those that share a rare shingle, as every
+link must; so a passage that countless documents share makes no pairs of them.
 """
 
 from __future__ import annotations
@@ -23,7 +21,7 @@ from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import named
@@ -40,8 +38,6 @@ BITS = 1024
 WORDS = BITS // 64
 #: Members of a star that one copy of its centre is compared with.
 STAR = 512
-#: Comparisons by sketch up to which a bucket's members are compared with each other.
-MOST_COMPARISONS = 1 << 22
 #: A link needs 100 * intersection >= 75 * union.
 PERCENT = 75
 _TOP = np.uint64(57)  # shift that leaves the number of one of 128 bins
@@ -196,28 +192,16 @@ def _first_stars(members: DataFrame) -> DataFrame:
     return _once(stars.select(F.col("c").alias("u"), F.col("id").alias("v")))
 
 
-def _further_stars(members: DataFrame, components: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
-    """Candidates between the components that meet in one bucket.
+def _between_components(members: DataFrame, components: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+    """Candidates among the members of all buckets in which several components meet.
 
-    Each member outside the bucket's largest component is a centre for the members
-    of other components whose sizes and sketches allow a link; what lies in one
-    component already needs no comparison. Where that would be more than
-    MOST_COMPARISONS, rare shingles find the candidates.
+    What lies in one component already needs no comparison, and members of a bucket
+    are not compared with each other: rare shingles find the candidates.
     """
     placed = members.join(components.withColumnRenamed("u", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    meeting = materialize(sizes.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top")).where("k > 1").select("key", F.col("top.component").alias("top"), (F.col("all") * (F.col("all") - F.col("top.n"))).alias("work")), "buckets")
-    unsettled = placed.join(meeting.where(F.col("work") <= MOST_COMPARISONS), "key").join(sketches.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *_BITS), "id")
-    unsettled = materialize(unsettled, "buckets")
-    centres = unsettled.where("component <> top").select("key", F.col("id").alias("c"), F.col("component").alias("of"), F.col("n").alias("c_n"), *(F.col(b).alias(f"c_{b}") for b in _BITS))
-    differ = sum(F.bit_count(F.col(b).bitwiseXOR(F.col(f"c_{b}"))) for b in _BITS)
-    met = unsettled.join(centres, (unsettled["key"] == centres["key"]) & (F.col("component") != F.col("of")) & _may_link(F.col("n"), F.col("c_n"), differ))
-    found = met.select(F.col("c").alias("u"), F.col("id").alias("v"))
-    crowded = meeting.where(F.col("work") > MOST_COMPARISONS)
-    if crowded.head(1):
-        crowd = placed.join(crowded.select("key"), "key", "left_semi").select("id", "component").distinct()
-        found = found.unionByName(_allowed(rare_pairs(materialize(crowd, "crowd"), docs), sketches))
-    return _once(found)
+    unsettled = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    crowd = materialize(placed.join(unsettled, "key", "left_semi").select("id", "component").distinct(), "crowd")
+    return _once(_allowed(rare_pairs(crowd, docs), sketches))
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,10 +229,10 @@ def rare_pairs(crowd: DataFrame, docs: DataFrame) -> DataFrame:
     shingles = materialize(crowd.join(texts, "id").select("id", "component", "text").mapInArrow(_shingle_rows, "id long, component long, digest long, n long, h long").distinct(), "shingles")
     often = shingles.groupBy("h").agg(F.count("*").alias("often"), F.min("component").alias("a"), F.max("component").alias("b"))
     # What one component has for itself can't make a pair, but has its place in the order.
-    ranked = shingles.join(often, "h").groupBy("id", "component", "digest", "n").agg(F.array_sort(F.collect_list(F.struct("often", "h", (F.col("a") != F.col("b")).alias("shared")))).alias("order"))
-    rarest = F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int"))
-    left = F.transform(rarest, lambda x, i: F.struct(x["h"].alias("h"), x["shared"].alias("shared"), (F.col("n") - i).alias("left")))
-    places = ranked.select("id", "component", "n", F.explode(F.filter(left, lambda x: x["shared"])).alias("x")).select("id", "component", "n", "x.h", "x.left")
+    order = Window.partitionBy("id", "component", "digest", "n").orderBy("often", "h")
+    ranked = shingles.join(often, "h").withColumn("place", F.row_number().over(order))
+    places = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1) & (F.col("a") != F.col("b")))
+    places = places.select("id", "component", "n", "h", (F.col("n") - F.col("place") + 1).alias("left"))
     places = materialize(places, "rare")
     other = places.select(F.col("id").alias("v"), F.col("component").alias("of"), F.col("n").alias("m"), "h", F.col("left").alias("m_left"))
     fits = ((100 + PERCENT) * F.least("left", "m_left") >= PERCENT * (F.col("n") + F.col("m"))) & (F.col("component") < F.col("of"))
@@ -278,7 +262,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(confirm_links(known, docs, many=True).unionAll(same_id.select(F.col("v").alias("u"), F.col("w").alias("v"))), "links")
     components = connected_components(links)
     either = known.unionAll(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    more = materialize(_further_stars(members, components, sketched, docs).join(either, ["u", "v"], "left_anti"), "pairs")
+    more = materialize(_between_components(members, components, sketched, docs).join(either, ["u", "v"], "left_anti"), "pairs")
     found = materialize(confirm_links(more, docs), "links")
     if found.head(1):
         components = connected_components(links.unionAll(found))

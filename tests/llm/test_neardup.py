@@ -41,7 +41,7 @@ def test_equals_brute_force(awkward):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
-def test_first_stars_alone_may_miss_what_further_stars_find(spark):
+def test_first_stars_alone_may_miss_what_rare_shingles_find(spark):
     """Copies that link to their original only; it is the centre of few buckets."""
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(150)]
@@ -66,9 +66,8 @@ def crowd_rows(rng, n, linked=6):
     return [(i, " ".join(own[:30] + passage + own[30:])) for i, own in rows]
 
 
-def test_crowds_meet_by_rare_shingles_only(spark, monkeypatch):
+def test_crowds_meet_by_rare_shingles_only(spark):
     """Buckets that a shared passage fills: as many candidates as links, not as pairs."""
-    monkeypatch.setattr(neardup, "MOST_COMPARISONS", 50)
     rng = np.random.default_rng(4)
     rows = crowd_rows(rng, 400)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
@@ -79,6 +78,17 @@ def test_crowds_meet_by_rare_shingles_only(spark, monkeypatch):
     assert sorted((str(k), str(v)) for k, v in got.items()) == sorted((i, c) for i, _, c in brute(rows))
 
 
+def test_candidates_grow_with_the_members_of_unsettled_buckets(spark):
+    """Many buckets of unlinked members that share a passage: no more candidates than links, here none."""
+    rows = [(1000 * g + i, " ".join([*(f"g{g}i{i}w{k}" for k in range(40)), *(f"g{g}p{k}" for k in range(80))])) for g in range(5) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sketches = neardup.sketch_documents(docs)
+    members = sketches.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    assert members.groupBy("key").count().agg(F.max("count")).first()[0] > 30
+    alone = spark.createDataFrame([], "u long, component long")
+    assert neardup._between_components(members, alone, sketches, docs).count() == 0
+
+
 def test_rare_pairs_hold_every_link(spark):
     rng = np.random.default_rng(6)
     base = [f"w{i}" for i in range(60)]
