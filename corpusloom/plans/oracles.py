@@ -423,7 +423,8 @@ def oracle_sql() -> dict[str, str]:
         "keep_labelled": labelled + "select id, text, form from labelled where form is not null",
         "form_counts": labelled + "select coalesce(split, '<ALL>') split, coalesce(form, '<ALL>') form, count(*) n from labelled where form is not null group by rollup (split, form)",
         "verify_form": labelled + "select wanted, count(*) texts, count(*) filter (form = wanted) passed from labelled group by 1",
-        "format_record": with_(view_sql("v_formed")) + f"select id, {formatted(CLASSICAL, 'form')} formatted from v_formed",
+        "format_record": with_(P, label(), view_sql("v_formed"))
+        + " union all ".join(f"select id, '{kind}' kind, {formatted(CLASSICAL, 'form')} formatted from {source}" for kind, source in (("text", "v_formed"), ("poem", "labelled"))),
         "build_vocab": with_(R, encoded()) + "select token, cast(id as bigint) id, cast(count as bigint) as count from vocab",
         "vocab_summary": with_(R, encoded())
         + f"select (select count(*) from splits where split = 'train') records, {total('case when id > 3 then count end')} as characters, count(*) filter (id > 3) regular, count(*) filter (id <= 3) special, count(*) size, count(*) filter (id > 3 and count = 1) seen_once from vocab",

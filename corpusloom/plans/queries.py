@@ -78,6 +78,13 @@ def _verdicts(records: DataFrame) -> DataFrame:
     return good.withColumn("splits", F.lit("made")).unionByName(bad.withColumn("splits", F.lit("broken")))
 
 
+def _texts_and_poems(docs: DataFrame) -> DataFrame:
+    """Whole texts formatted with the form they are given, and poems with the form found in them."""
+    formatted = tokens.format_record(CLASSICAL, F.col("form"), F.col("dynasty"), F.col("author"), F.col("title"), F.col("text")).alias("formatted")
+    made = lambda v, kind: v.select("id", F.lit(kind).alias("kind"), formatted)
+    return made(view(docs, "v_formed"), "text").unionByName(made(_labelled(view(docs, "v_poems")), "poem"))
+
+
 def _formatted(records: DataFrame) -> DataFrame:
     return _split(records).withColumn("formatted", tokens.format_record(LATIN_SCRIPT, F.lit(""), F.col("dynasty"), F.col("author"), F.col("title"), F.col("text")))
 
@@ -291,7 +298,7 @@ def queries() -> dict[str, Query]:
         "keep_labelled": _over("v_poems", lambda v: forms.keep_labelled(v, CLASSICAL).select("id", "text", "form")),
         "form_counts": _over("v_poems", lambda v: forms.form_counts(forms.keep_labelled(v, CLASSICAL))),
         "verify_form": _over("v_poems", lambda v: forms.verify_form(v, CLASSICAL, form="wanted")),
-        "format_record": _over("v_formed", lambda v: v.select("id", tokens.format_record(CLASSICAL, F.col("form"), F.col("dynasty"), F.col("author"), F.col("title"), F.col("text")).alias("formatted"))),
+        "format_record": lambda spark, sf_dir: _tidy(_texts_and_poems(_docs(spark, sf_dir))),
         "build_vocab": _over("v_records", lambda v: _vocab(_formatted(v))),
         "vocab_summary": _over("v_records", _vocab_summary),
         "encode": _over("v_records", lambda v: _digest(_encoded(v).select("id", F.size("tokens").alias("n"), "tokens"), "tokens")),

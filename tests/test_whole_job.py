@@ -36,3 +36,15 @@ def test_views_carry_whole_texts(spark, tmp_path):
     assert {r.line_number: r.reasons for r in run("suspicious_records")}[2].split(",")[-4:] == ["body_longer_than_500", "body_longer_than_1000", "body_longer_than_5000", "contains_marker:copyright"]
     assert run("validation_summary")[0].longest == len(text)
     assert "body_longer_than_5000" in {r.id: r.reasons for r in run("content_reasons_classical")}["poem-0000002"]
+
+
+def test_format_record_finds_the_form_of_poems_and_keeps_whole_texts(spark, tmp_path):
+    texts = ["".join(chr(97 + (i + k * k) % 26) for k in range(64)) + " more text" * 300 for i in range(8)]
+    sf = tables(spark, tmp_path, texts)
+    rows = plans.queries()["format_record"](spark, sf).collect()
+    whole = {r.id: r.formatted for r in rows if r.kind == "text"}
+    poems = {r.id: r.formatted for r in rows if r.kind == "poem"}
+    assert [whole[f"poem-{i + 1:07d}"].split("正文：", 1)[1] for i in range(8)] == texts
+    found = {r.id: r.form for r in plans.queries()["label_form"](spark, sf).collect()}
+    assert len(set(found.values()) - {None}) == 4
+    assert {i: p.split("\n")[0] for i, p in poems.items()} == {i: f"体裁：{f}" if f else "朝代：唐朝" for i, f in found.items()}
