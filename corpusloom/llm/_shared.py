@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from corpusloom.sources.shared import BATCH_BYTES, bounded_batches, materialize, new_path, shared_dir
+from corpusloom.sources.shared import BATCH_BYTES, bounded_batches, frugal, materialize, new_path, shared_dir
 
-__all__ = ["BATCH_BYTES", "bounded_batches", "materialize", "new_path", "shared_dir"]
+__all__ = ["BATCH_BYTES", "bounded_batches", "frugal", "materialize", "new_path", "shared_dir"]

@@ -31,7 +31,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from corpusloom.functions.text import named
 from corpusloom.llm import _bytes as B
-from corpusloom.llm._shared import BATCH_BYTES, bounded_batches, materialize
+from corpusloom.llm._shared import BATCH_BYTES, bounded_batches, frugal, materialize
 from corpusloom.llm.shingles import word_spans
 
 #: Symbols of the shortest repeat, and of the grams that name files, by unit.
@@ -45,6 +45,8 @@ LONGEST_RUN = 1024
 LARGEST_FILE = 2000
 #: Windows of a document that are looked at together.
 SEGMENT = B.CHUNK_BYTES
+#: Bytes of documents whose runs are found together; temporaries take about 90 times as much.
+RUN_BYTES = {"bytes": B.CHUNK_BYTES // 4, "words": B.CHUNK_BYTES}
 
 _NO_ID = -(2**63)
 
@@ -127,7 +129,7 @@ def _runs(unit: str, length: int):
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             data, offsets = B.text_buffers(batch.column(2))
-            for a, _, part, off in B.chunks(data, offsets):
+            for a, _, part, off in B.chunks(data, offsets, RUN_BYTES[unit]):
                 for _, at, codes, own in _segments(*symbols(unit, part, off), length):
                     doc, begin, count, files, content, multi = find_runs(codes, own, length, GRAMS[unit])
                     arrays = [ids[a + doc], hashes[a + doc], files.view(np.int64), content.view(np.int64), (begin + at).astype(np.int32), count.astype(np.int32), multi]
@@ -153,7 +155,7 @@ def _squeezed(docs: DataFrame) -> DataFrame:
             packed = [press.compress(view[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["did", "th", "packed"])
 
-    return _keyed(docs).mapInArrow(run, "did long, th long, packed binary")
+    return _keyed(docs).mapInArrow(frugal(run), "did long, th long, packed binary")
 
 
 def _opened(press: zstandard.ZstdDecompressor, packed: bytes | None) -> bytes:
@@ -216,17 +218,22 @@ def maximal_repeats(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH)
     sorted_as = data.astype(_CODES["bytes" if data.dtype == np.uint8 else "words"])
     text, wide = sorted_as.tobytes(), sorted_as.itemsize
     end_of = offsets[np.searchsorted(offsets, start, side="right")]
-    for at, n in zip(edge[diverse].tolist(), count[diverse].tolist(), strict=True):
-        members = sorted(range(at, at + n), key=lambda i: text[start[i] * wide : end_of[i] * wide])
-        suffix = start[members]
-        lcp = _common_prefixes(prefix, suffix, end_of[members], length)
-        yield from _intervals(suffix, lcp, left[members])
-
-
-def _common_prefixes(prefix: np.ndarray, suffix: np.ndarray, end: np.ndarray, least: int) -> np.ndarray:
-    """How many symbols neighbouring suffixes share, by bisection on span hashes; ``least`` are known to be equal."""
+    edge, count = edge[diverse], count[diverse]
+    members = B.ranges(edge, count)
+    first = np.cumsum(count) - count
+    # Either order of two suffixes makes the same interval.
+    for at, n in zip(first[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+        members[at : at + n] = sorted(members[at : at + n].tolist(), key=lambda i: text[start[i] * wide : end_of[i] * wide])
+    suffix = start[members]
+    known = np.full(len(members), length)
+    known[first] = 0
+    yield from _intervals(suffix, _common_prefixes(prefix, suffix, end_of[members], known[1:]), left[members])
+
+
+def _common_prefixes(prefix: np.ndarray, suffix: np.ndarray, end: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """How many symbols neighbouring suffixes share, by bisection on span hashes; ``low`` are known to be equal, 0 where none are."""
     a, b = suffix[:-1], suffix[1:]
-    low, high = np.full(len(a), least), np.minimum(end[:-1] - a, end[1:] - b)
+    high = np.where(low > 0, np.minimum(end[:-1] - a, end[1:] - b), 0)
     while (open_ := low < high).any():
         middle = (low + high + 1) // 2
         same = B.span_hash(prefix, a, a + middle) == B.span_hash(prefix, b, b + middle)
@@ -267,15 +274,15 @@ def _solve(unit: str, length: int, across: bool, groups: bool):
         out: list[tuple] = []
         prefix = B.prefix_hash(_hashes(codes)) if groups else None
         for size, places in maximal_repeats(codes, offsets, length):
-            holder = B.doc_of(offsets, places)
+            holder = B.doc_of(offsets, places) if across or groups else places
             if across and not several[holder].any() and doc[holder].min() == doc[holder].max():
                 continue
             if groups:
                 name = int(B.span_hash(prefix, places[:1], places[:1] + size).view(np.int64)[0])
                 out += [(rows[h]["g"], rows[h]["c"], s, s + size, name) for h, s in zip(holder.tolist(), (places - offsets[holder]).tolist(), strict=True)]
             else:
-                np.add.at(mask, places, 1)
-                np.add.at(mask, places + size, -1)
+                mask[places] += 1  # places of one repeat differ
+                mask[places + size] -= 1
         covered = np.cumsum(mask[:-1]) > 0
         for r, a, b in zip(rows, offsets[:-1], offsets[1:], strict=True) if not groups else ():
             if not r["whole"]:
@@ -340,12 +347,12 @@ def _within(contents: DataFrame, fetched: DataFrame, unit: str, length: int, acr
     """g, c, s, e, grp: what repeats of each content; ``grams`` are those that large files are filed by next."""
     whole = contents.where("whole").select("g", "c", F.lit(0).cast("long").alias("s"), (F.col("n") + length - 1).cast("long").alias("e"), F.col("c").alias("grp"))
     small = fetched.where("not large") if grams else fetched
-    solved = small.repartition("g").sortWithinPartitions("g").mapInArrow(_solve(unit, length, across, groups), _FOUND)
+    solved = small.repartition("g").sortWithinPartitions("g").mapInArrow(frugal(_solve(unit, length, across, groups)), _FOUND)
     found = whole.unionAll(solved)
     if not grams or not fetched.where("large").head(1):
         return found
     run, schema = _refile(unit, length, grams[0])
-    runs = materialize(fetched.where("large").mapInArrow(run, schema), "runs")
+    runs = materialize(fetched.where("large").mapInArrow(frugal(run), schema), "runs")
     finer = materialize(_contents(runs, F.col("d"), F.col("several"), across), "contents")
     wanted = finer.join(_open_files(finer, across), "g").select("g", "c", "d", "several", "whole", "large")
     again = materialize(runs.select("g", "c", "bytes").join(wanted, ["g", "c"]).dropDuplicates(["g", "c"]).select("g", "c", "d", "several", "whole", "large", "bytes"), "contents")
@@ -357,11 +364,11 @@ def _within(contents: DataFrame, fetched: DataFrame, unit: str, length: int, acr
 def _found(docs: DataFrame, length: int, unit: str, across: bool, groups: bool) -> DataFrame:
     """did, th, s, e, grp: places of repeats, in symbols."""
     bounded_batches(docs.sparkSession)
-    runs = materialize(_keyed(docs).mapInArrow(_runs(unit, length), "did long, th long, g long, c long, a int, n int, multi boolean"), "runs")
+    runs = materialize(_keyed(docs).mapInArrow(frugal(_runs(unit, length)), "did long, th long, g long, c long, a int, n int, multi boolean"), "runs")
     contents = materialize(_contents(runs, F.xxhash64("did", "th"), F.lit(False), across), "contents")
     wanted = contents.join(_open_files(contents, across), "g")
     requests = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("g", "c", "d", "several", "whole", "large", "a", "n")).alias("runs"))
-    fetched = _squeezed(docs).join(requests, ["did", "th"]).select("packed", "runs").mapInArrow(_fetch(unit, length), "g long, c long, d long, several boolean, whole boolean, large boolean, bytes binary")
+    fetched = _squeezed(docs).join(requests, ["did", "th"]).select("packed", "runs").mapInArrow(frugal(_fetch(unit, length)), "g long, c long, d long, several boolean, whole boolean, large boolean, bytes binary")
     fetched = materialize(fetched.dropDuplicates(["g", "c"]), "contents")
     inside = _within(contents, fetched, unit, length, across, groups, [length // 2, length])
     return runs.select("did", "th", "g", "c", "a").join(inside, ["g", "c"]).select("did", "th", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"), "grp")
@@ -488,7 +495,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage_words: int | N
     else:
         spans = spans.withColumn("passages", F.lit(None).cast(_SPAN_LIST))
     joined = _squeezed(docs).join(spans, ["did", "th"], "left").select("did", "th", "packed", "spans", "passages")
-    return joined.mapInArrow(_cut, "doc_id long, th long, n_bytes long, n_removed long, n_spans long, n_passages long, n_passage_words long, kept binary")
+    return joined.mapInArrow(frugal(_cut), "doc_id long, th long, n_bytes long, n_removed long, n_spans long, n_passages long, n_passage_words long, kept binary")
 
 
 def repeat_digests(docs: DataFrame, length: int = LENGTH, passage_words: int | None = None) -> DataFrame:
@@ -523,4 +530,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, unit: str = "bytes",
     keyed = docs.select(did.alias("did"), F.xxhash64(text).alias("th"), "text", F.struct(*map(named, names)).alias("rest"))
     joined = keyed.join(spans, ["did", "th"], "left").select("text", "spans", "rest")
     fields = [StructField("text", StringType()), *(f for f in docs.schema if f.name != "text")]
-    return joined.mapInArrow(run, StructType(fields)).select(*map(named, docs.columns))
+    return joined.mapInArrow(frugal(run), StructType(fields)).select(*map(named, docs.columns))
