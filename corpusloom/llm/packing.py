@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import _bytes as B
-from corpusloom.llm._shared import bounded_batches, materialize
+from corpusloom.llm._shared import bounded_batches, frugal, materialize
 from corpusloom.llm.library_tokens import LibraryTokens, with_end
 
 LONGEST = 2048
+#: Bytes of documents that are encoded together, few, so that temporaries stay small.
+ENCODED_BYTES = B.CHUNK_BYTES // 4
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, place long"
 
@@ -40,7 +42,7 @@ def _pieces(path: str, end_id: int, longest: int, with_ids: bool, added: bool):
         met: dict[int, int] = {}
         for batch in batches:
             data, offsets = B.text_buffers(batch.column(1))
-            for a, b, text, off in B.chunks(data, offsets):
+            for a, b, text, off in B.chunks(data, offsets, ENCODED_BYTES):
                 ids, at = with_end(*encode(text, off), end_id)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 rows: list[tuple] = []
@@ -78,7 +80,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longes
     """
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = materialize(source.mapInArrow(_pieces(tokenizer_path, end_id, longest, with_ids, added), _SCHEMA + ", ids binary" * with_ids), "pieces")
+    pieces = materialize(source.mapInArrow(frugal(_pieces(tokenizer_path, end_id, longest, with_ids, added)), _SCHEMA + ", ids binary" * with_ids), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     inside = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     buckets = counts.groupBy("length").agg(F.sum("n").alias("total"))

@@ -3,10 +3,11 @@
 import random
 import tracemalloc
 
+import public_tokenizers
 import pyarrow as pa
 from conftest_llm import words
 
-from corpusloom.llm import repeats
+from corpusloom.llm import packing, repeats
 from corpusloom.llm._shared import frugal
 
 
@@ -32,6 +33,15 @@ def test_runs_take_little_memory():
     assert got < 60, got
 
 
+def test_pieces_take_little_memory(monkeypatch):
+    monkeypatch.setattr(packing.TaskContext, "get", staticmethod(lambda: type("task", (), {"partitionId": staticmethod(lambda: 0)})))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    given = batch().select(["did", "text"])
+    packing.LibraryTokens.of(path)
+    got = peak_mb(packing._pieces(path, 1, 2048, True, True), given)
+    assert got < 60, got
+
+
 def test_arrow_memory_is_given_back(monkeypatch):
     given, called = batch(), []
     monkeypatch.setattr(pa, "default_memory_pool", lambda: type("pool", (), {"release_unused": staticmethod(lambda: called.append(1))}))
