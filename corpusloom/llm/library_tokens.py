@@ -15,8 +15,10 @@ import numpy as np
 from corpusloom.llm import _bytes as B
 from corpusloom.llm.pretokens import pretoken_starts
 
-#: Distinct pre-tokens that a worker remembers before it starts anew.
+#: Distinct pre-tokens that a worker remembers before it starts anew; so it does at 8 times as many ids of theirs.
 REMEMBERED = 1 << 20
+#: Bytes of documents that are encoded together, few, so that temporaries stay small.
+ENCODED_BYTES = B.CHUNK_BYTES // 4
 
 
 def byte_letters() -> dict[int, str]:
@@ -51,17 +53,19 @@ class LibraryTokens:
         return cls._open[path]
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}
+        #: Ascending hashes of the pre-tokens, and where the ids of each lie in ``flat``; arrays, as a dict of Python numbers is several times as large.
+        self.keys = np.zeros(0, np.uint64)
         self.begin = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
 
-    def _learn(self, keys: list[int], pieces: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, place: np.ndarray, pieces: list[bytes]) -> None:
+        """Insert ascending ``keys`` before the places given."""
         ids = [[t.id for t in self.model.tokenize(p.decode("latin-1").translate(self.letters))] for p in pieces]
-        size = np.array([len(i) for i in ids], np.int64)
-        self.place.update(zip(keys, range(len(self.begin), len(self.begin) + len(keys)), strict=True))
-        self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(size) - size))
-        self.size = np.concatenate((self.size, size))
+        size = np.array([len(i) for i in ids], np.int32)
+        self.keys = np.insert(self.keys, place, keys)
+        self.begin = np.insert(self.begin, place, len(self.flat) + np.cumsum(size, dtype=np.int64) - size)
+        self.size = np.insert(self.size, place, size)
         self.flat = np.concatenate((self.flat, np.array([x for i in ids for x in i], np.int32)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,15 +79,19 @@ class LibraryTokens:
         ends = np.append(starts[1:], len(data))
         keys = B.span_hash(B.prefix_hash(B.BYTE_HASH[data]), starts, ends)
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.place) > REMEMBERED:
+        if len(self.keys) > REMEMBERED or len(self.flat) > 8 * REMEMBERED:
             self._forget()
-        names = distinct.tolist()
-        new = [i for i, k in enumerate(names) if k not in self.place]
-        if new:
+        place = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == distinct[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
             raw = data.tobytes()
             spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
-            self._learn([names[i] for i in new], [raw[a:b] for a, b in spans])
-        place = np.array([self.place[k] for k in names], np.int64)[inverse]
+            self._learn(distinct[new], place[new], [raw[a:b] for a, b in spans])
+            place = place + np.cumsum(~known) - ~known
+        place = place[inverse]
         size = self.size[place]
         at = np.concatenate(([0], np.cumsum(size)))
         return self.flat[B.ranges(self.begin[place], size)], at[np.searchsorted(starts, offsets)]

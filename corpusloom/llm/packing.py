@@ -20,11 +20,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import _bytes as B
 from corpusloom.llm._shared import bounded_batches, frugal, materialize
-from corpusloom.llm.library_tokens import LibraryTokens, with_end
+from corpusloom.llm.library_tokens import ENCODED_BYTES, LibraryTokens, with_end
 
 LONGEST = 2048
-#: Bytes of documents that are encoded together, few, so that temporaries stay small.
-ENCODED_BYTES = B.CHUNK_BYTES // 4
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, place long"
 

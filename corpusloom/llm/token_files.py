@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import _bytes as B
-from corpusloom.llm._shared import bounded_batches, materialize
-from corpusloom.llm.library_tokens import LibraryTokens, with_end
+from corpusloom.llm._shared import bounded_batches, frugal, materialize
+from corpusloom.llm.library_tokens import ENCODED_BYTES, LibraryTokens, with_end
 
 BLOCK_SCHEMA = "part int, block int, doc_ids array<long>, sizes array<int>, controls binary, data binary"
 _LENGTHS = np.array([[(c >> shift & 3) + 1 for shift in (0, 2, 4, 6)] for c in range(256)], np.int64)
@@ -61,14 +61,14 @@ def _token_blocks(docs: DataFrame, path: str, end_id: int, added: bool) -> DataF
         wide = "<u2" if tokens.library.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
             data, offsets = B.text_buffers(batch.column(1))
-            for a, b, text, off in B.chunks(data, offsets):
+            for a, b, text, off in B.chunks(data, offsets, ENCODED_BYTES):
                 ids, at = with_end(*encode(text, off), end_id)
                 yield pa.RecordBatch.from_pydict(
                     {"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "doc_ids": pa.array([batch.column(0).slice(a, b - a).to_pylist()], pa.list_(pa.int64())), "sizes": pa.array([np.diff(at)], pa.list_(pa.int32())), "ids": pa.array([ids.astype(wide).tobytes()], pa.binary())}
                 )
                 block += 1
 
-    return docs.mapInArrow(run, "part int, block int, doc_ids array<long>, sizes array<int>, ids binary")
+    return docs.mapInArrow(frugal(run), "part int, block int, doc_ids array<long>, sizes array<int>, ids binary")
 
 
 def _ids_of(row_ids: bytes, count: int) -> np.ndarray:
@@ -102,7 +102,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     bounded_batches(spark)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     blocks = materialize(_token_blocks(ordered, tokenizer_path, end_id, added), "tokens")
-    counts = blocks.select("sizes", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = blocks.select("sizes", "ids").mapInArrow(frugal(_count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = sorted(((-r.n, r.id) for r in counts.collect()))
     by_rank = np.array([i for _, i in counts], np.int64)
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
@@ -114,7 +114,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             packed = [pack(shared.value[_ids_of(ids.as_py(), sum(sizes))]) for sizes, ids in zip(batch.column(3).to_pylist(), batch.column(4), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *(pa.array([p[i] for p in packed], pa.binary()) for i in range(2))], names=["part", "block", "doc_ids", "sizes", "controls", "data"])
 
-    blocks.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    blocks.mapInArrow(frugal(run), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/blocks")
     ranks = spark.createDataFrame([(int(i), r, int(-n)) for r, (n, i) in enumerate(counts)], "id long, rank long, n long")
     ranks.coalesce(1).write.parquet(f"{path}/ranks")
     return ranks
@@ -148,7 +148,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(frugal(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
