@@ -42,3 +42,8 @@ def test_nothing_to_account_for(spark):
 @pytest.mark.parametrize("copies", [1, 2])
 def test_accounts_match_sql_where_versions_meet(spark, tmp_path, copies):
     same(spark, documents(tmp_path, copies), queries()["split_accounting"], oracle_sql()["split_accounting"])
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_verdicts_match_sql_where_versions_meet(spark, tmp_path, copies):
+    same(spark, documents(tmp_path, copies), queries()["split_verdict"], oracle_sql()["split_verdict"])
